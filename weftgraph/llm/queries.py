@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier
+from . import language_id, quality_classifier
 from .common import held_out, table
 
 
@@ -19,7 +19,16 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned without the rows whose crc32 modulo 4 is 2."""
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 4, 2)
+    model = language_id.fit(docs, ~held)
+    return language_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op7_language_id": op7_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
