@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, quality_classifier
-from .common import held_out, table
+from . import byte_bpe, language_id, packing, quality_classifier
+from .common import checkpoint, held_out, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +40,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 4096 tokens, packed into sequences of 4096."""
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(checkpoint(narrow))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_language_id": op7_language_id,
+    "op8_packing": op8_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
