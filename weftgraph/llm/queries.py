@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, packing, quality_classifier
+from . import byte_bpe, language_id, packing, quality_classifier, quality_rules
 from .common import checkpoint, held_out, table
 
 
@@ -32,6 +32,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, symbol and repetition counts of every document, with the verdict of the line rules."""
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned without the rows whose crc32 modulo 4 is 2."""
     docs = table(spark, sf_dir, "documents")
@@ -50,6 +57,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_quality_rules": op5_quality_rules,
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
 }
