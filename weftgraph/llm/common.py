@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def texts(column: pa.Array) -> list[str]:
 
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the texts of a slice hold about max_bytes; a longer text stands alone."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     group = (np.cumsum(sizes) - sizes) // max_bytes
     start = 0
     for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]:
