@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, license_scan, packing, quality_classifier, quality_rules, suffix_dedup
+from . import byte_bpe, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, suffix_dedup
 from .common import checkpoint, held_out, table
 
 
@@ -20,6 +20,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies and number of links of every document: five words a shingle, similarity from 0.8."""
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_license_scan": op3_license_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
