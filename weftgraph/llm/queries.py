@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, suffix_dedup
+from . import byte_bpe, jaccard_join, language_id, license_scan, lm_scoring, packing, quality_classifier, quality_rules, suffix_dedup
 from .common import checkpoint, held_out, table
 
 
@@ -71,6 +71,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(checkpoint(narrow))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backoff score of every document under the bigram counts of all others."""
+    return lm_scoring.score(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "n_found",
+        F.round("log_score", 3).alias("log_score"),
+        F.round("mean_log_score", 4).alias("mean_log_score"),
+    )
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_jaccard_join": op2_jaccard_join,
@@ -80,5 +91,6 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {}
