@@ -18,8 +18,8 @@ LOWER[0x41:0x5B] += 32
 
 
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column, null as empty, and the places where each row begins (and the end)."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """All bytes of a string or binary column, null as empty, and the places where each row begins (and the end)."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     if not len(at):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,16 @@ def held_out(doc_id: Column, n: int, remainder: int) -> Column:
     return F.coalesce(crc_bucket(doc_id, n) == F.lit(remainder), F.lit(False))
 
 
+def carried(docs: DataFrame, names: list[str] | None) -> list[Column]:
+    """The columns an operator hands through unread, as one struct named row, so that no name can clash."""
+    return [F.struct(*(docs[c] for c in names)).alias("row")] if names else []
+
+
+def carried_kind(df: DataFrame) -> str:
+    """Schema text for the struct of carried columns, if there is one."""
+    return f", row {df.schema['row'].dataType.simpleString()}" if "row" in df.columns else ""
+
+
 def texts(column: pa.Array) -> list[str]:
     """Strings of an Arrow column, null as empty."""
     return [t or "" for t in column.to_pylist()]
@@ -42,14 +53,27 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iter
         start = end
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint; only a session without a folder gets one of its own."""
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application; only a session without one gets one of its own."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a Parquet table in the checkpoint folder; smaller than a checkpoint, for wide tables."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

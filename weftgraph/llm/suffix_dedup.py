@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import RollingHash, joined, mix
-from .common import slices
+from .common import carried, carried_kind, slices, stored
 
 RUN = 32
 SLICE_BYTES = 2 << 20
+ROWS_PER_GROUP = 4000
 
 
 def anchors(data: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -95,59 +96,93 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
                 )
 
     found = keyed.mapInArrow(find, "_h1 long, _h2 int, first int, last int, run long, block long")
-    intervals = (
-        found.groupBy("run")
-        .agg(F.count("*").alias("n"), F.min("block").alias("least"), F.max("block").alias("most"))
-        .where("n > 1")
-        .select("run", (F.col("least") == F.col("most")).alias("same"))
-    )
-    shared = found.join(intervals, "run")
-    # Different blocks of one interval; of equal ones, one stands for all.
-    members = shared.where("not same").groupBy("run", "block").agg(
-        F.count("*").alias("n"), F.min(F.struct("_h1", "_h2", "first", "last")).alias("one")
-    )
-    equal = shared.join(members.where("n > 1").select("run", "block"), ["run", "block"], "left_semi")
-    wholes = shared.where("same").unionByName(equal.select(*shared.columns)).select("_h1", "_h2", "first", "last")
-
+    intervals = found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    shared = stored(found.join(intervals, "run", "left_semi"))
+    # The different blocks of an interval; of equal ones, one stands for all.
+    members = shared.groupBy("run", "block").agg(F.count("*").alias("n"), F.min(F.struct("_h1", "_h2", "first", "last")).alias("one"))
+    mixed = members.groupBy("run").agg(F.count("*").alias("blocks")).where("blocks > 1")
+    several = members.where("n > 1").select("run", "block")
+    wholes = shared.join(several, ["run", "block"], "left_semi").select("_h1", "_h2", "first", "last")
+
+    n_groups = max(1, shared.count() // ROWS_PER_GROUP)
     asked = (
-        members.select("one.*", (F.col("n") > 1).alias("several"))
+        members.join(mixed, "run")
+        .select(
+            "one.*",
+            (F.col("n") > 1).alias("several"),
+            F.pmod(F.xxhash64("run"), F.lit(n_groups)).alias("group"),
+            F.ceil(F.col("blocks") / ROWS_PER_GROUP).cast("int").alias("shares"),
+        )
         .groupBy("_h1", "_h2")
-        .agg(F.collect_list(F.struct("first", "last", "several")).alias("blocks"))
+        .agg(F.collect_list(F.struct("first", "last", "several", "group", "shares")).alias("blocks"))
     )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The asked blocks' bytes; of a block in an interval of very many, the windows' hashes, dealt by hash."""
         for whole in batches:
             for batch in slices(whole, 1, SLICE_BYTES):
                 data, rows = joined(batch.column(1))
-                rolling, parts = RollingHash(data), []
+                rolling, out = None, []
                 for i, blocks in enumerate(batch.column(4).to_pylist()):
                     for b in blocks or ():
-                        starts = np.arange(b["first"], b["last"] + 1)
-                        parts.append((i, starts, b["several"], rolling.ranges(starts + rows[i], starts + rows[i] + length)))
-                if not parts:
-                    continue
-                where = pa.array(np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]))
-                several = np.repeat([p[2] for p in parts], [len(p[1]) for p in parts])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(2).take(where), batch.column(3).take(where),
-                        pa.array(np.concatenate([p[1] for p in parts]).astype(np.int32)), pa.array(several),
-                        signed(np.concatenate([p[3] for p in parts])),
-                    ],
-                    names=["_h1", "_h2", "first", "several", "window"],
-                )
-
-    expanded = keyed.join(asked, ["_h1", "_h2"], "left").select("doc_id", "text", "_h1", "_h2", "blocks").mapInArrow(
-        windows, "_h1 long, _h2 int, first int, several boolean, window long"
-    )
-    # Windows that stand for several are settled with their blocks; they only count.
-    again = expanded.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    singles = expanded.where("not several").join(again, "window", "left_semi")
-    return (
-        wholes.unionByName(singles.select("_h1", "_h2", "first", F.col("first").alias("last")))
-        .groupBy("_h1", "_h2")
-        .agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+                        start, end = rows[i] + b["first"], rows[i] + b["last"] + length
+                        if b["shares"] == 1:
+                            out.append((i, b["group"], 0, b["first"], b["several"], data[start:end].tobytes(), None, None))
+                            continue
+                        rolling = rolling or RollingHash(data)
+                        at = np.arange(b["first"], b["last"] + 1, dtype=np.int32)
+                        hashes = rolling.ranges(at + rows[i], at + rows[i] + length)
+                        share = (hashes % np.uint64(b["shares"])).astype(np.int64)
+                        for k in np.unique(share):
+                            mine = share == k
+                            out.append((i, b["group"], int(k) + 1, b["first"], b["several"], None, at[mine].tobytes(), hashes[mine].tobytes()))
+                if out:
+                    where, *columns = zip(*out, strict=True)
+                    where = pa.array(where, pa.int64())
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(2).take(where), batch.column(3).take(where), *map(pa.array, columns, kinds)],
+                        names=["_h1", "_h2", "group", "share", "first", "several", "bytes", "starts", "hashes"],
+                    )
+
+    def settle(key: tuple, rows: pa.Table) -> pa.Table:
+        """Runs of windows that another block of the group has too; blocks that stand for several are settled already."""
+        texts = rows.column("bytes").combine_chunks().cast(pa.large_binary())
+        firsts = rows.column("first").to_numpy()
+        starts = [np.frombuffer(x or b"", dtype=np.int32) for x in rows.column("starts").to_pylist()]
+        hashes = [np.frombuffer(x or b"", dtype=np.uint64) for x in rows.column("hashes").to_pylist()]
+        data, at = joined(texts)
+        rolling = RollingHash(data)
+        for i in np.flatnonzero(np.diff(at) >= length):
+            places = np.arange(at[i], at[i + 1] - length + 1)
+            starts[i] = (places - at[i] + firsts[i]).astype(np.int32)
+            hashes[i] = rolling.ranges(places, places + length)
+        owner = np.repeat(np.arange(len(firsts)), [len(s) for s in starts])
+        start, every = np.concatenate(starts).astype(np.int64), np.concatenate(hashes)
+        _, where, times = np.unique(every, return_inverse=True, return_counts=True)
+        hit = (times[where] > 1) & ~np.asarray(rows.column("several").combine_chunks().to_numpy(zero_copy_only=False), dtype=bool)[owner]
+        owner, start = owner[hit], start[hit]
+        new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
+        final = np.append(new[1:], len(owner))[: len(new)] - 1
+        taken = pa.array(owner[new])
+        return pa.table(
+            {
+                "_h1": rows.column("_h1").take(taken), "_h2": rows.column("_h2").take(taken),
+                "first": pa.array(start[new].astype(np.int32)), "last": pa.array(start[final].astype(np.int32)),
+            }
+        )
+
+    singles = (
+        keyed.join(asked, ["_h1", "_h2"], "left")
+        .select("doc_id", "text", "_h1", "_h2", "blocks")
+        .mapInArrow(
+            windows,
+            "_h1 long, _h2 int, group long, share int, first int, several boolean, bytes binary, starts binary, hashes binary",
+        )
+        .groupBy("group", "share")
+        .applyInArrow(settle, "_h1 long, _h2 int, first int, last int")
     )
+    return wholes.unionByName(singles).groupBy("_h1", "_h2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
@@ -161,11 +196,12 @@ def merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 200, carry: list[str] | None = None) -> DataFrame:
     """Cuts from every row each byte that lies in a string of length bytes occurring anywhere else too.
 
     Returns doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes: start,
-    end), kept (the remaining bytes; a cut may split a character). Texts are UTF-8
+    end), kept (the remaining bytes; a cut may split a character), and a struct of the
+    columns to carry, named row. Texts are UTF-8
     bytes, null is empty; matches lie within one text each, overlapping ones count,
     and repeated rows are repeats of each other. One row out for each row in; only
     doc_id and text are read.
@@ -173,7 +209,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 200) -> DataFrame:
     if length < 2 * RUN:
         raise ValueError(f"length must be at least {2 * RUN}")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_h1"), F.hash("text", "doc_id").alias("_h2"))
+    keys = (F.xxhash64("doc_id", "text").alias("_h1"), F.hash("text", "doc_id").alias("_h2"))
+    keyed = docs.select("doc_id", "text", *keys, *carried(docs, carry))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,11 +227,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
-                    pa.array(runs, span_type), pa.array(kept, pa.binary()),
+                    pa.array(runs, span_type), pa.array(kept, pa.binary()), *batch.columns[3:],
                 ],
-                names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
+                names=["doc_id", "n_bytes", "n_removed", "spans", "kept", *batch.schema.names[3:]],
             )
 
-    return keyed.join(repeated_spans(keyed, length), ["_h1", "_h2"], "left").select("doc_id", "text", "spans").mapInArrow(
-        cut, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    spans = repeated_spans(keyed.select("doc_id", "text", "_h1", "_h2"), length)
+    cut_from = keyed.join(spans, ["_h1", "_h2"], "left").select("doc_id", "text", "spans", *keyed.columns[4:])
+    return cut_from.mapInArrow(
+        cut,
+        f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary" + carried_kind(cut_from),
     )
