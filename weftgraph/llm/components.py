@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: all larger neighbours of a node go to the least of its neighbours and itself.
         near = both(edges)
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # Small star: a node and its smaller neighbours go to the least of these.
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (

@@ -210,16 +210,17 @@ def block_links(threshold: float):
 
 def link(
     docs: DataFrame, *, threshold: float = 0.8, width: int = 5, recall: float = 0.9999,
-    bucket: int = 64, depth: int = 4, block_rows: int = 512, block_shingles: int = 400_000,
+    bucket: int = 64, depth: int = 3, block_rows: int = 512, block_shingles: int = 400_000,
 ) -> DataFrame:
-    """Classes of similar texts: (doc_id, class_id, n_links), a row for each row of docs.
+    """Classes of similar texts: (doc_id, class_id, n_links, class_key, text_key), a row for each row of docs.
 
     Two rows are linked if the Jaccard similarity of their sets of width-word shingles
     is at least threshold (rows with equal sets always). n_links counts a row's links;
     class_id is the least doc_id of all rows tied to it by links, its own if there are
     none. Words are lower-cased runs of ASCII letters, digits and characters beyond
-    ASCII; fewer than width words are one shingle; a text without words (null, empty)
-    links to nothing. No links are dropped and no bucket is capped: one larger than
+    ASCII; class_key names the class also where ids repeat, text_key is xxhash64 of the
+    text, to tell rows of one id apart. Fewer than width words are one shingle; a text without words (null, empty)
+    links to nothing and has no class_key. No links are dropped and no bucket is capped: one larger than
     bucket is split further, and at the greatest depth its sets are tied as they are;
     the exact comparison runs over blocks of every tie. Only doc_id and text are read.
     """
@@ -239,14 +240,16 @@ def link(
                         ids[i], sketches[i], shorts[i] = set_id(sets[i]), row.tobytes(), row.astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
+                        batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
                         pa.array(sketches, pa.binary()), pa.array(shorts, pa.binary()),
                     ],
-                    names=["doc_id", "set_id", "size", "sketch", "short"],
+                    names=["doc_id", "text_key", "set_id", "size", "sketch", "short"],
                 )
 
     described = checkpoint(
-        docs.select("doc_id", "text").mapInArrow(describe, f"doc_id {doc_kind}, set_id long, size int, sketch binary, short binary")
+        docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+            describe, f"doc_id {doc_kind}, text_key long, set_id long, size int, sketch binary, short binary"
+        )
     )
     sets = checkpoint(
         described.where("set_id is not null").groupBy("set_id").agg(
@@ -273,28 +276,26 @@ def link(
 
     level_kind = "path long, set_id long"
     level = sets.select("set_id", "sketch").mapInArrow(first_level, level_kind)
-    ties: list[DataFrame] = []
+    leaves: list[DataFrame] = []
     for at in range(1, depth + 1):
-        level = checkpoint(level.distinct())
+        level = checkpoint(level)
         counts = level.groupBy("path").agg(F.count("*").alias("n"), F.min("set_id").alias("least")).where("n > 1")
         counted = level.join(counts, "path")
-        small = counted.where(F.col("n") <= bucket).select("path", "set_id").join(sets.select("set_id", "short"), "set_id")
-        ties.append(
-            small.select("path", "set_id", "short")
-            .repartition("path")
-            .sortWithinPartitions("path")
-            .mapInArrow(bucket_links(threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)), "a long, b long")
-        )
+        leaves.append(counted.where(F.col("n") <= bucket).select("path", "set_id"))
         large = counted.where(F.col("n") > bucket)
-        if at == depth:
-            ties.append(large.select(F.col("set_id").alias("a"), F.col("least").alias("b")))
-        else:
-            level = large.select("path", "set_id").join(sets.select("set_id", "sketch"), "set_id").select("path", "set_id", "sketch").mapInArrow(
-                next_level, level_kind
-            )
-    tied = ties[0]
-    for t in ties[1:]:
-        tied = tied.unionByName(t)
+        level = large.join(sets.select("set_id", "sketch"), "set_id").select("path", "set_id", "sketch").mapInArrow(next_level, level_kind)
+    crowded = large.select(F.col("set_id").alias("a"), F.col("least").alias("b"))
+    small = leaves[0]
+    for leaf in leaves[1:]:
+        small = small.unionByName(leaf)
+    look_alikes = (
+        small.join(sets.select("set_id", "short"), "set_id")
+        .select("path", "set_id", "short")
+        .repartition("path")
+        .sortWithinPartitions("path")
+        .mapInArrow(bucket_links(threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)), "a long, b long")
+    )
+    tied = look_alikes.unionByName(crowded)
     clusters = checkpoint(components(tied))
 
     members = clusters.join(sets.select("set_id", "copies", "first", "size"), clusters["node"] == sets["set_id"]).drop("node")
@@ -334,10 +335,12 @@ def link(
     named = known.groupBy("root").agg(F.min("first").alias("class_first"))
     info = (
         known.join(named, "root").join(links, F.col("set_id") == F.col("node"), "left")
-        .select("set_id", "first", "class_first", F.coalesce("links", F.lit(0)).alias("links"), "copies")
+        .select("set_id", "root", "class_first", F.coalesce("links", F.lit(0)).alias("links"), "copies")
     )
-    return described.select("doc_id", "set_id").join(info, "set_id", "left").select(
+    return described.select("doc_id", "set_id", "text_key").join(info, "set_id", "left").select(
         "doc_id",
         F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_first")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
+        F.col("root").alias("class_key"),
+        "text_key",
     )
