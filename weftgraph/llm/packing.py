@@ -9,9 +9,11 @@ its place in them by its rank among the documents of its length.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,9 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
+
+SLICE_BYTES = 1 << 20
 
 # How the vocabulary file splits lower-cased text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -114,33 +118,61 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
 
 
 class Tokenizer:
-    """Ids of texts by a tokenizer file; distinct words are encoded once."""
+    """Ids of texts by a tokenizer file.
+
+    No match of the vocabulary's pattern spans white space, so texts are split there and
+    each distinct stretch is encoded once, as long as it is remembered: those not seen
+    for a generation of `remembered` new ones are forgotten.
+    """
 
     def __init__(self, path: str, end: int, remembered: int = 400_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.words, self.remembered = regex.compile(WORDS), remembered
-        self.end = np.array([end], dtype="<u4").tobytes()
-        # Below U+0250 (without the dotted capital I) text is in normal form, and lower() maps letter by letter.
-        self.plain = regex.compile("[\u0000-įı-ɏ]*")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text, the end id last."""
-        if not self.plain.fullmatch(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + self.end
-        found = self.words.findall(text.lower())
-        at = list(map(self.known.get, found))
-        if None in at:
-            if len(self.known) > self.remembered:
-                self.known.clear()
-            new = [w for w in dict.fromkeys(found) if w not in self.known]
-            for word, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
-            at = list(map(self.known.get, found))
-        return b"".join(at) + self.end
+        self.match, self.remembered = regex.compile(WORDS), remembered
+        self.end = array("I", [end]).tobytes()
+        # Below U+0250 (without the dotted capital I, and the separators that only Python's split takes for
+        # white space) text is in normal form, and lower() maps letter by letter.
+        self.plain = regex.compile("[\u0000-\u001b\u0020-\u012f\u0131-\u024f]*")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def learn(self, stretches: list[str]) -> None:
+        """Encodes new stretches; of their words only those that are new go to the library."""
+        matches = [self.match.findall(s) for s in stretches]
+        new = list(set().union(*matches).difference(self.words))
+        if len(self.words) + len(new) > self.remembered:
+            self.words = {}
+            new = list(set().union(*matches))
+        for word, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
+            self.words[word] = array("I", e.ids).tobytes()
+        known = self.words
+        for s, found in zip(stretches, matches, strict=True):
+            self.young[s] = known[found[0]] if len(found) == 1 else b"".join([known[w] for w in found])
+
+    def encode(self, several: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of texts, the end id last."""
+        split = [t.lower().split() if self.plain.fullmatch(t) else None for t in several]
+        asked = set().union(*(s for s in split if s)).difference(self.young)
+        if asked:
+            if len(self.young) > self.remembered:
+                self.old, self.young = self.young, {}
+                asked = set().union(*(s for s in split if s))
+            again = asked.intersection(self.old)
+            self.young.update((w, self.old[w]) for w in again)
+            self.learn(list(asked.difference(again)))
+        get = self.young.__getitem__
+        return [
+            self.end.join((array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes(), b""))
+            if s is None
+            else b"".join(map(get, s)) + self.end
+            for t, s in zip(several, split, strict=True)
+        ]
 
 
 def tokenize(docs: DataFrame, path: str, *, end: int = 1, capacity: int = 4096) -> DataFrame:
@@ -155,8 +187,8 @@ def tokenize(docs: DataFrame, path: str, *, end: int = 1, capacity: int = 4096)
         tokenizer = Tokenizer(path, end)
         for batch in batches:
             row, piece, ids = [], [], []
-            for i, text in enumerate(texts(batch.column(1))):
-                data = tokenizer.encode(text)
+            encoded = chain.from_iterable(tokenizer.encode(texts(part.column(1))) for part in slices(batch, 1, SLICE_BYTES))
+            for i, data in enumerate(encoded):
                 for k, a in enumerate(range(0, len(data), 4 * capacity)):
                     row.append(i)
                     piece.append(k)
