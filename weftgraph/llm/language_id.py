@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import carried, carried_kind, texts
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
@@ -206,8 +206,8 @@ class Labeller:
         return [(self.model.languages[path[a]], int(a), int(n), int(c)) for a, n, c in zip(starts, sizes, letters, strict=True)]
 
 
-def identify(docs: DataFrame, model: Model, *, switch_penalty: float = 12.0) -> DataFrame:
-    """Language of every row of docs: (doc_id, lang_pred, score, spans).
+def identify(docs: DataFrame, model: Model, *, switch_penalty: float = 12.0, carry: list[str] | None = None) -> DataFrame:
+    """Language of every row of docs: (doc_id, lang_pred, score, spans, and a struct of the columns to carry, named row).
 
     lang_pred is the language with the most letters over its spans (ties: the first by
     name), score that share of all letters, spans the labelled runs of words. A null
@@ -231,12 +231,13 @@ def identify(docs: DataFrame, model: Model, *, switch_penalty: float = 12.0) ->
                 scores.append(round(letters[best] / sum(letters.values()), 6) if letters else 0.0)
                 runs.append([dict(zip(("language", "first_word", "words", "letters"), s, strict=True)) for s in spans])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(runs, span_type)],
-                names=["doc_id", "lang_pred", "score", "spans"],
+                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(runs, span_type), *batch.columns[2:]],
+                names=["doc_id", "lang_pred", "score", "spans", *batch.schema.names[2:]],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    read = docs.select("doc_id", "text", *carried(docs, carry))
+    return read.mapInArrow(
         run,
         f"doc_id {kind}, lang_pred string, score double, "
-        "spans array<struct<language:string,first_word:bigint,words:bigint,letters:bigint>>",
+        "spans array<struct<language:string,first_word:bigint,words:bigint,letters:bigint>>" + carried_kind(read),
     )

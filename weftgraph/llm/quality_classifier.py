@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import carried, carried_kind, texts
 
 BLOCK = 2048
 LEVEL = 3
@@ -139,8 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 1500, max_chars:
     return Model(good, bad, _calibrate(x, y, weight * len(y) / weight.sum()))
 
 
-def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
-    """Scores every row of docs by its whole text: (doc_id, score, predicted).
+def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, carry: list[str] | None = None) -> DataFrame:
+    """Scores every row of docs by its whole text: (doc_id, score, predicted, and a struct of the columns to carry, named row).
 
     score is the calibrated probability of quality 1; predicted is 1 from threshold
     on. Null and empty texts have sizes 0, so they get the calibration's value there. One row out for each row in, repeated rows included; only doc_id and
@@ -152,9 +152,10 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
         for batch in batches:
             p = np.round(model.probability(sizer.all_sizes(texts(batch.column(1)))), 6)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))],
-                names=["doc_id", "score", "predicted"],
+                [batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *batch.columns[2:]],
+                names=["doc_id", "score", "predicted", *batch.schema.names[2:]],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    read = docs.select("doc_id", "text", *carried(docs, carry))
+    return read.mapInArrow(run, f"doc_id {kind}, score double, predicted int" + carried_kind(read))

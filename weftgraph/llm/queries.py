@@ -22,7 +22,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies and number of links of every document: five words a shingle, similarity from 0.8."""
-    return jaccard_join.link(table(spark, sf_dir, "documents"))
+    return jaccard_join.link(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
