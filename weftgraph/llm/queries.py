@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, fingerprint, jaccard_join, language_id, license_scan, lm_scoring, packing, quality_classifier, quality_rules, suffix_dedup
 from .common import checkpoint, held_out, table
+from .oracles import ORACLE_SQL
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_jaccard_join": op2_jaccard_join,
@@ -107,4 +110,3 @@ QUERIES = {
     "op9_fingerprint": op9_fingerprint,
     "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLE_SQL: dict[str, str] = {}
