@@ -29,6 +29,15 @@ SLICE_BYTES = 1 << 20
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if visible, else the next from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 @dataclass
 class Pattern:
     """So many equal sequences, each filled with (length, copies) in this order."""
@@ -149,9 +158,10 @@ class Tokenizer:
         if len(self.words) + len(new) > self.remembered:
             self.words = {}
             new = list(set().union(*matches))
-        for word, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.words[word] = array("I", e.ids).tobytes()
-        known = self.words
+        known, merge = self.words, self.library.model.tokenize
+        for word in new:  # the model merges one word at a time: no text to align, so no full encoding is needed
+            plain = word if word.isascii() and word.isalnum() else word.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+            known[word] = array("I", [t.id for t in merge(plain)]).tobytes()
         for s, found in zip(stretches, matches, strict=True):
             self.young[s] = known[found[0]] if len(found) == 1 else b"".join([known[w] for w in found])
 
@@ -163,9 +173,9 @@ class Tokenizer:
             if len(self.young) > self.remembered:
                 self.old, self.young = self.young, {}
                 asked = set().union(*(s for s in split if s))
-            again = asked.intersection(self.old)
-            self.young.update((w, self.old[w]) for w in again)
-            self.learn(list(asked.difference(again)))
+            new = asked.difference(self.old)
+            self.young.update((w, self.old[w]) for w in asked.difference(new))
+            self.learn(list(new))
         get = self.young.__getitem__
         return [
             self.end.join((array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes(), b""))
