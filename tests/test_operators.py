@@ -125,3 +125,57 @@ def test_daily_churn_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(str(r["day"]), r["file"]): r["commits"] for r in spark.table("churn").collect()} == {("2024-01-01", "a"): 2, ("2024-01-02", "b"): 1}
+
+
+def test_notebook_source(spark):
+    import json
+
+    from weftgraph.operators.ingest import notebook_source
+
+    book = {"cells": [
+        {"cell_type": "code", "source": ["import a\n", "%magic\n", "b = 1"]},
+        {"cell_type": "markdown", "source": "text"},
+        {"cell_type": "code", "source": "!ls\nc = [2]"},
+    ]}
+    rows = spark.createDataFrame([(json.dumps(book),), ("no json",), (json.dumps({"cells": []}),)], "content string")
+    assert [r[0] for r in rows.select(notebook_source(F.col("content"))).collect()] == ["import a\nb = 1\n\nc = [2]", None, None]
+
+
+@pytest.mark.parametrize(
+    ("path", "out"),
+    [("src/a.py", False), ("node_modules/x.js", True), (".github/a.py", True), ("a/.b/c.py", True), ("src/x.d.ts", True),
+     ("src/x.spec.TSX", True), ("vite.config.ts", True), ("src/hooks/use-toast.ts", True), ("supabase/a.ts", True), ("build", False)],
+)
+def test_skipped_paths(spark, path, out):
+    from weftgraph.operators.ingest import skipped
+
+    assert spark.range(1).select(skipped(F.lit(path))).first()[0] == out
+
+
+def test_hints_rank_as_documented(spark):
+    rows = [("a", "parse", "core.parse", "function"), ("b", "Parse", "core.Parse", "class"), ("c", "reparse", "x.reparse", "method"), ("d", "other", "parse.other", "function")]
+    symbols = spark.createDataFrame(rows, "id string, name string, qualified_name string, kind string")
+    got = {r["id"]: r["score"] for r in resolve.score_symbols(symbols, [("core.parse", True)]).collect()}
+    assert got["a"] == 30.5 and got["b"] == 30.25 and got["c"] == 0.5 and got["d"] == 0.5
+
+
+def test_cycles_by_component(spark):
+    g = graph(spark, 10, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 5), (6, 7), (8, 6)], "imports")
+    got = {r["id"]: (r["cycle"], r["size"]) for r in metrics.cycles(g).collect()}
+    assert got == {"n0": ("n0", 3), "n1": ("n0", 3), "n2": ("n0", 3), "n3": ("n3", 2), "n4": ("n3", 2), "n5": ("n5", 1)}
+
+
+def test_import_resolvers(spark):
+    frame = spark.createDataFrame
+    includes = frame([("a.c", "util/x.h"), ("a.c", "none.h")], "source string, path string")
+    files = frame([("lib/x.h", 1), ("src/util/x.h", 2)], "path string, seq long")
+    assert [tuple(r) for r in resolve.resolve_includes(includes, files).collect()] == [("a.c", "lib/x.h")]
+    packages = frame([("m.go", "example.org/app/pkg/db")], "source string, path string")
+    folders = frame([("db", "x/db.go"), ("pkg/db", "app/pkg/db/db.go")], "folder string, target string")
+    assert resolve.resolve_packages(packages, folders).first()["target"] == "app/pkg/db/db.go"
+    classes = frame([("A.java", "org.shop.Cart.Item")], "source string, path string")
+    named = frame([("Cart", "shop/Cart.java"), ("Item", "shop/Item.java")], "name string, target string")
+    assert resolve.resolve_classes(classes, named).first()["target"] == "shop/Item.java"
+    calls = frame([("f", 15, "g"), ("f", 45, "h")], "file string, at int, name string")
+    spans = frame([("f", "outer", 0, 40), ("f", "inner", 10, 20)], "file string, caller string, start int, end int")
+    assert {(r["name"], r["caller"]) for r in resolve.enclosing(calls, spans).collect()} == {("g", "inner")}

@@ -208,3 +208,50 @@ def graph_stats(graph: CodeGraph, cycles: int = 0, max_sources: int = 60) -> Dat
     top = betweenness(g).agg(F.max("betweenness").alias("top"))
     joined = paths.crossJoin(density(graph)).crossJoin(parts).crossJoin(top)
     return joined.select("diameter", "avg_path", "density", "components", health_score(F.col("top"), F.col("diameter"), F.col("components"), F.col("density"), F.lit(cycles)).alias("health"))
+
+
+def cycles(graph: CodeGraph, types: tuple[str, ...] = ("imports", "include")) -> DataFrame:
+    """(id, cycle, size): nodes on a directed cycle over edges of these types, by strongly connected component.
+
+    cycle is the component's least id; a node with an edge to itself is a cycle of one.
+    Nodes without a way in or out are trimmed first. Then the greatest id that reaches a
+    node colours it, and what reaches the colour's own node within the colour is a
+    component; the rest goes round again.
+    """
+    g = graph.closed()
+    edges = cut(g.edges.where(F.col("type").isin(*types)).select("source", "target").distinct())
+    loops = edges.where("source = target").select(F.col("source").alias("id"), F.col("source").alias("root"))
+    edges = cut(edges.where("source <> target"))
+    found: list[DataFrame] = [cut(loops)]
+    while True:
+        while True:  # trim
+            kept = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+            kept = cut(kept.join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+            done = kept.count() == edges.count()
+            edges = kept
+            if done:
+                break
+        if edges.isEmpty():
+            break
+        colour = cut(edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct().withColumn("colour", F.col("id")))
+        while True:
+            come = edges.join(colour.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.max("colour").alias("come"))
+            after = cut(colour.join(come, "id", "left").select("id", "colour", F.greatest("colour", F.coalesce("come", "colour")).alias("new")))
+            done = after.where("colour <> new").isEmpty()
+            colour = after.select("id", F.col("new").alias("colour"))
+            if done:
+                break
+        inside = edges.join(colour.withColumnsRenamed({"id": "source", "colour": "c"}), "source").join(colour.withColumnsRenamed({"id": "target", "colour": "d"}), "target").where("c = d")
+        inside = cut(inside.select("source", "target"))
+        roots = colour.where("id = colour").select("id")
+        members = cut(reach(inside, roots, None).select("id").join(colour, "id").select("id", F.col("colour").alias("root")))
+        found.append(members)
+        gone = members.select("id")
+        edges = cut(edges.join(gone, F.col("source") == F.col("id"), "left_anti").join(gone, F.col("target") == F.col("id"), "left_anti"))
+    parts = found[0]
+    for f in found[1:]:
+        parts = parts.unionByName(f)
+    sized = parts.groupBy("root").agg(F.min("id").alias("cycle"), F.countDistinct("id").alias("size"))
+    looped = found[0].select(F.col("id").alias("_loop"))
+    on_cycle = parts.join(sized, "root").join(looped, F.col("id") == F.col("_loop"), "left").where("size > 1 or _loop is not null")
+    return on_cycle.groupBy("id").agg(F.max(F.struct("size", "cycle")).alias("c")).select("id", "c.cycle", "c.size")

@@ -19,19 +19,29 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return calls.join(named, "callee").where("source <> target").select("source", "target").distinct()
 
 
-def score_symbols(symbols: DataFrame, hints: list[str]) -> DataFrame:
-    """(id, score): how well names match words: equal 30, equal but for case 26, prefix 18, part 8, plus shared tokens.
+def score_symbols(symbols: DataFrame, hints: list[tuple[str, bool]]) -> DataFrame:
+    """(id, score): how well symbols (id, name, qualified_name, kind) match the words of a prompt.
 
-    hints are the few words of a prompt, so they travel as a literal.
+    A hint is a word and whether it stood out; others weigh 0.35. Matches rank from the
+    qualified name (30) over the name (26), the hint's last part (22, 18) to a part of a
+    name (8) or of the qualified one (4); weak matches gain by shared tokens. Functions,
+    methods and classes are slightly ahead. hints are few, so they travel as a literal.
     """
-    spark = symbols.sparkSession
-    rows = spark.createDataFrame([(h,) for h in hints], "hint string").withColumn("hint_tokens", name_tokens(F.col("hint")))
-    pairs = symbols.select("id", "name", name_tokens(F.col("name")).alias("tokens")).crossJoin(F.broadcast(rows))
-    name, hint = F.lower("name"), F.lower("hint")
-    ladder = F.when(F.col("name") == F.col("hint"), 30).when(name == hint, 26).when(name.startswith(hint), 18).when(name.contains(hint), 8).otherwise(0)
-    shared = F.size(F.filter("hint_tokens", lambda t: F.array_contains("tokens", t)))
-    bonus = F.when((ladder <= 8) & (shared > 0), 6 * shared + F.floor(4 * shared / F.size("hint_tokens") + 0.5)).otherwise(0)
-    return pairs.groupBy("id").agg(F.sum(ladder + bonus).cast("long").alias("score"))
+    rows = symbols.sparkSession.createDataFrame(hints, "hint string, strong boolean")
+    rows = rows.withColumn("parts", name_tokens(F.col("hint"))).withColumn("hint", F.lower("hint")).withColumn("tail", F.regexp_extract("hint", r"([^.]*)$", 1))
+    named = symbols.select("id", "kind", F.lower("name").alias("n"), F.lower("qualified_name").alias("qn"), name_tokens(F.col("name")).alias("tokens"))
+    n, qn, hint, tail = F.col("n"), F.col("qn"), F.col("hint"), F.col("tail")
+    ends = lambda t: qn.endswith(F.concat(F.lit("."), t)) | qn.endswith(F.concat(F.lit("::"), t))
+    ladder = (
+        F.when((qn == hint) | ends(hint), 30).when(n == hint, 26).when(n == tail, 22).when(ends(tail), 18)
+        .when(n.contains(hint) | hint.contains(n), 8).when(qn.contains(hint), 4).otherwise(0)
+    )
+    shared = F.size(F.filter("parts", lambda t: F.array_contains("tokens", t)))
+    bonus = F.when((ladder <= 8) & (shared > 0), 6 * shared + F.floor(4 * shared / F.size("parts") + 0.5)).otherwise(0)
+    weight = F.when(F.col("strong"), 1.0).otherwise(0.35)
+    ahead = F.when(F.col("kind").isin("function", "method"), 0.5).when(F.col("kind") == "class", 0.25).otherwise(0.0)
+    scored = named.crossJoin(F.broadcast(rows)).groupBy("id", "kind").agg(F.sum((ladder + bonus) * weight).alias("score"))
+    return scored.select("id", F.round(F.col("score") + ahead, 6).alias("score"))
 
 
 def best_match(scored: DataFrame, floor: int = 4, sure: int = 12, gap: int = 1) -> DataFrame:
@@ -76,3 +86,34 @@ def commit_churn(commits: DataFrame, as_of: Column, days: int = 90) -> DataFrame
     touched = commits.select("ts", F.explode("files").alias("file"))
     recent = F.count_if(F.col("ts") >= as_of - F.expr(f"interval {days} days"))
     return touched.groupBy("file").agg(recent.alias("churn"), F.to_date(F.max("ts")).alias("last_commit"))
+
+
+def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:
+    """(source, target): C includes (source, path) to the first file (path, seq) that ends in the path, or has its name.
+
+    A file that ends in the path has its name too, so one join on names finds both.
+    """
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    asked = includes.select("source", F.col("path").alias("wanted"), name(F.col("path")).alias("base"))
+    have = files.select(F.col("path").alias("target"), "seq", name(F.col("path")).alias("base"))
+    return asked.join(have, "base").groupBy("source", "wanted").agg(F.min_by("target", "seq").alias("target")).where("source <> target").select("source", "target").distinct()
+
+
+def resolve_packages(imports: DataFrame, folders: DataFrame) -> DataFrame:
+    """(source, target): Go imports (source, path) to the folder (folder, target) that is their longest suffix."""
+    parts = F.split("path", "/")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    asked = imports.select("source", "path", F.posexplode(suffixes).alias("at", "folder"))
+    return asked.join(folders, "folder").groupBy("source", "path").agg(F.min_by("target", F.struct("at", "target")).alias("target")).select("source", "target").distinct()
+
+
+def resolve_classes(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(source, target): dotted imports (source, path) to the file (name, target) of the last capitalised part that has one."""
+    asked = imports.select("source", "path", F.posexplode(F.split("path", r"\.")).alias("at", "name")).where(F.col("name").rlike("^[A-Z]"))
+    return asked.join(files, "name").groupBy("source", "path").agg(F.max_by("target", F.struct("at", "target")).alias("target")).where("source <> target").select("source", "target").distinct()
+
+
+def enclosing(calls: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(file, at, name, caller): each call (file, at, name) with the innermost definition (file, caller, start, end) around it."""
+    around = calls.join(definitions, "file").where("start <= at and at < end")
+    return around.groupBy("file", "at", "name").agg(F.min_by("caller", F.struct(F.col("end") - F.col("start"), F.col("caller"))).alias("caller"))

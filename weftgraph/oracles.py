@@ -96,6 +96,8 @@ comp(id, root) AS (SELECT id, id FROM ug_nodes UNION SELECT u.b, c.root FROM com
 parts AS (SELECT id, MIN(root) AS component FROM comp GROUP BY id)"""
 _DENSITY = "(SELECT COUNT(*) FROM (SELECT DISTINCT least(source, target), greatest(source, target) FROM {e})) / ((SELECT COUNT(*) FROM {v}) * ((SELECT COUNT(*) FROM {v}) - 1) / 2.0::DOUBLE)"
 
+_PATHS = "WITH p AS (SELECT o_orderkey AS id, o_orderkey % 8 AS k, o_custkey % 11 AS e FROM orders) "
+
 ORACLE_SQL = {
     "a1_counts": _q("SELECT type, COUNT(*) AS n FROM cg_nodes GROUP BY type UNION ALL SELECT type, COUNT(*) FROM cg_edges GROUP BY type"),
     "a8_fan_counts": _q("SELECT id, fan_in, fan_out FROM cg_symbols"),
@@ -132,6 +134,8 @@ pr(it, id, r) AS (
       FROM (SELECT (SELECT MAX(depth) FROM dist) AS dia, (SELECT FLOOR(AVG(depth) * 10 + 0.5) / 10 FROM dist WHERE depth > 0) AS avg_path,
         {_DENSITY.format(e='ug_edges', v='ug_nodes')} AS dens, (SELECT COUNT(DISTINCT component) FROM parts) AS comps,
         (SELECT MAX(betweenness) FROM bt) AS top) q""", _STRIDE + "," + _PARTS + "," + _BETWEEN),
+    "g4_cycles": _q("""SELECT a.s AS id, least(a.s, MIN(b.t)) AS cycle, COUNT(DISTINCT b.t) AS size FROM c a JOIN c b ON b.s = a.s JOIN c r ON r.s = b.t AND r.t = a.s
+      WHERE a.t = a.s GROUP BY a.s""", "e AS (SELECT source AS s, target AS t FROM cg_edges WHERE type = 'imports'), c(s, t) AS (SELECT s, t FROM e UNION SELECT c.s, e.t FROM c JOIN e ON e.s = c.t)"),
     "g23_impact": _q(f"SELECT h.id, CAST(h.depth AS INT) AS depth, s.fan_in, s.churn, {_RISK} AS risk FROM hit h JOIN cg_symbols s USING (id) WHERE h.depth > 0", _reach(5)),
     "a7_impact_summary": _q(f"""SELECT CAST(COUNT(*) FILTER (r = 'high') AS BIGINT) AS high, CAST(COUNT(*) FILTER (r = 'medium') AS BIGINT) AS medium,
       CAST(COUNT(*) FILTER (r = 'low') AS BIGINT) AS low, COUNT(*) AS total, CAST(COALESCE(MAX(depth), 0) AS INT) AS depth_max
@@ -190,10 +194,23 @@ x AS (SELECT source AS id FROM xe UNION SELECT target FROM xe)"""),
         ORDER BY e.type, e.source, e.target LIMIT 3) b"""),
     "j2_resolve_calls": "SELECT DISTINCT CAST(p.p_partkey AS VARCHAR) AS source, CAST(f.k AS VARCHAR) AS target FROM part p JOIN (SELECT p_name, MIN(p_partkey) AS k FROM part GROUP BY 1) f ON f.p_name = p.p_name WHERE f.k <> p.p_partkey",
     "r1_name_tokens": _q("SELECT id, array_to_string(list_filter(string_split(lower(name), '_'), lambda t: length(t) >= 2), ' ') AS tokens FROM cg_sym"),
-    "r3_score_symbols": _q("""SELECT id, CAST(SUM(l + CASE WHEN l <= 8 AND sh > 0 THEN 6 * sh + FLOOR(4 * sh / n + 0.5) ELSE 0 END) AS BIGINT) AS score FROM (
-      SELECT s.id, CASE WHEN s.name = h.h THEN 30 WHEN lower(s.name) = lower(h.h) THEN 26 WHEN starts_with(lower(s.name), lower(h.h)) THEN 18 WHEN contains(lower(s.name), lower(h.h)) THEN 8 ELSE 0 END AS l,
-        len(list_filter(h.t, lambda x: list_contains(list_filter(string_split(lower(s.name), '_'), lambda y: length(y) >= 2), x))) AS sh, len(h.t) AS n
-      FROM cg_sym s, (VALUES ('part_1', ['part']), ('Part', ['part']), ('17', ['17'])) h(h, t)) q GROUP BY id"""),
+    "r3_score_symbols": _q("""SELECT id, ROUND(SUM((l + CASE WHEN l <= 8 AND sh > 0 THEN 6 * sh + FLOOR(4 * sh / n + 0.5) ELSE 0 END) * w) + 0.5, 6) AS score FROM (
+      SELECT s.id, h.w, CASE WHEN s.qn = h.h OR ends_with(s.qn, '.' || h.h) THEN 30 WHEN s.n = h.h THEN 26 WHEN contains(s.n, h.h) OR contains(h.h, s.n) THEN 8
+          WHEN contains(s.qn, h.h) THEN 4 ELSE 0 END AS l,
+        len(list_filter(h.t, lambda x: list_contains(s.t, x))) AS sh, len(h.t) AS n
+      FROM (SELECT id, lower(name) AS n, lower(replace(file, '/', '.') || '.' || name) AS qn, list_filter(string_split(lower(name), '_'), lambda y: length(y) >= 2) AS t FROM cg_sym) s,
+        (VALUES ('red_widget_1', ['red', 'widget'], 1.0::DOUBLE), ('blue bolt', ['blue', 'bolt'], 0.35::DOUBLE), ('promo', ['promo'], 0.35::DOUBLE)) h(h, t, w)) q GROUP BY id"""),
+    "f1_skipped": _PATHS + """SELECT id, k IN (1, 2, 3, 4, 5) OR e IN (1, 2, 3) AS skipped, k IN (1, 2, 7) OR e = 7 AS secret,
+      ['.py', '.ts', '.ts', '.js', '.rb', '.sql', '.go', '.pem', '.css', '.tsx', '.vue'][e + 1] AS ending,
+      CASE WHEN e = 0 THEN 'python' WHEN e IN (1, 2, 3, 9) THEN 'javascript' WHEN e = 6 THEN 'go' END AS language FROM p""",
+    "a2_skipped_endings": _PATHS + """SELECT CASE e WHEN 4 THEN '.rb' WHEN 5 THEN '.sql' WHEN 8 THEN '.css' ELSE '.vue' END AS ending, COUNT(*) AS files
+      FROM p WHERE e IN (4, 5, 8, 10) GROUP BY 1 ORDER BY files DESC, ending LIMIT 4""",
+    "r5_identifiers": r"""WITH c AS (SELECT page_id AS id, regexp_replace(html, '[#''`"/]', ' ', 'g') AS code FROM pages),
+      f AS (SELECT id, unnest(regexp_extract_all(code, '\b([A-Za-z_][A-Za-z0-9_]+)\s*\(', 1)) AS name, true AS call FROM c
+        UNION ALL SELECT id, unnest(regexp_extract_all(code, '(?:\.|::|->)([A-Za-z_][A-Za-z0-9_]+)', 1)), false FROM c
+        UNION ALL SELECT id, unnest(regexp_extract_all(code, '<([A-Z][A-Za-z0-9_]*)', 1)), true FROM c)
+      SELECT id, name, COUNT(*) AS occurrences, bool_or(call) AS has_call, bool_or(NOT call) AS has_member FROM f
+      WHERE length(name) >= 3 AND name NOT IN ('com', 'org', 'net') GROUP BY id, name""",
     "r8_repository": r"SELECT page_id, regexp_extract(url, '^(?:[a-z]+://)?([^/]+)', 1) AS host, regexp_extract(url, '^(?:[a-z]+://)?[^/]+/([^/?#]+)', 1) AS folder FROM pages",
     "f9_search": _q("SELECT id FROM cg_nodes WHERE contains(lower(name), 'promo') OR contains(lower(file), 'promo') UNION ALL SELECT id FROM cg_nodes WHERE contains(lower(name), '_7') OR contains(lower(file), '_7')"),
     "f10_visible": "SELECT c_custkey AS id, c_nationkey AS owner_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'public' ELSE 'private' END AS visibility FROM customer WHERE c_nationkey = 3 OR c_mktsegment = 'BUILDING'",

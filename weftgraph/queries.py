@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths
 from .graph import CodeGraph
-from .operators import impact, layers, metrics, resolve, testplan, traverse
+from .operators import impact, ingest, layers, metrics, resolve, testplan, traverse
 from .plans.lineage import cut
 from .sources import derived
 
@@ -98,6 +98,10 @@ def g8_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("diameter", "avg_path", F.round("density", 8).alias("density"), "components", "health")
 
 
+def g4_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.cycles(derived.part_graph(spark, sf_dir), ("imports",))
+
+
 def g23_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, symbols, target = _case(spark, sf_dir)
     return impact.affected(symbols, g.edges, target).select("id", "depth", "fan_in", "churn", "risk")
@@ -221,7 +225,31 @@ def r1_name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r3_score_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.score_symbols(derived.part_symbols(spark, sf_dir), ["part_1", "Part", "17"])
+    symbols = derived.part_symbols(spark, sf_dir).select("id", "name", F.concat_ws(".", F.regexp_replace("file", "/", "."), "name").alias("qualified_name"), F.lit("function").alias("kind"))
+    return resolve.score_symbols(symbols, [("red_widget_1", True), ("blue bolt", False), ("promo", False)])
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path for each order: folders and endings by its status, priority and keys."""
+    orders = derived.read(spark, sf_dir, "orders")
+    folder = F.element_at(F.array(*map(F.lit, ["src", "dist", ".git", "src/components/ui", "lib/out", "app/.hidden", "tests", "vendor"])), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    end = F.element_at(F.array(*map(F.lit, [".py", ".d.ts", ".test.ts", ".config.js", ".rb", ".sql", ".go", ".pem", ".css", ".tsx", ".vue"])), (F.col("o_custkey") % 11 + 1).cast("int"))
+    return orders.select(F.col("o_orderkey").alias("id"), F.concat(folder, F.lit("/f"), F.col("o_orderkey").cast("string"), end).alias("path"))
+
+
+def f1_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return _paths(spark, sf_dir).select("id", ingest.skipped(path).alias("skipped"), ingest.secret(path).alias("secret"), ingest.ending(path).alias("ending"), ingest.language(path).alias("language"))
+
+
+def a2_skipped_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.skipped_endings(_paths(spark, sf_dir))
+
+
+def r5_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Member accesses and components in raw pages, as in code."""
+    pages = derived.read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_replace("html", "[#'`\"/]", " ").alias("code"))
+    return ingest.identifiers(pages, ["com", "org", "net"])
 
 
 def r8_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,11 +281,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         a1_counts, a8_fan_counts, j13_symbols, j15_neighbours, g5_orphans, g1_pagerank, w1_percentile, g2_betweenness,
-        g3_clustering, g7_components, a11_density, g6_distances, g8_health, g23_impact, a7_impact_summary,
+        g3_clustering, g7_components, a11_density, g6_distances, g8_health, g4_cycles, g23_impact, a7_impact_summary,
         p3_continuous_risk, p4_criticality, g24_impact_capped, a5_hotspots, a6_risky_files, a3_modules, a4_module_edges,
         g19_file_graph, g17_focus, g18_focus_module, t2_top_symbols, w3_low_signal, w4_zone_leaders, t7_zones,
         g10_covering_tests, g12_test_plan, a10_plan_summary, g11_coverage, a9_coverage_summary, g15_dead_code,
-        a15_inbound, g16_proposals, j2_resolve_calls, r1_name_tokens, r3_score_symbols, r8_repository, f9_search,
+        a15_inbound, g16_proposals, j2_resolve_calls, r1_name_tokens, r3_score_symbols, f1_skipped,
+        a2_skipped_endings, r5_identifiers, r8_repository, f9_search,
         f10_visible, a13_churn,
     )
 }
