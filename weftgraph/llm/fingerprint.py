@@ -53,7 +53,7 @@ def tables(entries: str, size: int, seed: int) -> str:
 
 
 def peel(sketch: str, size: int, seed: int, rounds: int) -> str:
-    """SQL for the number of digests that peeling recovers from a subtracted sketch; -1 if cells remain.
+    """SQL for the number of digests that peeling recovers from a subtracted sketch; null if cells remain.
 
     A step takes the digests that are alone in a cell of the first table out of the two
     others, and moves that table to the end.
@@ -76,7 +76,7 @@ def peel(sketch: str, size: int, seed: int, rounds: int) -> str:
     empty = "e -> e.c = 0 and e.k = 0 and e.h = 0"
     return (
         f"aggregate(sequence(0, {3 * rounds - 1}), {start}, (st, x) -> {step}, "
-        f"st -> if(forall(st.t0, {empty}) and forall(st.t1, {empty}) and forall(st.t2, {empty}), st.n, -1))"
+        f"st -> if(forall(st.t0, {empty}) and forall(st.t1, {empty}) and forall(st.t2, {empty}), st.n, cast(null as int)))"
     )
 
 
@@ -87,19 +87,25 @@ def differing(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
         "(x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h)))"
     )
     few = f"abs(size({a}) - size({b})) <= {2 * BASE_CELLS}"
-    base = f"if({few}, {peel(subtracted, BASE_CELLS, 0, 4)}, -1)"
+    base = f"if({few}, {peel(subtracted, BASE_CELLS, 0, 4)}, cast(null as int))"
 
     def attempt(size: int, seed: int, rounds: int) -> str:
-        return f"nullif({peel(tables('part', size, seed), size, seed, rounds)}, -1)"
-
-    # Parts of about PART_DIGESTS; whatever the retries leave unpeeled counts as differing altogether.
-    n_parts = f"greatest(1L, (size({a}) + size({b})) div {PART_DIGESTS})"
-    parts = f"transform(sequence(0L, {n_parts} - 1), w -> filter(every, s -> pmod(s.k, {n_parts}) = w))"
+        return peel(tables("part", size, seed), size, seed, rounds)
+
+    # Parts of about PART_DIGESTS, dealt in two steps; whatever the retries leave unpeeled counts as differing altogether.
+    deals = f"cast(ceil(sqrt((size({a}) + size({b})) / {PART_DIGESTS}.0)) as bigint)"
+    n_deals = f"greatest(1L, {deals})"
+    within = bound(
+        f"filter(every, s -> pmod(s.k, {n_deals}) = v)",
+        "dealt",
+        f"transform(sequence(0L, {n_deals} - 1), w -> filter(dealt, s -> pmod(shiftright(s.k, 24), {n_deals}) = w))",
+    )
+    parts = f"flatten(transform(sequence(0L, {n_deals} - 1), v -> {within}))"
     larger = (
         f"aggregate({bound(signed(a, b), 'every', parts)}, 0, (total, part) -> total + if(size(part) <= 1, size(part), "
-        f"coalesce({attempt(8, 1, 2)}, {attempt(16, 2, 3)}, {attempt(64, 3, 4)}, size(part))))"
+        f"coalesce({attempt(8, 1, 3)}, {attempt(16, 2, 3)}, {attempt(64, 3, 4)}, size(part))))"
     )
-    return F.expr(f"coalesce(nullif({base}, -1), {larger})")
+    return F.expr(f"coalesce({base}, {larger})")
 
 
 def sketch_text(digest_column: str, sketch_column: str) -> Column:
