@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import BASE_PHRASES, TEMPLATES
 from .quality_rules import BOILERPLATE
 
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -71,4 +72,34 @@ SELECT doc_id, COALESCE(n, 0) AS n_words, COALESCE(found, 0) AS n_found, ROUND(C
 FROM documents LEFT JOIN s USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_jaccard_join": OP2, "op5_quality_rules": OP5, "op10_lm_scoring": OP10}
+_TEMPLATES = ", ".join(f"({i}, '{label}', {i < len(BASE_PHRASES)}, string_split('{t}', ' '))" for i, (t, label) in enumerate(BASE_PHRASES + TEMPLATES))
+OP3 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+t AS (
+  SELECT doc_id, i - 1 AS spot, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c, ws[i + 3] AS d
+  FROM d, LATERAL (SELECT unnest(range(1, len(ws))) AS i)),
+tmpl(template, label, base, tw) AS (VALUES {_TEMPLATES}),
+tp AS (
+  SELECT template, label, base, len(tw) AS size, i - 1 AS place, tw[i] AS a, tw[i + 1] AS b, tw[i + 2] AS c, tw[i + 3] AS d
+  FROM tmpl, LATERAL (SELECT unnest(range(1, CASE WHEN base THEN len(tw) ELSE len(tw) - 2 END)) AS i)),
+v AS (SELECT t.doc_id, tp.template, tp.label, tp.base, tp.size, t.spot - tp.place AS diagonal, tp.place, t.spot
+  FROM t JOIN tp ON t.a = tp.a AND t.b = tp.b AND (tp.base OR (t.c = tp.c AND t.d = tp.d))),
+g AS (SELECT doc_id, template, label, base, size, diagonal, COUNT(*) AS votes, MIN(spot) AS first, MAX(spot) AS last FROM v GROUP BY ALL),
+m AS (SELECT *, CASE WHEN COALESCE(diagonal - LAG(diagonal) OVER w > 3, true) THEN 1 ELSE 0 END AS apart FROM g WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+n AS (SELECT *, CASE WHEN base THEN diagonal ELSE SUM(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) END AS span FROM m),
+s AS (
+  SELECT doc_id, label, base, size, least(1.0::DOUBLE, SUM(votes) / (size - CASE WHEN base THEN 1 ELSE 3 END)::DOUBLE) AS coverage, MIN(first) AS first, MAX(last) AS last
+  FROM n GROUP BY doc_id, template, label, base, size, span),
+h AS (SELECT *, CASE WHEN base THEN coverage = 1 ELSE coverage >= 0.6 AND last + 4 - first <= 1.5 * size END AS holds FROM s),
+r AS (
+  SELECT doc_id, COUNT(*) FILTER (base AND holds) AS n_base, MIN(first) FILTER (base AND holds) AS first_word, MAX(first) FILTER (base AND holds) AS last_word,
+    array_to_string(list_sort(list_distinct(COALESCE(list(label) FILTER (base AND holds), []))), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(COALESCE(list(label) FILTER (holds), []))), ',') AS labels,
+    MAX(coverage) FILTER (NOT base OR holds) AS score
+  FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, COALESCE(n_base, 0) AS n_base, first_word, last_word,
+  COALESCE(base_labels, '') AS base_labels, COALESCE(labels, '') AS labels, ROUND(COALESCE(score, 0.0), 6) AS score
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+ORACLE_SQL = {"op2_jaccard_join": OP2, "op3_license_scan": OP3, "op5_quality_rules": OP5, "op10_lm_scoring": OP10}
