@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import jaccard_join, language_id, packing, quality_classifier, suffix_dedup
-from weftgraph.llm.common import checkpoint, held_out, stored, table
+from weftgraph.llm.common import checkpoint, held_out, restored, stored, table
 
 MIN_LANGUAGE_SHARE = 0.5
 MIN_QUALITY = 0.3
@@ -20,15 +20,16 @@ MIN_QUALITY = 0.3
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows without a letter, and those without a language for at least half of their letters."""
     model = language_id.fit(docs, ~held_out(F.col("doc_id"), 4, 2))
-    named = language_id.identify(docs, model, carry=docs.columns)
-    return named.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select("row.*")
+    named = language_id.identify(docs, model, carry=[c for c in docs.columns if c != "text"])
+    return restored(named.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SHARE)), docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows whose quality score is below the threshold."""
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
     model = quality_classifier.fit(docs, labels)
-    return quality_classifier.score(docs, model, threshold=MIN_QUALITY, carry=docs.columns).where("predicted = 1").select("row.*")
+    scored = quality_classifier.score(docs, model, threshold=MIN_QUALITY, carry=[c for c in docs.columns if c != "text"])
+    return restored(scored.where("predicted = 1"), docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,11 @@ def carried_kind(df: DataFrame) -> str:
     return f", row {df.schema['row'].dataType.simpleString()}" if "row" in df.columns else ""
 
 
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of a table again, from its text and the struct of all others."""
+    return df.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns))
+
+
 def texts(column: pa.Array) -> list[str]:
     """Strings of an Arrow column, null as empty."""
     return [t or "" for t in column.to_pylist()]

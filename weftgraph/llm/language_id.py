@@ -18,10 +18,11 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, carried_kind, texts
+from .common import carried, carried_kind, slices, texts
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
+SLICE_BYTES = 2 << 20
 
 # First code points of script ranges, in order; "Zyyy" is no single script.
 SCRIPT_STARTS = [
@@ -120,7 +121,7 @@ def fit(docs: DataFrame, usable: Column, *, max_rows: int = 600, max_chars: int
 class Labeller:
     """Scores words (each distinct one once, as long as it is remembered) and labels the words of a text."""
 
-    def __init__(self, model: Model, switch_penalty: float, cap: float = 6.0, remembered: int = 400_000):
+    def __init__(self, model: Model, switch_penalty: float, cap: float = 6.0, remembered: int = 300_000):
         self.model, self.penalty, self.cap, self.remembered = model, switch_penalty, cap, remembered
         self.forget()
 
@@ -207,7 +208,9 @@ class Labeller:
 
 
 def identify(docs: DataFrame, model: Model, *, switch_penalty: float = 12.0, carry: list[str] | None = None) -> DataFrame:
-    """Language of every row of docs: (doc_id, lang_pred, score, spans, and a struct of the columns to carry, named row).
+    """Language of every row of docs: (doc_id, lang_pred, score, spans).
+
+    With columns to carry there are also text and a struct of these columns, named row.
 
     lang_pred is the language with the most letters over its spans (ties: the first by
     name), score that share of all letters, spans the labelled runs of words. A null
@@ -219,7 +222,7 @@ def identify(docs: DataFrame, model: Model, *, switch_penalty: float = 12.0, car
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model, switch_penalty)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             names, scores, runs = [], [], []
             for text in texts(batch.column(1)):
                 spans = labeller.spans(text)
@@ -230,14 +233,16 @@ def identify(docs: DataFrame, model: Model, *, switch_penalty: float = 12.0, car
                 names.append(best)
                 scores.append(round(letters[best] / sum(letters.values()), 6) if letters else 0.0)
                 runs.append([dict(zip(("language", "first_word", "words", "letters"), s, strict=True)) for s in spans])
+            found = [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(runs, span_type)]
+            more = list(range(1, batch.num_columns)) if carry else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(runs, span_type), *batch.columns[2:]],
-                names=["doc_id", "lang_pred", "score", "spans", *batch.schema.names[2:]],
+                [*found, *(batch.column(k) for k in more)],
+                names=["doc_id", "lang_pred", "score", "spans", *(batch.schema.names[k] for k in more)],
             )
 
     read = docs.select("doc_id", "text", *carried(docs, carry))
     return read.mapInArrow(
         run,
         f"doc_id {kind}, lang_pred string, score double, "
-        "spans array<struct<language:string,first_word:bigint,words:bigint,letters:bigint>>" + carried_kind(read),
+        "spans array<struct<language:string,first_word:bigint,words:bigint,letters:bigint>>" + (", text string" if carry else "") + carried_kind(read),
     )

@@ -20,10 +20,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, carried_kind, texts
+from .common import carried, carried_kind, slices, texts
 
 BLOCK = 2048
 LEVEL = 3
+SLICE_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -140,7 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 1500, max_chars:
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, carry: list[str] | None = None) -> DataFrame:
-    """Scores every row of docs by its whole text: (doc_id, score, predicted, and a struct of the columns to carry, named row).
+    """Scores every row of docs by its whole text: (doc_id, score, predicted).
+
+    With columns to carry there are also text and a struct of these columns, named row.
 
     score is the calibrated probability of quality 1; predicted is 1 from threshold
     on. Null and empty texts have sizes 0, so they get the calibration's value there. One row out for each row in, repeated rows included; only doc_id and
@@ -149,13 +152,14 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, carry: list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizer = Sizer(model.good, model.bad)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             p = np.round(model.probability(sizer.all_sizes(texts(batch.column(1)))), 6)
+            more = list(range(1, batch.num_columns)) if carry else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *batch.columns[2:]],
-                names=["doc_id", "score", "predicted", *batch.schema.names[2:]],
+                [batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(batch.column(k) for k in more)],
+                names=["doc_id", "score", "predicted", *(batch.schema.names[k] for k in more)],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", "text", *carried(docs, carry))
-    return read.mapInArrow(run, f"doc_id {kind}, score double, predicted int" + carried_kind(read))
+    return read.mapInArrow(run, f"doc_id {kind}, score double, predicted int" + (", text string" if carry else "") + carried_kind(read))
