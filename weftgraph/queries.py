@@ -187,15 +187,15 @@ def g12_test_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a10_plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, _, target = _case(spark, sf_dir)
-    return testplan.plan_summary(g, testplan.test_plan(g, target, 3)).select("tests", F.round("seconds", 3).alias("seconds"), F.round("all_seconds", 3).alias("all_seconds"), "saved_percent")
+    return testplan.plan_summary(g, testplan.test_plan(g, target)).select("tests", F.round("seconds", 3).alias("seconds"), F.round("all_seconds", 3).alias("all_seconds"), "saved_percent")
 
 
 def g11_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testplan.coverage(_graph(spark, sf_dir), 3)
+    return testplan.coverage(_graph(spark, sf_dir))
 
 
 def a9_coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testplan.coverage_summary(testplan.coverage(_graph(spark, sf_dir), 3))
+    return testplan.coverage_summary(testplan.coverage(_graph(spark, sf_dir)))
 
 
 def g15_dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
