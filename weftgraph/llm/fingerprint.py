@@ -16,15 +16,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARAGRAPH_END = r"\n+|(?<=[.!?])[ \t]+(?=\p{Lu})"
+# Also after marks of scripts without capitals, whatever follows.
+SENTENCE_END = PARAGRAPH_END + r"|(?<=[。．！？｡؟۔।॥։።။។])(?![。．！？｡؟۔।॥։።။។”’」』）])[ \t]*"
+STRETCH_CHARS = 100
 BASE_CELLS = 8  # in each of three tables
 PART_DIGESTS = 6
 _ZERO = "named_struct('c', 0, 'k', 0L, 'h', 0L)"
 
 
-def digests(text: str, ends: str) -> str:
-    """SQL for the distinct digests of the paragraphs of a text column that hold more than white space."""
+def digests(text: str, ends: str, stretch: int | None = None) -> str:
+    """SQL for the distinct digests of the paragraphs of a text column that hold more than white space.
+
+    With a stretch, a paragraph is cut after every so many characters from its start.
+    """
     escaped = ends.replace("\\", "\\\\")
-    return f"array_distinct(transform(filter(split({text}, '{escaped}'), p -> p rlike '[^ \\\\t\\\\r\\\\f]'), p -> xxhash64(p)))"
+    parts = f"split({text}, '{escaped}')"
+    if stretch:
+        cut = f"regexp_extract_all(p, '[\\\\s\\\\S]{{1,{stretch}}}', 0)"
+        parts = f"flatten(transform({parts}, p -> if(length(p) <= {stretch}, array(p), {cut})))"
+    return f"array_distinct(transform(filter({parts}, p -> p rlike '[^ \\\\t\\\\r\\\\f]'), p -> xxhash64(p)))"
 
 
 def signed(plus: str, minus: str | None = None) -> str:
@@ -166,19 +176,20 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
 
 
-def compare_versions(docs: DataFrame, *, paragraph_end: str = PARAGRAPH_END) -> DataFrame:
+def compare_versions(docs: DataFrame, *, paragraph_end: str = PARAGRAPH_END, stretch: int | None = None) -> DataFrame:
     """Fingerprints of every row's text and edited text, and their likeness.
 
     Returns doc_id, n_chars, edited (text), fingerprint, edited_fingerprint, n_differing_edited,
     n_differing_next, near_edited, near_next. A paragraph is a line or, within it, a
-    sentence before a capital letter; likeness is the share of common ones among all
+    sentence before a capital letter (or as paragraph_end says), and with a stretch each
+    so many characters of it from its start; likeness is the share of common ones among all
     distinct paragraphs of the two, by the digests their sketches give away. A null
     text is empty, without paragraphs; two such texts are alike (1). Repeated
     paragraphs count once. One row out for each row in; only doc_id and text are read.
     """
 
     def sketched(df: DataFrame, text: str, name: str) -> DataFrame:
-        digested = df.withColumn(f"{name}_d", F.expr(digests(text, paragraph_end)))
+        digested = df.withColumn(f"{name}_d", F.expr(digests(text, paragraph_end, stretch)))
         return digested.withColumn(f"{name}_s", F.expr(tables(signed(f"{name}_d"), BASE_CELLS, 0)))
 
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))

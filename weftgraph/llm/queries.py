@@ -74,7 +74,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketch fingerprints of every document and its edited version, and their likeness."""
-    return fingerprint.compare_versions(table(spark, sf_dir, "documents")).select(
+    docs = table(spark, sf_dir, "documents")
+    return fingerprint.compare_versions(docs, paragraph_end=fingerprint.SENTENCE_END, stretch=fingerprint.STRETCH_CHARS).select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
