@@ -168,14 +168,14 @@ class Labeller:
         """The language of each word on the best path.
 
         One language throughout is best if no stretch of words favours another by more
-        than the penalty: every excursion costs a switch at least. Only other texts
-        need the full recursion.
+        than half the penalty: two stretches can't pay for the switch between them. Only
+        other texts need the full recursion.
         """
         s = self.scores[at]
         main = int(s.sum(axis=0, dtype=np.float64).argmax())
         gain = np.cumsum(s - s[:, main : main + 1], axis=0, dtype=np.float64)
         low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-        if (gain - low).max() <= self.penalty:
+        if (gain - low).max() <= self.penalty / 2:
             return np.full(len(at), main)
         back: list[tuple[int, list[bool]]] = []  # the best language so far, and who is better off coming from it
         total = [0.0] * s.shape[1]
