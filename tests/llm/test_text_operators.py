@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -27,16 +28,27 @@ def encoders():
     return own, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def ids_of(encoder, text):
+    return np.frombuffer(encoder.encode(text), dtype=np.int32).tolist()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.one_of(st.text(max_size=300), st.text(alphabet="ab é\n1", max_size=400)))
 def test_bpe_equals_the_library(encoders, text):
-    assert encoders[0].encode(text) == encoders[1].encode_ordinary(text)
+    assert ids_of(encoders[0], text) == encoders[1].encode_ordinary(text)
 
 
 @pytest.mark.parametrize("text", ["a" * 20_000, " " * 9_999, "ab" * 9_000, "thethe" * 3_000, "é" * 7_000, "\x1c\x85 x"])
 def test_bpe_of_long_matches(encoders, text):
-    assert encoders[0].encode(text) == encoders[1].encode_ordinary(text)
-    assert encoders[0].decode(encoders[0].encode(text)) == text.encode()
+    assert ids_of(encoders[0], text) == encoders[1].encode_ordinary(text)
+    assert byte_bpe.decode_ids(encoders[0].tokens, ids_of(encoders[0], text)) == text.encode()
+
+
+def test_bpe_of_documents_is_joined_up_the_tree(spark, encoders):
+    rows = [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    own = byte_bpe.Encoder(encoders[0].ranks, public_tokenizers.PATTERN, remembered_bytes=4 << 20)
+    assert all(ids_of(own, t) == encoders[1].encode_ordinary(t) for t in rows)
+    assert own.joins > 10_000 and own.known_bytes <= 4 << 20
 
 
 def test_bpe_join_is_associative(encoders):
