@@ -10,7 +10,8 @@ its place in them by its rank among the documents of its length.
 from __future__ import annotations
 
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -47,39 +48,75 @@ class Pattern:
 
 
 def reduce_by_dominance(counts: list[int], capacity: int) -> list[Pattern]:
-    """Fixes sets that dominate every other set with the same longest document; lowers counts accordingly.
+    """Fixes sets that dominate every other set with the same document; lowers counts accordingly.
+
+    A set dominates another if the other's documents can be put, several in one place
+    too, into the places its own leave. Every length is tried, from the longest on; one
+    that can't be settled is passed over.
 
     * A document that fills a sequence, or that even the shortest other one overfills, is alone.
     * Two documents that fill a sequence exactly: whatever else could stand beside the one
       fits into the other's place.
-    * If at most one other document fits beside the longest one, the longest that fits is best.
+    * If at most one other document fits beside it, the longest that fits is best.
+    * If at most two fit, so are the longest that fits and the longest beside these two,
+      unless two documents longer than the latter fit together.
     """
     fixed: list[Pattern] = []
+    present = [x for x in range(1, capacity + 1) if counts[x]]
 
     def fix(sequences: int, *lengths: int) -> None:
         if sequences:
-            filling = [(lengths[0], len(lengths))] if len(set(lengths)) == 1 else [(x, 1) for x in lengths]
+            filling = [(x, lengths.count(x)) for x in dict.fromkeys(lengths)]
             fixed.append(Pattern(sequences, filling))
             for x in lengths:
                 counts[x] -= sequences
-
-    fix(counts[capacity], capacity)
+            for x in dict.fromkeys(lengths):
+                if not counts[x]:
+                    present.pop(bisect_left(present, x))
+
+    def least(n: int, above: int = 0) -> list[int]:
+        """The n least lengths above one, repeated as often as they occur."""
+        out: list[int] = []
+        for x in present[bisect_right(present, above) :]:
+            out += [x] * min(counts[x], n - len(out))
+            if len(out) == n:
+                break
+        return out
+
+    def longest(room: int) -> int:
+        i = bisect_right(present, room)
+        return present[i - 1] if i else 0
+
+    if counts[capacity]:
+        fix(counts[capacity], capacity)
     for x in range(capacity - 1, (capacity - 1) // 2, -1):
         y = capacity - x
         fix(counts[x] // 2 if x == y else min(counts[x], counts[y]), x, y)
-    for longest in range(capacity - 1, 0, -1):
-        while counts[longest]:
-            counts[longest] -= 1
-            shortest = next((x for x in range(1, longest + 1) if counts[x]), None)
-            second = shortest if shortest and counts[shortest] > 1 else next((x for x in range((shortest or 0) + 1, longest + 1) if counts[x]), None)
-            partner = next((x for x in range(min(longest, capacity - longest), 0, -1) if counts[x]), None)
-            counts[longest] += 1
-            if shortest is None or longest + shortest > capacity:
-                fix(counts[longest] if shortest is None or 2 * longest > capacity else 1, longest)
-            elif second is None or longest + shortest + second > capacity:
-                fix(counts[longest] // 2 if partner == longest else min(counts[longest], counts[partner]), longest, partner)
+    for length in range(capacity - 1, 0, -1):
+        while counts[length]:
+            room = capacity - length
+            counts[length] -= 1  # the others
+            if not counts[length]:
+                present.pop(bisect_left(present, length))
+            few, one = least(3), longest(room)
+            two = 0
+            if one:
+                counts[one] -= 1
+                two = longest(room - one) if counts[one] else max((x for x in present[: bisect_right(present, room - one)] if x != one), default=0)
+                counts[one] += 1
+            pair_above = least(2, two) if two else []
+            if not counts[length]:
+                present.insert(bisect_left(present, length), length)
+            counts[length] += 1
+            if not one:
+                fix(counts[length], length)
+            elif len(few) < 2 or few[0] + few[1] > room or one == room:
+                fix(counts[length] // 2 if one == length else min(counts[length], counts[one]), length, one)
+            elif two and (len(few) < 3 or few[0] + few[1] + few[2] > room) and (len(pair_above) < 2 or sum(pair_above) > room):
+                wanted = Counter((length, one, two))
+                fix(min(counts[x] // n for x, n in wanted.items()) if max(wanted.values()) == 1 else 1, length, one, two)
             else:
-                return fixed
+                break
     return fixed
 
 
@@ -141,7 +178,8 @@ class Tokenizer:
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # Added tokens in a text are tokens, as by the library's defaults; such texts are left to it.
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.match, self.remembered = regex.compile(WORDS), remembered
         self.end = array("I", [end]).tobytes()
         # Below U+0250 (without the dotted capital I, and the separators that only Python's split takes for
@@ -167,7 +205,10 @@ class Tokenizer:
 
     def encode(self, several: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of texts, the end id last."""
-        split = [t.lower().split() if self.plain.fullmatch(t) else None for t in several]
+        split = []
+        for t in several:
+            low = t.lower() if self.plain.fullmatch(t) else None
+            split.append(None if low is None or any(a in low for a in self.added) else low.split())
         asked = set().union(*(s for s in split if s)).difference(self.young)
         if asked:
             if len(self.young) > self.remembered:
@@ -190,6 +231,9 @@ def tokenize(docs: DataFrame, path: str, *, end: int = 1, capacity: int = 4096)
 
     A document is its text's ids and the end id (null and empty texts: the end id
     alone); only one longer than capacity is cut, into pieces of capacity and a rest.
+    Added tokens of the vocabulary that a text spells out are tokens. Repeated rows give
+    repeated pieces, an empty table none; only doc_id and text are read. A task holds a
+    slice of about a megabyte of text, or one longer text with its ids.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -206,13 +250,13 @@ def tokenize(docs: DataFrame, path: str, *, end: int = 1, capacity: int = 4096)
             piece_at = np.array(piece, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece_at), pa.array(piece_at * capacity),
+                    batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece_at.astype(np.int32)), pa.array(piece_at * capacity),
                     pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
                 ],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece long, start long, length long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 def pack(pieces: DataFrame, *, capacity: int = 4096, rows_per_task: int = 20_000) -> DataFrame:
