@@ -5,12 +5,15 @@ their check hashes). Subtracting the cells of two versions leaves the digests th
 differ, and peeling recovers them: a cell that holds one digest gives it away, and
 taking it out of its other cells frees more. If that fails, the sketch is retried
 larger: digests are split into small parts by a fixed rule, each a sketch of its own,
-and parts that still fail are tried with more cells and another hash.
+and parts that still fail are tried with more cells and another hash. The digests of a
+part that no size peels are compared themselves, so the result is always exact.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,7 +105,8 @@ def differing(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
     def attempt(size: int, seed: int, rounds: int) -> str:
         return peel(tables("part", size, seed), size, seed, rounds)
 
-    # Parts of about PART_DIGESTS, dealt in two steps; whatever the retries leave unpeeled counts as differing altogether.
+    # Parts of about PART_DIGESTS, dealt in two steps; where the retries leave a part unpeeled, its digests are compared.
+    compared = "2 * size(array_distinct(transform(part, s -> s.k))) - size(part)"
     deals = f"cast(ceil(sqrt((size({a}) + size({b})) / {PART_DIGESTS}.0)) as bigint)"
     n_deals = f"greatest(1L, {deals})"
     within = bound(
@@ -113,7 +117,7 @@ def differing(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
     parts = f"flatten(transform(sequence(0L, {n_deals} - 1), v -> {within}))"
     larger = (
         f"aggregate({bound(signed(a, b), 'every', parts)}, 0, (total, part) -> total + if(size(part) <= 1, size(part), "
-        f"coalesce({attempt(8, 1, 3)}, {attempt(16, 2, 3)}, {attempt(64, 3, 4)}, size(part))))"
+        f"coalesce({attempt(8, 1, 3)}, {attempt(16, 2, 3)}, {attempt(64, 3, 4)}, {compared})))"
     )
     return F.expr(f"coalesce({base}, {larger})")
 
@@ -130,41 +134,51 @@ def likeness(n_differing: Column, a: str, b: str) -> Column:
     return F.round(F.when(total == 0, 1.0).otherwise((total - n_differing) / (total + n_differing)), 6)
 
 
-def with_next(docs: DataFrame, *, rows_per_bucket: int = 2000, segments: int = 256) -> DataFrame:
+def with_next(docs: DataFrame, *, rows_per_bucket: int = 500, segments: int = 256) -> DataFrame:
     """(doc_id, text, next_text): each row beside the next one by descending doc_id, the last beside the first.
 
-    Rows are dealt to buckets of neighbouring ids, so no task sorts them all: segments
-    between approximate quantiles, evenly cut. Only the last row of a bucket looks for
-    its next one in another. Equal ids are ordered by their text; null ids come last.
+    doc_id is an integer column. Equal ids are ordered by a hash of their text, then the
+    text; null ids come last. Rows are dealt to buckets of neighbours in this order, so
+    no task sorts them all: segments between approximate quantiles, each cut evenly into
+    as many buckets as its share of the rows asks for, an id that many rows have by the
+    hash. Only the last row of a bucket looks for its next one in another.
     """
     rows = docs.select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_at")
-    )
+        F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_at")
+    ).withColumn("_mix", F.xxhash64("text"))
     share = ", ".join(str(k / segments) for k in range(1, segments))
-    n, low, high, cut = rows.agg(
-        F.count("*"), F.min("_at"), F.max("_at"), F.expr(f"percentile_approx(_at, array({share}), 1000)")
-    ).first()
-    edges = sorted({low, *(cut or ())}) if n else [0]
-    per = max(1, math.ceil(n / len(edges) / rows_per_bucket))
-    ends = [*edges[1:], (high if n else 0) + 1]
-    edge = F.array(*map(F.lit, edges))
-    span = F.array(*(F.lit(float(max(1, b - a))) for a, b in zip(edges, ends, strict=True)))
+    n, low, cut = rows.agg(F.count("*"), F.min("_at"), F.expr(f"percentile_approx(_at, array({share}), 1000)")).first()
+    times = Counter(cut or ())
+    # An id at several quantiles is a segment of its own.
+    edges = sorted({low, *times, *(x + 1 for x, k in times.items() if k > 1)}) if n else [0]
+    held = [1 + sum(k for x, k in times.items() if a <= x < b) for a, b in zip(edges, [*edges[1:], math.inf], strict=True)]
+    pers = [max(1, math.ceil(k * n / segments / rows_per_bucket)) for k in held]
+    spans = [float(b - a) for a, b in pairwise(edges)] + [float(segments)]
+    literal = lambda values: F.array(*map(F.lit, values))
+    edge, per, span = literal(edges), literal(pers), literal(spans)
     segment = F.greatest(F.lit(1), F.size(F.filter(edge, lambda e: e <= F.col("_at"))))
-    inside = (F.col("_at").cast("double") - F.element_at(edge, F.col("_segment")).cast("double")) / F.element_at(span, F.col("_segment"))
-    bucketed = (
-        rows.withColumn("_segment", segment)
-        .withColumn("_bucket", (F.col("_segment") * F.lit(per) + F.least(F.lit(per - 1), F.floor(inside * per))).cast("long"))
-        .drop("_segment")
-    )
-    order = Window.partitionBy("_bucket").orderBy(F.desc("_at"), "text")
+    of = lambda values: F.element_at(values, F.col("_segment"))
+    back = F.lit(0.5) - F.col("_mix").cast("double") / F.lit(2.0**64)  # 0 to 1, falling as the hash rises
+    inside = (F.col("_at").cast("double") - of(edge).cast("double") + back) / of(span)
+    bucketed = rows.withColumn("_segment", segment).withColumn("_bucket", F.least(of(per) - 1, F.floor(inside * of(per))).cast("long"))
+    order = Window.partitionBy("_segment", "_bucket").orderBy(F.desc("_at"), "_mix", "text")
     placed = bucketed.withColumn("_place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
     inner = placed.where("next_text is not null")
-    firsts = placed.where("_place = 1").select(F.col("_bucket").alias("_of"), F.col("text").alias("_first"))
-    along = Window.orderBy(F.desc("_bucket"))  # a row for each bucket, no texts
-    buckets = bucketed.select("_bucket").distinct().withColumn("_of", F.lead("_bucket").over(along))
-    top = bucketed.agg(F.max("_bucket").alias("_top"))
-    follow = buckets.crossJoin(top).select("_bucket", F.coalesce("_of", "_top").alias("_of"))
-    lasts = placed.where("next_text is null").join(follow, "_bucket").join(firsts, "_of").withColumn("next_text", F.col("_first"))
+    firsts = placed.where("_place = 1").select(F.col("_segment").alias("_s"), F.col("_bucket").alias("_b"), F.col("text").alias("_first"))
+    # The bucket after each: within its segment, else the next segment's top one, after the last segment the first one's.
+    buckets = bucketed.select("_segment", "_bucket").distinct()
+    tops = buckets.groupBy("_segment").agg(F.max("_bucket").alias("_b"))
+    along = Window.orderBy(F.desc("_segment")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row a segment
+    next_top = F.coalesce(F.lead(F.struct("_segment", "_b")).over(Window.orderBy(F.desc("_segment"))), F.first(F.struct("_segment", "_b")).over(along))
+    beyond = tops.select("_segment", next_top.alias("_beyond"))
+    within = F.lead(F.struct("_segment", "_bucket")).over(Window.partitionBy("_segment").orderBy(F.desc("_bucket")))
+    follow = (
+        buckets.withColumn("_within", within).join(F.broadcast(beyond), "_segment")  # at most two rows a segment
+        .select(
+            "_segment", "_bucket", F.coalesce("_within._segment", "_beyond._segment").alias("_s"), F.coalesce("_within._bucket", "_beyond._b").alias("_b")
+        )
+    )
+    lasts = placed.where("next_text is null").join(follow, ["_segment", "_bucket"]).join(firsts, ["_s", "_b"]).withColumn("next_text", F.col("_first"))
     columns = ["doc_id", "text", "next_text"]
     return inner.select(*columns).unionByName(lasts.select(*columns))
 
