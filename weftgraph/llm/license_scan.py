@@ -9,6 +9,8 @@ merged before a span is verified.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +60,8 @@ TEMPLATES = [
 
 
 def words(text: Column) -> Column:
-    """Lower-case words: runs of letters and digits of ASCII and of all characters beyond."""
-    return F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "")
+    """Words with A-Z lower-cased: runs of letters and digits of ASCII and of all characters beyond."""
+    return F.filter(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), SEPARATORS), lambda w: w != "")
 
 
 def grams(all_words: Column) -> Column:
