@@ -92,19 +92,25 @@ def fit(docs: DataFrame, usable: Column, *, max_rows: int = 600, max_chars: int
     """Learns from a bounded sample of the rows where usable holds and lang is known.
 
     Of each language the max_rows rows with the least hash of the id, and of their
-    texts as many as come to max_chars: bounds that don't depend on the input's size.
+    texts as many as come to max_chars: bounds that don't depend on the input's rows,
+    only on the number of its languages. A language that holds most rows is ranked in
+    64 shares first, so no task sees them all. Equal hashes go by the id.
     """
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = (F.xxhash64("doc_id"), "doc_id")
     picked = (
         docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", "lang")
-        .withColumn("at", F.row_number().over(rank))
+        .select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(64)).alias("share"))
+        .withColumn("at", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order)))
+        .where(F.col("at") <= max_rows)
+        .withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
         .where(F.col("at") <= max_rows)
         .collect()
     )
     if not picked:
         return train([])
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in picked], "id long, language string").distinct()
+    ids = docs.sparkSession.createDataFrame(
+        [(r["doc_id"], r["lang"]) for r in picked], f"id {docs.schema['doc_id'].dataType.simpleString()}, language string"
+    ).distinct()
     running = Window.partitionBy("language").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = (
         docs.select("doc_id", "text", "lang")
