@@ -12,6 +12,7 @@ AWKWARD = [
     (8, "x" * 50_000, "en", "s", 50_000),
     (9, "日本語 текст \U0001f600 'tis 12½ “quoted”", "en", "s", 30),
     (10, "a", "en", "s", 1),
+    (11, "a<|endoftext|>b <|STARTOFTEXT|> \x00 K", "en", "s", 40),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = ["score", "ids", "row", "run", "block", "sequence_id", "length", "path", "chunk", "set_id", "edited", "words", "label", "_id"]

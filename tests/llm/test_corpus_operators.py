@@ -296,7 +296,7 @@ def scored_by_hand(rows, order):
 @pytest.mark.parametrize("order", [2, 3])
 def test_scores_equal_brute_force(spark, order):
     docs = documents(spark).select("doc_id", "text").unionByName(awkward(spark).select("doc_id", "text"))
-    done = lm_scoring.score(docs, order=order, rows_per_chunk=40).collect()
+    done = lm_scoring.score(docs, order=order, block_bytes=20_000).collect()
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["log_score"]) for r in done)
     want = scored_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()], order)
     assert [g[:2] for g in got] == [w[:2] for w in want]

@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+KEPT_POWERS = 1 << 19
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
@@ -38,45 +39,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _grow(n: int) -> None:
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of base, modulo 2^64."""
+    steps = np.full(n, base, dtype=np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
+def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; kept up to a fixed number, made anew for longer texts."""
     global _powers, _inverses
-    if len(_powers) <= n:
-        size = max(n + 1, 1 << 16)
-        for name, base in (("_powers", _BASE), ("_inverses", _INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            globals()[name] = np.multiply.accumulate(steps)
+    if n < len(_powers):
+        return _powers, _inverses
+    if n >= KEPT_POWERS:
+        return powers(_BASE, n + 1), powers(_INVERSE, n + 1)
+    _powers, _inverses = powers(_BASE, KEPT_POWERS), powers(_INVERSE, KEPT_POWERS)
+    return _powers, _inverses
 
 
 class RollingHash:
     """Polynomial hashes modulo 2^64 of any ranges of a byte string."""
 
     def __init__(self, data: np.ndarray):
-        _grow(len(data))
+        steps, self.inverses = _grow(len(data))
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)], out=self.sums[1:])
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= steps[: len(data)]
+        np.cumsum(terms, out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hashes of data[start:end]."""
-        return mix((self.sums[end] - self.sums[start]) * _inverses[start] + (end - start).astype(np.uint64))
+        return mix((self.sums[end] - self.sums[start]) * self.inverses[start] + (end - start).astype(np.uint64))
 
     def grams(self, size: int) -> np.ndarray:
         """Mixed hashes of every run of size bytes."""
         n = max(0, len(self.sums) - size)
-        return mix((self.sums[size : size + n] - self.sums[:n]) * _inverses[:n] + np.uint64(size))
+        out = self.sums[size : size + n] - self.sums[:n]
+        out *= self.inverses[:n]
+        out += np.uint64(size)
+        return mix(out)
 
 
-def word_hashes(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words (ASCII letters and digits, all bytes beyond ASCII), and the row of each word."""
-    if not len(data):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+def word_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Whether a word (ASCII letters and digits, all bytes beyond ASCII) begins at each byte."""
     inside = WORD_BYTE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     heads = rows[:-1][rows[:-1] < rows[1:]]
     begins[heads] = inside[heads]  # a row's first byte begins a word even if the row before ends in one
-    start = np.flatnonzero(begins)
-    stops = ~inside
+    return begins
+
+
+def word_hashes(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words, and the row of each word."""
+    if not len(data):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    heads = rows[:-1][rows[:-1] < rows[1:]]
+    start = np.flatnonzero(word_starts(data, rows))
+    stops = ~WORD_BYTE[data]
     stops[heads] = True
     stop = np.append(np.flatnonzero(stops), len(data))
     # The end of a word: the next place that stops one; a head that begins the word itself is not it.

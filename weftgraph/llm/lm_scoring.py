@@ -1,25 +1,30 @@
 """Operator 10: stupid-backoff scores of texts, from n-gram counts of the whole corpus.
 
-A relational plan in blocks. Texts are dealt to chunks, and each chunk states its
-distinct n-grams and their counts once. The statements are dealt by n-gram hash to
-count tables; a table's totals are joined back to the chunks that stated them, where
-every text's n-grams are looked up and summed per text.
+A relational plan. Texts are dealt to blocks of a few megabytes, and each block is
+exploded to its n-grams, a row each with its hash and how often the block has it. The
+rows are partitioned by hash and summed: the count tables, which are joined back to
+the n-grams. Each block's texts meet the joined rows, every word becomes a row with its
+term, and the terms are summed per document.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import joined, mix, word_hashes
+from .bytehash import joined, mix, word_hashes, word_starts
+from .common import slices
+
+SLICE_BYTES = 1 << 20
 
 # Fixed value of the scheme: what a step to a shorter n-gram multiplies the score by.
 BACKOFF = 0.4
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,18 +42,18 @@ def ngrams(data: np.ndarray, rows: np.ndarray, order: int) -> tuple[np.ndarray,
     return row, out
 
 
-def stated(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a chunk, sorted, and their counts."""
-    return np.unique(np.concatenate([h for _, h in grams]), return_counts=True)
+def words_in(docs: DataFrame) -> DataFrame:
+    """(words, bytes) of the texts of a batch: a row each, to be summed."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
+            data, rows = joined(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([int(word_starts(data, rows).sum())]), pa.array([len(data)])], names=["words", "bytes"])
 
-def cuts(hashes: np.ndarray, tables: int) -> np.ndarray:
-    """Where each count table's share of sorted hashes begins, and the end."""
-    edges = [(k << 64) // tables for k in range(1, tables)]
-    return np.concatenate([[0], np.searchsorted(hashes, np.array(edges, dtype=np.uint64)), [len(hashes)]]).astype(np.int64)
+    return docs.select("text").mapInArrow(run, "words long, bytes long")
 
 
-def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, rows_per_chunk: int = 3000) -> DataFrame:
+def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_bytes: int = 8 << 20) -> DataFrame:
     """Stupid-backoff score of every row's whole text under the counts of all rows.
 
     Returns doc_id, n_words, n_found (words whose longest n-gram was found), log_score
@@ -59,54 +64,35 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, rows_per_c
     count for it. Words are lower-cased runs of ASCII letters, digits and characters
     beyond ASCII. A text without words (null, empty) has n_words 0, log_score 0 and a
     null mean. One row out for each row in, repeated rows included; only doc_id and
-    text are read.
+    text are read. n-grams are told apart by a 64-bit hash. A block holds about block_bytes of text, or one longer text, and a task
+    some forty times that.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    size = docs.select(F.count("*"), F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD))), F.lit(0))).first()
-    n_chunks, all_words = max(1, math.ceil(size[0] / rows_per_chunk)), int(size[1])
-    tables = n_chunks
-    chunked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"))
+    size = words_in(docs).agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    all_words, n_blocks = int(size[0]), max(1, math.ceil(size[1] / block_bytes))
+    blocked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"))
 
-    def state(key: tuple, rows: pa.Table) -> pa.Table:
+    def explode(key: tuple, rows: pa.Table) -> pa.Table:
         _, grams = ngrams(*joined(rows.column("text").combine_chunks()), order)
-        hashes, counts = stated(grams)
-        at = cuts(hashes, tables)
-        full = np.flatnonzero(np.diff(at))
-        small = counts.astype("<u4")
-        return pa.table(
-            {
-                "chunk": pa.array(np.full(len(full), key[0].as_py(), np.int32)),
-                "part": pa.array(full.astype(np.int32)),
-                "hashes": pa.array([hashes[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()),
-                "counts": pa.array([small[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()),
-            }
-        )
+        hashes, counts = np.unique(np.concatenate([h for _, h in grams]), return_counts=True)
+        block = np.full(len(hashes), key[0].as_py(), np.int32)
+        return pa.table({"block": block, "gram": hashes.view(np.int64), "n": counts.astype(np.int32)})
 
-    def total(key: tuple, rows: pa.Table) -> pa.Table:
-        each = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, dtype="<u4") for x in rows.column("counts").to_pylist()])
-        values, where = np.unique(np.concatenate(each), return_inverse=True)
-        sums = np.bincount(where, weights=counts, minlength=len(values)).astype("<u8")[where]
-        ends = np.cumsum([len(x) for x in each])[:-1]
-        return pa.table(
-            {
-                "chunk": rows.column("chunk"),
-                "part": rows.column("part"),
-                "totals": pa.array([x.tobytes() for x in np.split(sums, ends)], pa.binary()),
-            }
-        )
-
-    def look_up(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def look_up(key: tuple, rows: pa.Table, counted: pa.Table) -> pa.Table:
+        # A place among the block's rows tells rows of one id apart; sorted, so that a retry gives the same.
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("text", "ascending"), ("doc_id", "ascending")]))
         texts = rows.column("text").combine_chunks()
         row, grams = ngrams(*joined(texts), order)
-        hashes, _ = stated(grams)
-        by_part = dict(zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist(), strict=True))
-        totals = np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(by_part[k], dtype="<u8") for k in sorted(by_part))])
+        gram = counted.column("gram").to_numpy().view(np.uint64)
+        by_gram = np.argsort(gram)
+        gram, total = np.append(gram[by_gram], np.uint64(0)), np.append(counted.column("total").to_numpy()[by_gram], 0)
         own_words = np.bincount(row, minlength=len(texts))
         counts = np.zeros((order, len(row)), dtype=np.float64)
         for n, (at, h) in enumerate(grams):
-            found = np.searchsorted(hashes, h)
-            counts[n, at] = totals[found].astype(np.float64)
+            values, found, times = np.unique(h, return_inverse=True, return_counts=True)
+            place = np.searchsorted(gram[:-1], values)
+            # An n-gram that is in no other block has no row; the block's own count is its total.
+            counts[n, at] = np.where(gram[place] == values, total[place], times)[found] if len(values) else 0
             if leave_out and len(at):
                 # How often the text itself has the n-gram: the length of its run, sorted by text and n-gram.
                 ordered = np.lexsort((found, row[at]))
@@ -124,27 +110,32 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, rows_per_c
             steps = np.minimum(place[at], order - 1) - n
             value[at] = np.log(counts[n, at] / counts[n - 1, at - 1]) + steps * math.log(BACKOFF)
             longest[at] = n
-        log_score = np.bincount(row, weights=value, minlength=len(texts))
-        n_found = np.bincount(row, weights=(counts[0] > 0) & (longest == np.minimum(place, order - 1)), minlength=len(texts))
-        mean = np.divide(log_score, own_words, out=np.full(len(texts), np.nan), where=own_words > 0)
+        found = (counts[0] > 0) & (longest == np.minimum(place, order - 1))
+        bare = np.flatnonzero(own_words == 0)  # a row without a term for a text without words
+        at = np.concatenate([row, bare])
+        no_term = np.arange(len(at)) >= len(row)
         return pa.table(
             {
-                "doc_id": rows.column("doc_id"),
-                "n_words": pa.array(own_words.astype(np.int64)),
-                "n_found": pa.array(n_found.astype(np.int64)),
-                "log_score": pa.array(log_score),
-                "mean_log_score": pa.array(mean, mask=own_words == 0),
+                "block": np.full(len(at), key[0].as_py(), np.int32),
+                "place": at.astype(np.int32),
+                "doc_id": rows.column("doc_id").take(pa.array(at)),
+                "found": np.concatenate([found, np.zeros(len(bare), bool)]),
+                "term": pa.array(np.concatenate([value, np.zeros(len(bare))]), mask=no_term),
             }
         )
 
-    answers = (
-        chunked.groupBy("chunk")
-        .applyInArrow(state, "chunk int, part int, hashes binary, counts binary")
-        .groupBy("part")
-        .applyInArrow(total, "chunk int, part int, totals binary")
-    )
-    return (
-        chunked.groupBy("chunk")
-        .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(look_up, f"doc_id {kind}, n_words long, n_found long, log_score double, mean_log_score double")
+    grams = blocked.groupBy("block").applyInArrow(explode, "block int, gram long, n int").repartition("gram")
+    tables = grams.groupBy("gram").agg(F.sum("n").alias("total"))
+    counted = grams.join(tables, "gram").where("total > n").select("block", "gram", "total")
+    terms = (
+        blocked.groupBy("block")
+        .cogroup(counted.groupBy("block"))
+        .applyInArrow(look_up, f"block int, place int, doc_id {kind}, found boolean, term double")
     )
+    total = F.coalesce(F.sum("term"), F.lit(0.0))
+    return terms.groupBy("block", "place", "doc_id").agg(
+        F.count("term").alias("n_words"),
+        F.count_if("found").alias("n_found"),
+        total.alias("log_score"),
+        F.when(F.count("term") > 0, total / F.count("term")).alias("mean_log_score"),
+    ).drop("block", "place")
