@@ -11,9 +11,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 from helpers import AWKWARD, awkward, empty
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftgraph.llm import components, fingerprint, jaccard_join, lm_scoring, packing, suffix_dedup
+from weftgraph.llm import components, fingerprint, interleave, jaccard_join, lm_scoring, packing, suffix_dedup
 
 DATA = "/root/testdata/sf0.001"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -133,9 +135,19 @@ def passages(spark):
     return spark.createDataFrame([*rows, (60, "ab" * 400), (61, "é" * 300), (62, some(200)), (63, some(199))], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("per_group", [4000, 3])
-def test_cut_passages_equal_brute_force(spark, monkeypatch, per_group):
-    monkeypatch.setattr(suffix_dedup, "ROWS_PER_GROUP", per_group)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=120), max_size=5), st.randoms(use_true_random=False), st.sampled_from([200, 1 << 16]))
+def test_merged_transforms_equal_brute_force(parts, rng, shard_bytes):
+    texts = [b"".join(rng.choices(parts, k=rng.randrange(6))) for _ in range(9)] if parts else []
+    seen = Counter(t[i : i + 64] for t in texts for i in range(len(t) - 63))
+    want = [[i for i in range(len(t) - 63) if seen[t[i : i + 64]] > 1] for t in texts]
+    assert [x.tolist() for x in interleave.repeated_windows(texts, 64, shard_bytes)] == want
+
+
+@pytest.mark.parametrize(("per_group", "hot"), [(2000, 10_000), (3, 2)])
+def test_cut_passages_equal_brute_force(spark, monkeypatch, per_group, hot):
+    monkeypatch.setattr(suffix_dedup, "HALVES_PER_GROUP", per_group)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
     docs = passages(spark)
     texts = [r["text"] for r in docs.collect()]
     assert cut(docs) == cut_by_hand(texts, 200)

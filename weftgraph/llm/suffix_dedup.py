@@ -1,21 +1,25 @@
 """Operator 6: removal of byte strings that occur more than once.
 
-The suffixes of all texts are told apart in rounds, as when Burrows-Wheeler transforms
-of shards are merged by refining their interleave: a round extends the context by
-which suffixes share an interval, an interval of one suffix is closed, and only the
-others go on. What is kept of an interval is its identity (a hash of the common
-prefix) and its size, so no round sorts suffixes. Rounds are made long: instead of
-every suffix, only those at anchors enter, and a round extends the context from 32
-bytes to a whole block and then to the wanted length.
+Strings are found by merging Burrows-Wheeler transforms of shards (interleave.py). All
+suffixes of the corpus would each be touched once for every byte of context, so a sound
+prefilter comes first, which sets aside what can be settled by equal blocks alone:
 
 An anchor is the 32-byte run with the least hash among all runs in a window of the
-wanted length. Two equal windows choose the same anchor, so each window can be
-settled among those of its anchor's interval:
+wanted length. Two equal windows choose the same anchor, so each window can be settled
+among those of its anchor's run.
 
-1. Anchors by the hash of their run. An interval of one: its windows occur once.
-2. Anchors by the hash of their block, the text of all windows that chose them.
-   Equal blocks: all their windows occur more than once.
-3. Windows of the different blocks of an interval, by the hash of the window.
+1. Runs that occur once: their windows do too.
+2. Blocks, the text of all windows that chose an anchor, by hash. Equal blocks: all
+   their windows occur more than once.
+3. The different blocks of a run in two halves: a window reaches at least `context`
+   bytes beyond the run to its left or to its right. A half whose run with these bytes
+   occurs once is out.
+4. The bytes of the remaining halves are dealt to groups by run and context. In a group
+   they make up shards, whose transforms are merged; intervals that share the wanted
+   length are the windows that occur more than once.
+
+Runs, contexts and blocks are compared by 64-bit hashes (contexts by 32 bits of one, as
+they only set aside), the windows of step 4 by their bytes.
 """
 
 from __future__ import annotations
@@ -29,21 +33,28 @@ from pyspark.sql import functions as F
 
 from .bytehash import RollingHash, joined, mix
 from .common import carried, carried_kind, slices, stored
+from .interleave import repeated_windows
 
 RUN = 32
-SLICE_BYTES = 2 << 20
-ROWS_PER_GROUP = 4000
+SLICE_BYTES = 256 << 10
+HALVES_PER_GROUP = 2000
+HOT_ROWS = 10_000  # a key with more rows is split ...
+HOT_KEYS = 2000  # ... if it is among the at most so many largest
 
 
 def anchors(data: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchors of all windows of length bytes: (row, first window, last window, run hash, block hash).
+    """Anchors of all windows of length bytes: (row, first window, last window, anchor, run, block, left, right).
 
-    Windows are numbered by their first byte within their row; each belongs to the one
-    anchor of its least run hash (the leftmost of equals).
+    Places are numbered within their row; each window belongs to the one anchor of its
+    least run hash (the leftmost of equals). run, block, left and right are hashes of the
+    run, the block, and the run with the context to its left or right (0 beyond the block).
     """
     width = length - RUN + 1
-    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    if len(data) < length:
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int32, np.int32)
+    none = tuple(np.empty(0, t) for t in kinds)
+    sizes = np.diff(rows)
+    long = sizes >= length
+    if not long.any():
         return none
     rolling = RollingHash(data)
     grams = rolling.grams(RUN)
@@ -56,132 +67,157 @@ def anchors(data: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     last = len(data) - length + 1
-    least = np.minimum(behind[:last], ahead[width - 1 : width - 1 + last])
-    at = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-    sizes = np.diff(rows)
-    valid = np.zeros(len(data) + 1, dtype=np.int32)
-    long = sizes >= length
+    at = (np.minimum(behind[:last], ahead[width - 1 : width - 1 + last]) & np.uint64((1 << int(bits)) - 1)).astype(np.int32)
+    del keyed, blocks, ahead, behind
+    valid = np.zeros(len(data) + 1, dtype=np.int8)
     np.add.at(valid, rows[:-1][long], 1)
     np.add.at(valid, rows[1:][long] - length + 1, -1)
-    window = np.flatnonzero(np.cumsum(valid)[:last])
-    if not len(window):
-        return none
+    window = np.flatnonzero(np.cumsum(valid, dtype=np.int8)[:last])
     at = at[window]
     new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(window, prepend=-2) != 1))
     first, final = window[new], window[np.append(new[1:], len(window)) - 1]
-    at = at[new]
+    at = at[new].astype(np.int64)
     row = np.searchsorted(rows, first, side="right") - 1
     inside = mix((at - first).astype(np.uint64) + np.uint64(1))
-    return row, first - rows[row], final - rows[row], grams[at], mix(rolling.ranges(first, final + length) ^ inside)
+    context = context_of(length)
+    left, right = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+    to_left, to_right = at - first >= context, final > at - context
+    left[to_left] = rolling.ranges(at[to_left] - context, at[to_left] + RUN).astype(np.int32)
+    right[to_right] = rolling.ranges(at[to_right], at[to_right] + length - context + 1).astype(np.int32)
+    block = mix(rolling.ranges(first, final + length) ^ inside)
+    return row, first - rows[row], final - rows[row], at - rows[row], grams[at], block, left, right
+
+
+def context_of(length: int) -> int:
+    """How far a window reaches beyond its run on one side at least: windows that begin so far before it are its left half."""
+    return (length - RUN) // 2
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def split_hot(rows: DataFrame, counted: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key is in counted (key, n): a semi-join in which keys with very many rows are dealt to shares.
+
+    Keys above HOT_ROWS and above the HOT_KEYS-th part of all rows are at most HOT_KEYS,
+    so their list is broadcast.
+    """
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share_rows = max(HOT_ROWS, total // HOT_KEYS)
+    hot = counted.where(F.col("n") > share_rows).select(*key, F.ceil(F.col("n") / share_rows).cast("int").alias("_shares"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn(
+        "_share", F.when(F.col("_shares").isNotNull(), F.pmod(F.hash("_h1", "first"), F.col("_shares"))).otherwise(0)
+    )
+    shares = F.when(F.col("n") > share_rows, F.ceil(F.col("n") / share_rows).cast("int")).otherwise(1)
+    wanted = counted.select(*key, F.explode(F.sequence(F.lit(0), shares - 1)).alias("_share"))
+    return dealt.join(wanted, [*key, "_share"], "left_semi").drop("_share", "_shares")
+
+
 def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     """Windows that occur more than once: (_h1, _h2, spans) with runs of first bytes, one row for each text that has any."""
+    context = context_of(length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1, SLICE_BYTES):
-                row, first, last, run, block = anchors(*joined(batch.column(1)), length)
+                row, first, last, at, run, block, left, right = anchors(*joined(batch.column(1)), length)
                 where = pa.array(row)
+                narrow = [pa.array(x.astype(np.int32)) for x in (first, last, at)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(2).take(where), batch.column(3).take(where), pa.array(first.astype(np.int32)),
-                        pa.array(last.astype(np.int32)), signed(run), signed(block),
-                    ],
-                    names=["_h1", "_h2", "first", "last", "run", "block"],
-                )
-
-    found = keyed.mapInArrow(find, "_h1 long, _h2 int, first int, last int, run long, block long")
-    intervals = found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    shared = stored(found.join(intervals, "run", "left_semi"))
+                    [batch.column(2).take(where), batch.column(3).take(where), *narrow, signed(run), signed(block), pa.array(left), pa.array(right)],
+                    names=["_h1", "_h2", "first", "last", "at", "run", "block", "left", "right"],
+                )
+
+    found = keyed.mapInArrow(find, "_h1 long, _h2 int, first int, last int, at int, run long, block long, left int, right int")
+    intervals = stored(found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = stored(split_hot(found, intervals, ["run"]))
     # The different blocks of an interval; of equal ones, one stands for all.
-    members = shared.groupBy("run", "block").agg(F.count("*").alias("n"), F.min(F.struct("_h1", "_h2", "first", "last")).alias("one"))
-    mixed = members.groupBy("run").agg(F.count("*").alias("blocks")).where("blocks > 1")
-    several = members.where("n > 1").select("run", "block")
-    wholes = shared.join(several, ["run", "block"], "left_semi").select("_h1", "_h2", "first", "last")
+    one = F.min(F.struct("_h1", "_h2", "first", "last", "at", "left", "right")).alias("one")
+    members = stored(shared.groupBy("run", "block").agg(F.count("*").alias("n"), one))
+    several = members.where("n > 1").select("run", "block", "n")
+    wholes = split_hot(shared.select("_h1", "_h2", "first", "last", "run", "block"), several, ["run", "block"]).select("_h1", "_h2", "first", "last")
 
-    n_groups = max(1, shared.count() // ROWS_PER_GROUP)
-    asked = (
-        members.join(mixed, "run")
-        .select(
-            "one.*",
-            (F.col("n") > 1).alias("several"),
-            F.pmod(F.xxhash64("run"), F.lit(n_groups)).alias("group"),
-            F.ceil(F.col("blocks") / ROWS_PER_GROUP).cast("int").alias("shares"),
-        )
-        .groupBy("_h1", "_h2")
-        .agg(F.collect_list(F.struct("first", "last", "several", "group", "shares")).alias("blocks"))
+    # The halves of blocks that differ: windows that begin at least `context` before the anchor, and the others.
+    mixed = members.groupBy("run").agg(F.count("*").alias("blocks")).where("blocks > 1").select("run")
+    near = F.col("at") - context
+    halves = F.array(
+        F.when(F.col("first") <= near, F.struct(F.lit(0).alias("side"), F.col("left").alias("context"), F.col("first").alias("from"), F.least("last", near).alias("to"))),
+        F.when(F.col("last") > near, F.struct(F.lit(1).alias("side"), F.col("right").alias("context"), F.greatest("first", near + 1).alias("from"), F.col("last").alias("to"))),
     )
+    cut_up = (
+        members.join(mixed, "run", "left_semi").select("run", (F.col("n") > 1).alias("several"), "one.*")
+        .select("run", "several", "_h1", "_h2", F.explode(F.array_compact(halves)).alias("h")).select("run", "several", "_h1", "_h2", "h.*")
+    )
+    key = ["run", "side", "context"]
+    alike = cut_up.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    candidates = stored(cut_up.join(alike, key).select("_h1", "_h2", "several", "from", "to", "n", F.xxhash64(*key).alias("key")))
+    n_groups = max(1, candidates.count() // HALVES_PER_GROUP)
+    # A key of very many halves is dealt to shares; what a share finds once is compared across shares by hash.
+    shares = F.ceil(F.col("n") / (4 * HALVES_PER_GROUP)).cast("int")
+    asked = (
+        candidates.withColumn("shares", shares)
+        .withColumn("group", F.when(F.col("shares") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(n_groups))))
+        .withColumn("share", F.when(F.col("shares") > 1, 1 + F.pmod(F.hash("_h1", "from"), "shares")).otherwise(0))
+        .groupBy("_h1", "_h2").agg(F.collect_list(F.struct("from", "to", "several", "group", "share")).alias("halves"))
+    )
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The asked blocks' bytes; of a block in an interval of very many, the windows' hashes, dealt by hash."""
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of the halves asked for."""
         for whole in batches:
             for batch in slices(whole, 1, SLICE_BYTES):
-                data, rows = joined(batch.column(1))
-                rolling, out = None, []
-                for i, blocks in enumerate(batch.column(4).to_pylist()):
-                    for b in blocks or ():
-                        start, end = rows[i] + b["first"], rows[i] + b["last"] + length
-                        if b["shares"] == 1:
-                            out.append((i, b["group"], 0, b["first"], b["several"], data[start:end].tobytes(), None, None))
-                            continue
-                        rolling = rolling or RollingHash(data)
-                        at = np.arange(b["first"], b["last"] + 1, dtype=np.int32)
-                        hashes = rolling.ranges(at + rows[i], at + rows[i] + length)
-                        share = (hashes % np.uint64(b["shares"])).astype(np.int64)
-                        for k in np.unique(share):
-                            mine = share == k
-                            out.append((i, b["group"], int(k) + 1, b["first"], b["several"], None, at[mine].tobytes(), hashes[mine].tobytes()))
-                if out:
-                    where, *columns = zip(*out, strict=True)
-                    where = pa.array(where, pa.int64())
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(2).take(where), batch.column(3).take(where), *map(pa.array, columns, kinds)],
-                        names=["_h1", "_h2", "group", "share", "first", "several", "bytes", "starts", "hashes"],
-                    )
+                out = []
+                for i, (text, halves) in enumerate(zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                    out += [(i, h["group"], h["share"], h["from"], h["several"], text[h["from"] : h["to"] + length]) for h in halves]
+                where, *columns = zip(*out, strict=True)
+                where = pa.array(where, pa.int64())
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(2).take(where), batch.column(3).take(where), *map(pa.array, columns, kinds)],
+                    names=["_h1", "_h2", "group", "share", "first", "several", "bytes"],
+                )
 
     def settle(key: tuple, rows: pa.Table) -> pa.Table:
-        """Runs of windows that another block of the group has too; blocks that stand for several are settled already."""
-        texts = rows.column("bytes").combine_chunks().cast(pa.large_binary())
-        firsts = rows.column("first").to_numpy()
-        starts = [np.frombuffer(x or b"", dtype=np.int32) for x in rows.column("starts").to_pylist()]
-        hashes = [np.frombuffer(x or b"", dtype=np.uint64) for x in rows.column("hashes").to_pylist()]
-        data, at = joined(texts)
-        rolling = RollingHash(data)
-        for i in np.flatnonzero(np.diff(at) >= length):
-            places = np.arange(at[i], at[i + 1] - length + 1)
-            starts[i] = (places - at[i] + firsts[i]).astype(np.int32)
-            hashes[i] = rolling.ranges(places, places + length)
-        owner = np.repeat(np.arange(len(firsts)), [len(s) for s in starts])
-        start, every = np.concatenate(starts).astype(np.int64), np.concatenate(hashes)
-        _, where, times = np.unique(every, return_inverse=True, return_counts=True)
-        hit = (times[where] > 1) & ~np.asarray(rows.column("several").combine_chunks().to_numpy(zero_copy_only=False), dtype=bool)[owner]
-        owner, start = owner[hit], start[hit]
-        new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
-        final = np.append(new[1:], len(owner))[: len(new)] - 1
-        taken = pa.array(owner[new])
+        """Runs of windows that another half of the group has too; in a share also each other window by its hash."""
+        rows = rows.combine_chunks()
+        texts = rows.column("bytes").to_pylist()
+        first, several = rows.column("first").to_pylist(), rows.column("several").to_pylist()
+        owner, start, end, names = [], [], [], []
+        for i, hit in enumerate(repeated_windows(texts, length)):
+            n = len(texts[i]) - length + 1
+            if key[1].as_py():  # a share: every window may have its like in another one
+                hashes = RollingHash(np.frombuffer(texts[i], dtype=np.uint8)).ranges(np.arange(n), np.arange(n) + length).view(np.int64)
+                owner += [i] * n
+                start += range(first[i], first[i] + n)
+                end += range(first[i], first[i] + n)
+                names += hashes.tolist()
+            if len(hit) and not several[i]:
+                new = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
+                final = np.append(new[1:], len(hit)) - 1
+                owner += [i] * len(new)
+                start += (hit[new] + first[i]).tolist()
+                end += (hit[final] + first[i]).tolist()
+                names += [None] * len(new)
+        taken = pa.array(owner, pa.int64())
         return pa.table(
             {
                 "_h1": rows.column("_h1").take(taken), "_h2": rows.column("_h2").take(taken),
-                "first": pa.array(start[new].astype(np.int32)), "last": pa.array(start[final].astype(np.int32)),
+                "first": pa.array(start, pa.int32()), "last": pa.array(end, pa.int32()),
+                "name": pa.array(names, pa.int64()), "share": pa.array([key[1].as_py()] * len(owner), pa.int32()),
             }
         )
 
-    singles = (
-        keyed.join(asked, ["_h1", "_h2"], "left")
-        .select("doc_id", "text", "_h1", "_h2", "blocks")
-        .mapInArrow(
-            windows,
-            "_h1 long, _h2 int, group long, share int, first int, several boolean, bytes binary, starts binary, hashes binary",
-        )
+    settled = stored(
+        keyed.join(asked, ["_h1", "_h2"])
+        .select("doc_id", "text", "_h1", "_h2", "halves")
+        .mapInArrow(pieces, "_h1 long, _h2 int, group long, share int, first int, several boolean, bytes binary")
         .groupBy("group", "share")
-        .applyInArrow(settle, "_h1 long, _h2 int, first int, last int")
+        .applyInArrow(settle, "_h1 long, _h2 int, first int, last int, name long, share int")
     )
+    # Shares: one row stands for each share's equal windows, so even a frequent window has few.
+    across = settled.where("name is not null").select("name", "share").distinct().groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    late = split_hot(settled.where("name is not null"), across, ["name"]).select("_h1", "_h2", "first", "last")
+    singles = settled.where("name is null").select("_h1", "_h2", "first", "last").unionByName(late)
     return wholes.unionByName(singles).groupBy("_h1", "_h2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
@@ -203,8 +239,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, carry: list[str] | Non
     end), kept (the remaining bytes; a cut may split a character), and a struct of the
     columns to carry, named row. Texts are UTF-8
     bytes, null is empty; matches lie within one text each, overlapping ones count,
-    and repeated rows are repeats of each other. One row out for each row in; only
-    doc_id and text are read.
+    and repeated rows are repeats of each other, an empty table gives an empty one. One
+    row out for each row in; only doc_id and text are read. A task holds a slice of
+    256 KB of text, or one longer text, and some hundred bytes for each of its bytes.
     """
     if length < 2 * RUN:
         raise ValueError(f"length must be at least {2 * RUN}")
@@ -214,7 +251,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, carry: list[str] | Non
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             sizes, removed, runs, kept = [], [], [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8")
