@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import joined, mix, word_hashes, word_starts
@@ -53,7 +54,51 @@ def words_in(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "words long, bytes long")
 
 
-def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_bytes: int = 8 << 20) -> DataFrame:
+def summed(several: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of several lists, sorted, and the sums of their counts."""
+    gram, where = np.unique(np.concatenate([g for g, _ in several]), return_inverse=True)
+    return gram, np.bincount(where, weights=np.concatenate([n for _, n in several]), minlength=len(gram)).astype(np.int64)
+
+
+def packed(docs: DataFrame, n_blocks: int) -> DataFrame:
+    """(block, key, doc_id, text): rows dealt to blocks by a hash of their content, texts compressed for the shuffle."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=3)
+        for batch in (part for whole in batches for part in slices(whole, 3, SLICE_BYTES)):
+            small = [compressor.compress(t or b"") for t in batch.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(small, pa.binary())], names=batch.schema.names)
+
+    key = F.xxhash64("doc_id", "text")
+    dealt = docs.select(F.pmod(key, F.lit(n_blocks)).cast("int").alias("block"), key.alias("key"), "doc_id", "text")
+    return dealt.mapInArrow(run, f"block int, key long, doc_id {kind}, text binary")
+
+
+def unpacked(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts of a block's rows a slice at a time: the number of its first row, all bytes, and where each row begins."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    first, held, size = 0, [], 0
+    for small in rows.column("text").to_pylist():
+        held.append(decompress(small))
+        size += len(held[-1])
+        if size >= SLICE_BYTES:
+            yield first, *joined(pa.array(held, pa.large_binary()))
+            first, held, size = first + len(held), [], 0
+    yield first, *joined(pa.array(held, pa.large_binary()))
+
+
+def own_counts(row: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """How often the text itself has each n-gram: the length of its run, sorted by text and n-gram."""
+    ordered = np.lexsort((gram, row))
+    new = np.flatnonzero((np.diff(gram[ordered], prepend=-1) != 0) | (np.diff(row[ordered], prepend=-1) != 0))
+    runs = np.diff(np.append(new, len(ordered)))
+    own = np.empty(len(gram))
+    own[ordered] = np.repeat(runs, runs)
+    return own
+
+
+def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_bytes: int = 32 << 20) -> DataFrame:
     """Stupid-backoff score of every row's whole text under the counts of all rows.
 
     Returns doc_id, n_words, n_found (words whose longest n-gram was found), log_score
@@ -62,71 +107,77 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_byte
     0.4 for each step to a shorter one; the shortest is count(word) / all words, with a
     count of one for a word that has none. With leave_out a text's own n-grams don't
     count for it. Words are lower-cased runs of ASCII letters, digits and characters
-    beyond ASCII. A text without words (null, empty) has n_words 0, log_score 0 and a
-    null mean. One row out for each row in, repeated rows included; only doc_id and
-    text are read. n-grams are told apart by a 64-bit hash. A block holds about block_bytes of text, or one longer text, and a task
-    some forty times that.
+    beyond ASCII; n-grams are told apart by a 64-bit hash. A text without words (null,
+    empty) has n_words 0, log_score 0 and a null mean. One row out for each row in,
+    repeated rows included, none for an empty table; only doc_id and text are read. A
+    block holds about block_bytes of text, or one longer text; a task holds the block's
+    distinct n-grams and a slice of a megabyte, or one longer text with some hundred
+    bytes for each of its words.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = words_in(docs).agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     all_words, n_blocks = int(size[0]), max(1, math.ceil(size[1] / block_bytes))
-    blocked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"))
+    blocked = packed(docs, n_blocks)
+
+    def in_block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams of a block, sorted, and their counts."""
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, (_, data, at) in enumerate(unpacked(rows), 1):
+            _, grams = ngrams(data, at, order)
+            waiting.append(np.unique(np.concatenate([h for _, h in grams]), return_counts=True))
+            if k % 8 == 0:
+                waiting = [summed(waiting)]
+        return summed(waiting)
 
     def explode(key: tuple, rows: pa.Table) -> pa.Table:
-        _, grams = ngrams(*joined(rows.column("text").combine_chunks()), order)
-        hashes, counts = np.unique(np.concatenate([h for _, h in grams]), return_counts=True)
-        block = np.full(len(hashes), key[0].as_py(), np.int32)
-        return pa.table({"block": block, "gram": hashes.view(np.int64), "n": counts.astype(np.int32)})
+        gram, n = in_block(rows)
+        return pa.table({"block": np.full(len(gram), key[0].as_py(), np.int32), "gram": gram.view(np.int64), "n": n.astype(np.int32)})
 
-    def look_up(key: tuple, rows: pa.Table, counted: pa.Table) -> pa.Table:
-        # A place among the block's rows tells rows of one id apart; sorted, so that a retry gives the same.
-        rows = rows.take(pc.sort_indices(rows, sort_keys=[("text", "ascending"), ("doc_id", "ascending")]))
-        texts = rows.column("text").combine_chunks()
-        row, grams = ngrams(*joined(texts), order)
-        gram = counted.column("gram").to_numpy().view(np.uint64)
-        by_gram = np.argsort(gram)
-        gram, total = np.append(gram[by_gram], np.uint64(0)), np.append(counted.column("total").to_numpy()[by_gram], 0)
-        own_words = np.bincount(row, minlength=len(texts))
+    def terms_of(first: int, data: np.ndarray, begins: np.ndarray, gram: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, found, term) of the words of a slice of a block's texts, by the joined n-grams of the block."""
+        row, grams = ngrams(data, begins, order)
+        own_words = np.bincount(row, minlength=len(begins) - 1)
         counts = np.zeros((order, len(row)), dtype=np.float64)
         for n, (at, h) in enumerate(grams):
-            values, found, times = np.unique(h, return_inverse=True, return_counts=True)
-            place = np.searchsorted(gram[:-1], values)
-            # An n-gram that is in no other block has no row; the block's own count is its total.
-            counts[n, at] = np.where(gram[place] == values, total[place], times)[found] if len(values) else 0
+            place = np.searchsorted(gram, h)
+            counts[n, at] = total[place]
             if leave_out and len(at):
-                # How often the text itself has the n-gram: the length of its run, sorted by text and n-gram.
-                ordered = np.lexsort((found, row[at]))
-                new = np.flatnonzero((np.diff(found[ordered], prepend=-1) != 0) | (np.diff(row[at][ordered], prepend=-1) != 0))
-                runs = np.diff(np.append(new, len(ordered)))
-                own = np.empty(len(at))
-                own[ordered] = np.repeat(runs, runs)
-                counts[n, at] -= own
+                counts[n, at] -= own_counts(row[at], place)
         others = np.maximum(1.0, all_words - (own_words[row] if leave_out else 0))
         longest = np.zeros(len(row), dtype=np.int64)
         place = np.arange(len(row)) - np.searchsorted(row, row)
-        value = np.log(np.maximum(counts[0], 1.0) / others) + np.minimum(place, order - 1) * math.log(BACKOFF)
+        term = np.log(np.maximum(counts[0], 1.0) / others) + np.minimum(place, order - 1) * math.log(BACKOFF)
         for n in range(1, order):
             at = np.flatnonzero(counts[n] > 0)
             steps = np.minimum(place[at], order - 1) - n
-            value[at] = np.log(counts[n, at] / counts[n - 1, at - 1]) + steps * math.log(BACKOFF)
+            term[at] = np.log(counts[n, at] / counts[n - 1, at - 1]) + steps * math.log(BACKOFF)
             longest[at] = n
         found = (counts[0] > 0) & (longest == np.minimum(place, order - 1))
-        bare = np.flatnonzero(own_words == 0)  # a row without a term for a text without words
+        return row + first, found, term
+
+    def look_up(key: tuple, rows: pa.Table, counted: pa.Table) -> pa.Table:
+        # A place among the block's rows tells rows of one id apart; sorted, so that a retry gives the same.
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("key", "ascending"), ("doc_id", "ascending")]))
+        # An n-gram of no other block has no row: its total is the block's own count.
+        gram, total = in_block(rows)
+        total[np.searchsorted(gram, counted.column("gram").to_numpy().view(np.uint64))] = counted.column("total").to_numpy()
+        parts = [terms_of(*part, gram, total) for part in unpacked(rows)]
+        row, found, term = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bare = np.flatnonzero(np.bincount(row, minlength=rows.num_rows) == 0)  # a row without a term for a text without words
         at = np.concatenate([row, bare])
-        no_term = np.arange(len(at)) >= len(row)
         return pa.table(
             {
                 "block": np.full(len(at), key[0].as_py(), np.int32),
                 "place": at.astype(np.int32),
                 "doc_id": rows.column("doc_id").take(pa.array(at)),
                 "found": np.concatenate([found, np.zeros(len(bare), bool)]),
-                "term": pa.array(np.concatenate([value, np.zeros(len(bare))]), mask=no_term),
+                "term": pa.array(np.concatenate([term, np.zeros(len(bare))]), mask=np.arange(len(at)) >= len(row)),
             }
         )
 
-    grams = blocked.groupBy("block").applyInArrow(explode, "block int, gram long, n int").repartition("gram")
-    tables = grams.groupBy("gram").agg(F.sum("n").alias("total"))
-    counted = grams.join(tables, "gram").where("total > n").select("block", "gram", "total")
+    grams = blocked.groupBy("block").applyInArrow(explode, "block int, gram long, n int")
+    # The count tables, partitioned by hash, joined to the n-grams they count: a row a block at most, so no key is hot.
+    counted = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram"))).where("total > n").select("block", "gram", "total")
     terms = (
         blocked.groupBy("block")
         .cogroup(counted.groupBy("block"))
