@@ -159,7 +159,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
         candidates.withColumn("shares", shares)
         .withColumn("group", F.when(F.col("shares") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(n_groups))))
         .withColumn("share", F.when(F.col("shares") > 1, 1 + F.pmod(F.hash("_h1", "from"), "shares")).otherwise(0))
-        .groupBy("_h1", "_h2").agg(F.collect_list(F.struct("from", "to", "several", "group", "share")).alias("halves"))
+        .groupBy("_h1", "_h2").agg(F.collect_list(F.struct("from", "to", "several", "group", "share", "key")).alias("halves"))
     )
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,18 +168,18 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
             for batch in slices(whole, 1, SLICE_BYTES):
                 out = []
                 for i, (text, halves) in enumerate(zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                    out += [(i, h["group"], h["share"], h["from"], h["several"], text[h["from"] : h["to"] + length]) for h in halves]
+                    out += [(i, h["group"], h["share"], h["from"], h["several"], h["key"], text[h["from"] : h["to"] + length]) for h in halves]
                 where, *columns = zip(*out, strict=True)
                 where = pa.array(where, pa.int64())
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(2).take(where), batch.column(3).take(where), *map(pa.array, columns, kinds)],
-                    names=["_h1", "_h2", "group", "share", "first", "several", "bytes"],
+                    names=["_h1", "_h2", "group", "share", "first", "several", "key", "bytes"],
                 )
 
     def settle(key: tuple, rows: pa.Table) -> pa.Table:
         """Runs of windows that another half of the group has too; in a share also each other window by its hash."""
-        rows = rows.combine_chunks()
+        rows = rows.combine_chunks().sort_by("key")  # halves that may be alike beside each other: they go to different shards
         texts = rows.column("bytes").to_pylist()
         first, several = rows.column("first").to_pylist(), rows.column("several").to_pylist()
         owner, start, end, names = [], [], [], []
@@ -210,7 +210,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     settled = stored(
         keyed.join(asked, ["_h1", "_h2"])
         .select("doc_id", "text", "_h1", "_h2", "halves")
-        .mapInArrow(pieces, "_h1 long, _h2 int, group long, share int, first int, several boolean, bytes binary")
+        .mapInArrow(pieces, "_h1 long, _h2 int, group long, share int, first int, several boolean, key long, bytes binary")
         .groupBy("group", "share")
         .applyInArrow(settle, "_h1 long, _h2 int, first int, last int, name long, share int")
     )
