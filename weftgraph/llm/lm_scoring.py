@@ -3,8 +3,8 @@
 A relational plan. Texts are dealt to blocks of a few megabytes, and each block is
 exploded to its n-grams, a row each with its hash and how often the block has it. The
 rows are partitioned by hash and summed: the count tables, which are joined back to
-the n-grams. Each block's texts meet the joined rows, every word becomes a row with its
-term, and the terms are summed per document.
+the n-grams. Each block's texts meet the joined rows; the terms of a text's words, a
+row for each length of n-gram that was found, are summed per document.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def own_counts(row: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return own
 
 
-def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_bytes: int = 48 << 20) -> DataFrame:
     """Stupid-backoff score of every row's whole text under the counts of all rows.
 
     Returns doc_id, n_words, n_found (words whose longest n-gram was found), log_score
@@ -134,7 +134,7 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_byte
         return pa.table({"block": np.full(len(gram), key[0].as_py(), np.int32), "gram": gram.view(np.int64), "n": n.astype(np.int32)})
 
     def terms_of(first: int, data: np.ndarray, begins: np.ndarray, gram: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(row, found, term) of the words of a slice of a block's texts, by the joined n-grams of the block."""
+        """(row, length, found, words, term) for the texts of a slice and each length of n-gram, by the joined n-grams of the block."""
         row, grams = ngrams(data, begins, order)
         own_words = np.bincount(row, minlength=len(begins) - 1)
         counts = np.zeros((order, len(row)), dtype=np.float64)
@@ -153,7 +153,12 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_byte
             term[at] = np.log(counts[n, at] / counts[n - 1, at - 1]) + steps * math.log(BACKOFF)
             longest[at] = n
         found = (counts[0] > 0) & (longest == np.minimum(place, order - 1))
-        return row + first, found, term
+        # Summed for each text and length of the n-gram found; a text without words has a row too.
+        slot = row * order + longest
+        n = order * (len(begins) - 1)
+        words, hits, terms = (np.bincount(slot, weights=w, minlength=n) for w in (None, found, term))
+        some = np.flatnonzero((words > 0) | ((np.arange(n) % order == 0) & (np.repeat(own_words, order) == 0)))
+        return some // order + first, some % order + 1, hits[some].astype(np.int64), words[some].astype(np.int64), terms[some]
 
     def look_up(key: tuple, rows: pa.Table, counted: pa.Table) -> pa.Table:
         # A place among the block's rows tells rows of one id apart; sorted, so that a retry gives the same.
@@ -162,16 +167,16 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_byte
         gram, total = in_block(rows)
         total[np.searchsorted(gram, counted.column("gram").to_numpy().view(np.uint64))] = counted.column("total").to_numpy()
         parts = [terms_of(*part, gram, total) for part in unpacked(rows)]
-        row, found, term = (np.concatenate(x) for x in zip(*parts, strict=True))
-        bare = np.flatnonzero(np.bincount(row, minlength=rows.num_rows) == 0)  # a row without a term for a text without words
-        at = np.concatenate([row, bare])
+        at, level, found, words, term = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.table(
             {
                 "block": np.full(len(at), key[0].as_py(), np.int32),
                 "place": at.astype(np.int32),
                 "doc_id": rows.column("doc_id").take(pa.array(at)),
-                "found": np.concatenate([found, np.zeros(len(bare), bool)]),
-                "term": pa.array(np.concatenate([term, np.zeros(len(bare))]), mask=np.arange(len(at)) >= len(row)),
+                "level": level.astype(np.int32),
+                "words": words,
+                "found": found,
+                "term": term,
             }
         )
 
@@ -181,12 +186,9 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_byte
     terms = (
         blocked.groupBy("block")
         .cogroup(counted.groupBy("block"))
-        .applyInArrow(look_up, f"block int, place int, doc_id {kind}, found boolean, term double")
+        .applyInArrow(look_up, f"block int, place int, doc_id {kind}, level int, words long, found long, term double")
     )
-    total = F.coalesce(F.sum("term"), F.lit(0.0))
+    n_words, total = F.sum("words"), F.sum("term")
     return terms.groupBy("block", "place", "doc_id").agg(
-        F.count("term").alias("n_words"),
-        F.count_if("found").alias("n_found"),
-        total.alias("log_score"),
-        F.when(F.count("term") > 0, total / F.count("term")).alias("mean_log_score"),
+        n_words.alias("n_words"), F.sum("found").alias("n_found"), total.alias("log_score"), F.when(n_words > 0, total / n_words).alias("mean_log_score")
     ).drop("block", "place")
