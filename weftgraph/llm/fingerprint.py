@@ -20,22 +20,26 @@ from pyspark.sql import functions as F
 
 PARAGRAPH_END = r"\n+|(?<=[.!?])[ \t]+(?=\p{Lu})"
 # Also after marks of scripts without capitals, whatever follows.
-SENTENCE_END = PARAGRAPH_END + r"|(?<=[。．！？｡؟۔।॥։።။។])(?![。．！？｡؟۔।॥։።။។”’」』）])[ \t]*"
-STRETCH_CHARS = 100
+SENTENCE_END = PARAGRAPH_END + r"|(?<=[^\x00-\u0588])(?<=[。．！？｡؟۔।॥։።။។])(?![。．！？｡؟۔।॥։።။។”’」』）])[ \t]*"
+STRETCH_CHARS = 120
 BASE_CELLS = 8  # in each of three tables
-PART_DIGESTS = 6
+PART_DIGESTS = 3
 _ZERO = "named_struct('c', 0, 'k', 0L, 'h', 0L)"
 
 
 def digests(text: str, ends: str, stretch: int | None = None) -> str:
     """SQL for the distinct digests of the paragraphs of a text column that hold more than white space.
 
-    With a stretch, a paragraph is cut after every so many characters from its start.
+    With a stretch, a paragraph is cut after so many characters from its start, twice as
+    many, four times as many and so on: what two versions of it begin with in common is
+    at least a quarter of it in whole parts, and a long one adds few digests.
     """
     escaped = ends.replace("\\", "\\\\")
     parts = f"split({text}, '{escaped}')"
     if stretch:
-        cut = f"regexp_extract_all(p, '[\\\\s\\\\S]{{1,{stretch}}}', 0)"
+        doublings = f"sequence(0, cast(ceil(log2(length(p) / {stretch}.0)) as int))"
+        begin = f"if(k = 0, 0, {stretch} * cast(pow(2, k - 1) as int))"
+        cut = f"transform({doublings}, k -> substring(p, {begin} + 1, {stretch} * cast(pow(2, k) as int) - {begin}))"
         parts = f"flatten(transform({parts}, p -> if(length(p) <= {stretch}, array(p), {cut})))"
     return f"array_distinct(transform(filter({parts}, p -> p rlike '[^ \\\\t\\\\r\\\\f]'), p -> xxhash64(p)))"
 
@@ -51,44 +55,54 @@ def bound(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def hashed(key: str, size: int, seed: int, more: str) -> str:
+    """SQL for an entry: its digest, its check hash, and its cell in each table, 20 bits each of another hash."""
+    cells = ", ".join(f"'i{t}', cast(shiftrightunsigned(g, {20 * t}) & {size - 1} as int)" for t in range(3))
+    return bound(f"xxhash64({key}, {seed})", "g", f"named_struct({more}, 'k', {key}, 'h', xxhash64({key}), {cells})")
+
+
 def tables(entries: str, size: int, seed: int) -> str:
-    """SQL for the three tables of a sketch, as an array: 20 bits each of an entry's hash choose its cells."""
+    """SQL for the three tables of a sketch, as an array."""
 
     def table(t: int) -> str:
         return (
-            f"transform(sequence(0, {size - 1}), i -> aggregate(filter(hashed, s -> "
-            f"(shiftrightunsigned(s.g, {20 * t}) & {size - 1}) = i), {_ZERO}, "
+            f"transform(sequence(0, {size - 1}), i -> aggregate(filter(hashed, s -> s.i{t} = i), {_ZERO}, "
             "(a, s) -> named_struct('c', a.c + s.c, 'k', a.k ^ s.k, 'h', a.h ^ s.h)))"
         )
 
-    hashed = f"transform({entries}, s -> named_struct('c', s.c, 'k', s.k, 'g', xxhash64(s.k, {seed}), 'h', xxhash64(s.k)))"
-    return bound(hashed, "hashed", f"array({', '.join(map(table, range(3)))})")
+    each = f"transform({entries}, s -> {hashed('s.k', size, seed, more_sign('s'))})"
+    return bound(each, "hashed", f"array({', '.join(map(table, range(3)))})")
+
+
+def more_sign(entry: str) -> str:
+    return f"'c', {entry}.c"
 
 
 def peel(sketch: str, size: int, seed: int, rounds: int) -> str:
     """SQL for the number of digests that peeling recovers from a subtracted sketch; null if cells remain.
 
-    A step takes the digests that are alone in a cell of the first table out of the two
-    others, and moves that table to the end.
+    A step takes the digests that are alone in a cell of one table out of the two
+    others; a round is a step for each table.
     """
     alone = "(abs(e.c) = 1 and e.h = xxhash64(e.k))"
 
-    def without(table: str, ahead: int) -> str:
+    def without(state: str, t: int) -> str:
         return (
-            f"if(size(p) = 0, {table}, transform({table}, (e, i) -> aggregate(filter(p, q -> "
-            f"(shiftrightunsigned(q.g, 20 * ((x + {ahead}) % 3)) & {size - 1}) = i), e, "
-            "(a, q) -> named_struct('c', a.c - q.c, 'k', a.k ^ q.k, 'h', a.h ^ xxhash64(q.k)))))"
+            f"transform({state}.t{t}, (e, i) -> aggregate(filter(p, q -> q.i{t} = i), e, "
+            "(a, q) -> named_struct('c', a.c - q.c, 'k', a.k ^ q.k, 'h', a.h ^ q.h)))"
         )
 
-    step = (
-        f"element_at(transform(array(transform(filter(st.t0, e -> {alone}), e -> named_struct('c', e.c, 'k', e.k, 'g', xxhash64(e.k, {seed})))), "
-        f"p -> named_struct('t0', {without('st.t1', 1)}, 't1', {without('st.t2', 2)}, "
-        f"'t2', if(size(p) = 0, st.t0, transform(st.t0, e -> if({alone}, {_ZERO}, e))), 'n', st.n + size(p))), 1)"
-    )
+    def step(state: str, t: int) -> str:
+        found = f"transform(filter({state}.t{t}, e -> {alone}), e -> {hashed('e.k', size, seed, more_sign('e'))})"
+        emptied = f"transform({state}.t{t}, e -> if({alone}, {_ZERO}, e))"
+        left = ", ".join(f"'t{u}', {emptied if u == t else without(state, u)}" for u in range(3))
+        return bound(found, "p", f"if(size(p) = 0, {state}, named_struct({left}, 'n', {state}.n + size(p)))")
+
+    round_ = bound(step("st", 0), "s1", bound(step("s1", 1), "s2", step("s2", 2)))
     start = bound(sketch, "sk", "named_struct('t0', sk[0], 't1', sk[1], 't2', sk[2], 'n', 0)")
     empty = "e -> e.c = 0 and e.k = 0 and e.h = 0"
     return (
-        f"aggregate(sequence(0, {3 * rounds - 1}), {start}, (st, x) -> {step}, "
+        f"aggregate(sequence(1, {rounds}), {start}, (st, x) -> {round_}, "
         f"st -> if(forall(st.t0, {empty}) and forall(st.t1, {empty}) and forall(st.t2, {empty}), st.n, cast(null as int)))"
     )
 
@@ -108,16 +122,15 @@ def differing(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
     # Parts of about PART_DIGESTS, dealt in two steps; where the retries leave a part unpeeled, its digests are compared.
     compared = "2 * size(array_distinct(transform(part, s -> s.k))) - size(part)"
     deals = f"cast(ceil(sqrt((size({a}) + size({b})) / {PART_DIGESTS}.0)) as bigint)"
-    n_deals = f"greatest(1L, {deals})"
     within = bound(
-        f"filter(every, s -> pmod(s.k, {n_deals}) = v)",
+        "filter(every, s -> pmod(s.k, m) = v)",
         "dealt",
-        f"transform(sequence(0L, {n_deals} - 1), w -> filter(dealt, s -> pmod(shiftright(s.k, 24), {n_deals}) = w))",
+        "transform(sequence(0L, m - 1), w -> filter(dealt, s -> pmod(shiftright(s.k, 24), m) = w))",
     )
-    parts = f"flatten(transform(sequence(0L, {n_deals} - 1), v -> {within}))"
+    parts = bound(f"greatest(1L, {deals})", "m", f"flatten(transform(sequence(0L, m - 1), v -> {within}))")
     larger = (
         f"aggregate({bound(signed(a, b), 'every', parts)}, 0, (total, part) -> total + if(size(part) <= 1, size(part), "
-        f"coalesce({attempt(8, 1, 3)}, {attempt(16, 2, 3)}, {attempt(64, 3, 4)}, {compared})))"
+        f"coalesce(if(size(part) = 2, {attempt(2, 4, 1)}, cast(null as int)), {attempt(8, 1, 2)}, {attempt(16, 2, 3)}, {attempt(64, 3, 4)}, {compared})))"
     )
     return F.expr(f"coalesce({base}, {larger})")
 
