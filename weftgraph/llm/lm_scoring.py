@@ -54,10 +54,15 @@ def words_in(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "words long, bytes long")
 
 
-def summed(several: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of several lists, sorted, and the sums of their counts."""
-    gram, where = np.unique(np.concatenate([g for g, _ in several]), return_inverse=True)
-    return gram, np.bincount(where, weights=np.concatenate([n for _, n in several]), minlength=len(gram)).astype(np.int64)
+def added(gram: np.ndarray, n: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted n-grams and their counts, with further occurrences counted in."""
+    new, times = np.unique(np.concatenate(more), return_counts=True)
+    at = np.searchsorted(gram, new)
+    known = np.zeros(len(new), dtype=bool)
+    inside = at < len(gram)
+    known[inside] = gram[at[inside]] == new[inside]
+    n[at[known]] += times[known].astype(np.int32)
+    return np.insert(gram, at[~known], new[~known]), np.insert(n, at[~known], times[~known].astype(np.int32))
 
 
 def packed(docs: DataFrame, n_blocks: int) -> DataFrame:
@@ -91,14 +96,14 @@ def unpacked(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def own_counts(row: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """How often the text itself has each n-gram: the length of its run, sorted by text and n-gram."""
     ordered = np.lexsort((gram, row))
-    new = np.flatnonzero((np.diff(gram[ordered], prepend=-1) != 0) | (np.diff(row[ordered], prepend=-1) != 0))
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(gram[ordered]) != 0) | (np.diff(row[ordered]) != 0)]))
     runs = np.diff(np.append(new, len(ordered)))
     own = np.empty(len(gram))
     own[ordered] = np.repeat(runs, runs)
     return own
 
 
-def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_bytes: int = 48 << 20) -> DataFrame:
+def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_bytes: int = 64 << 20) -> DataFrame:
     """Stupid-backoff score of every row's whole text under the counts of all rows.
 
     Returns doc_id, n_words, n_found (words whose longest n-gram was found), log_score
@@ -119,19 +124,16 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_byte
     all_words, n_blocks = int(size[0]), max(1, math.ceil(size[1] / block_bytes))
     blocked = packed(docs, n_blocks)
 
-    def in_block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct n-grams of a block, sorted, and their counts."""
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        for k, (_, data, at) in enumerate(unpacked(rows), 1):
-            _, grams = ngrams(data, at, order)
-            waiting.append(np.unique(np.concatenate([h for _, h in grams]), return_counts=True))
-            if k % 8 == 0:
-                waiting = [summed(waiting)]
-        return summed(waiting)
-
     def explode(key: tuple, rows: pa.Table) -> pa.Table:
-        gram, n = in_block(rows)
-        return pa.table({"block": np.full(len(gram), key[0].as_py(), np.int32), "gram": gram.view(np.int64), "n": n.astype(np.int32)})
+        gram, n, waiting = np.empty(0, np.uint64), np.empty(0, np.int32), []
+        for k, (_, data, at) in enumerate(unpacked(rows), 1):
+            waiting += [h for _, h in ngrams(data, at, order)[1]]
+            if k % 4 == 0:
+                gram, n = added(gram, n, waiting)
+                waiting = []
+        if waiting:
+            gram, n = added(gram, n, waiting)
+        return pa.table({"block": np.full(len(gram), key[0].as_py(), np.int32), "gram": gram.view(np.int64), "n": n})
 
     def terms_of(first: int, data: np.ndarray, begins: np.ndarray, gram: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, ...]:
         """(row, length, found, words, term) for the texts of a slice and each length of n-gram, by the joined n-grams of the block."""
@@ -140,9 +142,9 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_byte
         counts = np.zeros((order, len(row)), dtype=np.float64)
         for n, (at, h) in enumerate(grams):
             place = np.searchsorted(gram, h)
-            counts[n, at] = total[place]
+            counts[n, at] = np.where(gram[place] == h, total[place], 1)  # an n-gram without a row occurs once in all
             if leave_out and len(at):
-                counts[n, at] -= own_counts(row[at], place)
+                counts[n, at] -= own_counts(row[at], h)
         others = np.maximum(1.0, all_words - (own_words[row] if leave_out else 0))
         longest = np.zeros(len(row), dtype=np.int64)
         place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -163,9 +165,9 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_byte
     def look_up(key: tuple, rows: pa.Table, counted: pa.Table) -> pa.Table:
         # A place among the block's rows tells rows of one id apart; sorted, so that a retry gives the same.
         rows = rows.take(pc.sort_indices(rows, sort_keys=[("key", "ascending"), ("doc_id", "ascending")]))
-        # An n-gram of no other block has no row: its total is the block's own count.
-        gram, total = in_block(rows)
-        total[np.searchsorted(gram, counted.column("gram").to_numpy().view(np.uint64))] = counted.column("total").to_numpy()
+        gram, total = counted.column("gram").to_numpy().view(np.uint64), counted.column("total").to_numpy()
+        by_gram = np.argsort(gram)
+        gram, total = np.append(gram[by_gram], np.uint64(2**64 - 1)), np.append(total[by_gram], 1)
         parts = [terms_of(*part, gram, total) for part in unpacked(rows)]
         at, level, found, words, term = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.table(
@@ -182,7 +184,7 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_byte
 
     grams = blocked.groupBy("block").applyInArrow(explode, "block int, gram long, n int")
     # The count tables, partitioned by hash, joined to the n-grams they count: a row a block at most, so no key is hot.
-    counted = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram"))).where("total > n").select("block", "gram", "total")
+    counted = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram"))).where("total > 1").select("block", "gram", "total")
     terms = (
         blocked.groupBy("block")
         .cogroup(counted.groupBy("block"))
