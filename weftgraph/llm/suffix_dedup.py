@@ -97,11 +97,11 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def split_hot(rows: DataFrame, counted: DataFrame, key: list[str]) -> DataFrame:
+def split_hot(rows: DataFrame, counted: DataFrame, key: list[str], how: str = "left_semi") -> DataFrame:
     """The rows whose key is in counted (key, n): a semi-join in which keys with very many rows are dealt to shares.
 
-    Keys above HOT_ROWS and above the HOT_KEYS-th part of all rows are at most HOT_KEYS,
-    so their list is broadcast.
+    As a left join it returns all rows, and n (2) only for these. Keys above HOT_ROWS and
+    above the HOT_KEYS-th part of all rows are at most HOT_KEYS, so their list is broadcast.
     """
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share_rows = max(HOT_ROWS, total // HOT_KEYS)
@@ -111,7 +111,9 @@ def split_hot(rows: DataFrame, counted: DataFrame, key: list[str]) -> DataFrame:
     )
     shares = F.when(F.col("n") > share_rows, F.ceil(F.col("n") / share_rows).cast("int")).otherwise(1)
     wanted = counted.select(*key, F.explode(F.sequence(F.lit(0), shares - 1)).alias("_share"))
-    return dealt.join(wanted, [*key, "_share"], "left_semi").drop("_share", "_shares")
+    if how == "left":
+        wanted = wanted.withColumn("n", F.lit(2))
+    return dealt.join(wanted, [*key, "_share"], how).drop("_share", "_shares")
 
 
 def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
@@ -136,7 +138,9 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     one = F.min(F.struct("_h1", "_h2", "first", "last", "at", "left", "right")).alias("one")
     members = stored(shared.groupBy("run", "block").agg(F.count("*").alias("n"), one))
     several = members.where("n > 1").select("run", "block", "n")
-    wholes = split_hot(shared.select("_h1", "_h2", "first", "last", "run", "block"), several, ["run", "block"]).select("_h1", "_h2", "first", "last")
+    marked = split_hot(shared.select("_h1", "_h2", "first", "last", "run", "block"), several, ["run", "block"], "left")
+    span = F.struct("first", "last")
+    wholes = marked.select("_h1", "_h2", F.when(F.col("n").isNotNull(), span).alias("span"))
 
     # The halves of blocks that differ: windows that begin at least `context` before the anchor, and the others.
     mixed = members.groupBy("run").agg(F.count("*").alias("blocks")).where("blocks > 1").select("run")
@@ -216,9 +220,9 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     )
     # Shares: one row stands for each share's equal windows, so even a frequent window has few.
     across = settled.where("name is not null").select("name", "share").distinct().groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-    late = split_hot(settled.where("name is not null"), across, ["name"]).select("_h1", "_h2", "first", "last")
-    singles = settled.where("name is null").select("_h1", "_h2", "first", "last").unionByName(late)
-    return wholes.unionByName(singles).groupBy("_h1", "_h2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    late = split_hot(settled.where("name is not null"), across, ["name"]).select("_h1", "_h2", span.alias("span"))
+    singles = settled.where("name is null").select("_h1", "_h2", span.alias("span")).unionByName(late)
+    return wholes.unionByName(singles).groupBy("_h1", "_h2").agg(F.collect_list("span").alias("spans"))
 
 
 def merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
