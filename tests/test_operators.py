@@ -1,5 +1,7 @@
 """Operators on small graphs whose results are known in closed form."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,8 +88,9 @@ def test_module_key_and_bare_name(spark):
 
 def test_paths_resolve_to_the_first_candidate(spark):
     files = spark.createDataFrame([("src/a.ts",), ("src/a.js",), ("src/b/index.tsx",)], "path string")
-    asked = spark.createDataFrame([("x", "src/a"), ("x", "src/b"), ("x", "src/none")], "source string, path string")
-    assert {r["target"] for r in resolve.resolve_paths(asked, files).collect()} == {"src/a.ts", "src/b/index.tsx"}
+    asked = spark.createDataFrame([("src/q/x.ts", s) for s in ("../a", "./../b", "@/none", "react", "../../src/q/../b")] + [("y.ts", "~/a")], "source string, path string")
+    got = {(r["source"], r["target"]) for r in resolve.resolve_scripts(asked, files).collect()}
+    assert got == {("src/q/x.ts", "src/a.ts"), ("src/q/x.ts", "src/b/index.tsx"), ("y.ts", "src/a.ts")}
 
 
 def test_match_must_be_sure_or_ahead(spark):
@@ -100,9 +103,78 @@ def test_match_must_be_sure_or_ahead(spark):
 
 def test_cap_keeps_the_nearest(spark):
     g = graph(spark, 151, [(i, 0) for i in range(1, 151)])
+    start = spark.createDataFrame([("n0",)], "id string")
     symbols = g.nodes.join(metrics.degrees(g), "id").withColumn("churn", F.lit(0))
-    found = impact.affected(symbols, g.edges, spark.createDataFrame([("n0",)], "id string"))
-    assert found.count() == 150 and impact.capped(found, 100).count() == 100
+    assert impact.affected(symbols, g.edges, start).count() == 150
+    assert {r["id"] for r in impact.hard_capped(g.edges, start, cap=100).collect()} == {f"n{i}" for i in range(1, 101)}
+    assert impact.soft_capped(g.edges, start, limit=101).count() == 150  # all callers of an opened node are taken
+
+
+def opened_by_hand(edges, start, depth, limit):
+    far, queue = {start: 0}, [start]
+    while queue and len(far) <= limit:
+        node = queue.pop(0)
+        if far[node] < depth:
+            for s, t in edges:
+                if t == node and s not in far:
+                    far[s] = far[node] + 1
+                    queue.append(s)
+    return {f"n{k}": v for k, v in far.items() if v}
+
+
+@pytest.mark.parametrize("limit", [1, 5, 9, 20, 500])
+def test_soft_cap_equals_a_queue(spark, limit):
+    rng = random.Random(limit)
+    pairs = list(dict.fromkeys((rng.randrange(60), rng.randrange(60)) for _ in range(150)))
+    g = graph(spark, 60, pairs)
+    got = {r["id"]: r["depth"] for r in impact.soft_capped(g.edges, spark.createDataFrame([("n0",)], "id string"), 4, limit).collect()}
+    assert got == opened_by_hand(pairs, 0, 4, limit)
+
+
+@pytest.mark.parametrize(
+    ("kind", "fan_in", "depths", "level", "points"),
+    [("behavior", 0, [], "minor", 0), ("rename", 1, [3], "moderate", 9.28), ("delete", 5, [1], "critical", 57.68), ("signature", 1, [1] * 5, "critical", 46.4),
+     ("behavior", 2, [1, 2], "moderate", 19.6), ("behavior", 9, [1, 3], "significant", 45.6), ("delete", 0, [], "minor", 10)],
+)
+def test_criticality_floors(spark, kind, fan_in, depths, level, points):
+    found = spark.createDataFrame([(f"a{i}", d) for i, d in enumerate(depths)], "id string, depth int")
+    row = impact.criticality(found, spark.createDataFrame([(fan_in,)], "fan_in long"), kind).first()
+    assert (row["level"], row["points"]) == (level, pytest.approx(points))
+    assert any("every caller" in r for r in row["reasons"]) == (kind != "behavior")
+
+
+def test_hotspots_without_any_use(spark):
+    symbols = spark.createDataFrame([("a", "f1", 0, 0, 0), ("b", "f2", 0, 0, 0)], "id string, file string, fan_in long, fan_out long, churn long")
+    assert {(r["share"], r["band"]) for r in impact.hotspots(symbols).collect()} == {(0.0, "low")}
+
+
+def test_clustering_with_loops_equals_brute_force(spark):
+    rng = random.Random(2)
+    pairs = [(rng.randrange(12), rng.randrange(12)) for _ in range(40)] + [(3, 3), (5, 5)]
+    g = graph(spark, 13, pairs)
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(13)}
+    want = {f"n{i}": 2 * sum(q in near[p] for p in n for q in n if p < q) / (len(n) * (len(n) - 1)) if len(n) > 1 else 0.0 for i, n in near.items()}
+    assert {r["id"]: r["clustering"] for r in metrics.clustering(g).collect()} == pytest.approx(want)
+
+
+def test_dead_code_spares_what_is_alive(spark):
+    rows = [("a", "function", "src/x.py", "__init__"), ("b", "function", "src/x.py", "on_event"), ("c", "function", "src/cli.py", "go"), ("d", "function", "src/x.py", "main"),
+            ("e", "function", "src/api.py", "thing"), ("f", "function", "src/x.py", "K.method"), ("g", "function", "src/x.py", "lost"), ("h", "file", "src/alone.py", "src/alone.py"),
+            ("i", "file", "src/__init__.py", "src/__init__.py"), ("j", "function", "tests/test_x.py", "test_y"), ("k", "function", "src/x.py", "on_")]
+    nodes = spark.createDataFrame([(*r, None, i) for i, r in enumerate(rows)], "id string, type string, file string, name string, loc int, seq long")
+    dead = testplan.dead_code(CodeGraph(nodes, spark.createDataFrame([], "source string, target string, type string, seq long")))
+    assert {r["id"]: r["reason"] for r in dead.collect()} == {"f": "likely-dispatch", "g": "no callers", "h": "no importers", "j": "orphan test", "k": "no callers"}
+
+
+def test_stream_of_files_replaces_repositories(spark, tmp_path):
+    from weftgraph.streaming.churn import keep_files_current
+
+    write = lambda rows: spark.createDataFrame(rows, "repo_id int, path string, content string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for rows in ([(1, "a", "old"), (2, "b", "stays")], [(1, "a", "new"), (1, "c", "more")]):
+        write(rows)
+        keep_files_current(spark.readStream.schema("repo_id int, path string, content string").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/at").awaitTermination()
+    got = {(r["repo_id"], r["path"], r["content"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(1, "a", "new"), (1, "c", "more"), (2, "b", "stays")}
 
 
 def test_low_inbound_demotes_dead_code(spark):
@@ -170,6 +242,8 @@ def test_import_resolvers(spark):
     includes = frame([("a.c", "util/x.h"), ("a.c", "none.h")], "source string, path string")
     files = frame([("lib/x.h", 1), ("src/util/x.h", 2)], "path string, seq long")
     assert [tuple(r) for r in resolve.resolve_includes(includes, files).collect()] == [("a.c", "lib/x.h")]
+    inside = frame([("a.c", "x.h")], "source string, path string")
+    assert resolve.resolve_includes(inside, frame([("lib/my_x.h", 1), ("x.h", 2)], "path string, seq long")).first()["target"] == "lib/my_x.h"
     packages = frame([("m.go", "example.org/app/pkg/db")], "source string, path string")
     folders = frame([("db", "x/db.go"), ("pkg/db", "app/pkg/db/db.go")], "folder string, target string")
     assert resolve.resolve_packages(packages, folders).first()["target"] == "app/pkg/db/db.go"

@@ -6,9 +6,12 @@ import os
 import duckdb
 import pytest
 
-from weftgraph.oracles import ORACLE_SQL
-from weftgraph.queries import QUERIES
+from weftgraph import oracles, queries, source_oracles, source_queries
 
+QUERIES = queries.QUERIES | source_queries.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | source_oracles.ORACLE_SQL
+# SQL can't open nodes in the order they were found; test_operators.py compares with plain Python.
+WITHOUT_SQL = {"g23_impact_soft_cap"}
 DATA = "/root/testdata/sf0.001"
 
 
@@ -33,9 +36,9 @@ def rows(frame):
 
 
 def test_each_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, duck, name):
     assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(ORACLE_SQL[name]).fetchdf())

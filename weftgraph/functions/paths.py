@@ -82,6 +82,34 @@ def change_kind(prompt: Column) -> Column:
     return F.when(has("rename"), "rename").when(has("delete", "remove"), "delete").when(has("signature", "parameter", "argument"), "signature").otherwise("behavior")
 
 
+def snake(name: Column) -> Column:
+    """A name in lower-case words between single underscores."""
+    parted = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"), "[^A-Za-z0-9]+", "_")
+    return F.regexp_replace(F.lower(parted), "^_+|_+$", "")
+
+
+def suggested_test(file: Column) -> Column:
+    """Where a test of a file would stand: beside a script, under tests for Python and all else."""
+    inner = F.regexp_replace(F.regexp_replace(file, "^src/", ""), r"\.py$", "")
+    parts = F.split(inner, "/")
+    python = F.array_join(F.concat(F.array(F.lit("tests")), F.slice(parts, 1, F.size(parts) - 1), F.array(F.concat(F.lit("test_"), F.element_at(parts, -1), F.lit(".py")))), "/")
+    return F.when(file.endswith(".py"), python).when(file.rlike(r"\.[tj]sx?$"), F.regexp_replace(file, r"\.([tj]sx?)$", ".test.$1")).otherwise(F.concat(F.lit("tests/"), file, F.lit(".test")))
+
+
+def status(value: Column, good: tuple[float, float], warn: tuple[float, float]) -> Column:
+    """good, warn or bad by the ranges a value lies in, ends included."""
+    return F.when(value.between(*good), "good").when(value.between(*warn), "warn").otherwise("bad")
+
+
+def health_bands(diameter: Column, avg_path: Column, density: Column, components: Column, health: Column) -> list[Column]:
+    """Bands of a graph's figures, and how many of five dots its health fills."""
+    dots = F.when(health >= 80, 5).when(health >= 65, 4).when(health >= 50, 3).when(health >= 35, 2).otherwise(1)
+    return [
+        status(diameter, (-1, 7), (-1, 10)).alias("diameter_band"), status(avg_path, (-1, 4), (-1, 6)).alias("path_band"),
+        status(density, (0.08, 0.35), (0.05, 0.50)).alias("density_band"), status(components, (1, 1), (-1, 2)).alias("component_band"), dots.alias("dots"),
+    ]
+
+
 def name_tokens(name: Column) -> Column:
     """Lower-case parts of a camel, snake, kebab or dotted name, of two characters or more."""
     spaced = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")

@@ -55,6 +55,70 @@ def low_signal(graph: CodeGraph, scores: DataFrame, keep_ratio: float = 0.5, min
     return placed.join(crossing, "id", "left").select("id", "file", (~F.coalesce("crossing", F.lit(False)) & (F.col("place") > keep)).alias("hidden"))
 
 
+def collapsed(graph: CodeGraph, scores: DataFrame, keep_ratio: float = 0.5, min_per_file: int = 2) -> tuple[CodeGraph, DataFrame]:
+    """The graph without low_signal() symbols, and (file, hidden): the ids hidden in each file that has a node, in order of the score."""
+    marked = low_signal(graph, scores, keep_ratio, min_per_file)
+    hidden = marked.where("hidden").join(scores.select("id", "score"), "id", "left").na.fill(0, ["score"]).join(graph.nodes.select("id", "seq"), "id")
+    files = graph.nodes.where("type = 'file'").groupBy("file").agg(F.min_by("id", "seq").alias("node"))
+    listed = hidden.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("score"), "seq", "id"))), lambda h: h["id"]).alias("hidden"))
+    keep = graph.nodes.join(marked.where("hidden").select("id"), "id", "left_anti").select("id")
+    return graph.induced(keep), listed.join(files, "file").select(F.col("node").alias("file"), "hidden")
+
+
+def apply_abstraction(graph: CodeGraph, level: str, module: str | None = None, file: str | None = None) -> CodeGraph:
+    """The graph at a level (module, file or symbol), within a module if one is given, and around a file at symbol level."""
+    working = focus_module(graph, module) if module else graph
+    if level == "module":
+        nodes = module_nodes(working).select(F.concat(F.lit("module:"), "module").alias("id"), F.lit("file").alias("type"), F.col("module").alias("file"), F.col("module").alias("name"), F.col("symbols").cast("int").alias("loc"), F.lit(0).cast("long").alias("seq"))
+        named = lambda c: F.concat(F.lit("module:"), F.col(c)).alias(c)
+        return CodeGraph(nodes, module_edges(working).select(named("source"), named("target"), "type", "weight"))
+    if level == "file":
+        return file_graph(working)
+    if file:
+        root = working.nodes.where(F.col("id") == file).select("id")
+        return working.induced(reach(working.edges, root, 1, both=True).select("id"))
+    return working
+
+
+def display(graph: CodeGraph, scores: DataFrame, density: str = "balanced", module: str | None = None, file: str | None = None, search: str = "") -> CodeGraph:
+    """What is shown at symbol level: trimmed to the best symbols and then within files, unless a file or a search is on."""
+    base = apply_abstraction(graph, "symbol", module, file)
+    if file or search.strip() or density == "all":
+        return base
+    knobs = density_knobs(density, 0)
+    return collapsed(top_symbols(base, scores, int(knobs["top_k"])), scores, knobs["keep_ratio"], int(knobs["min_per_file"]))[0]
+
+
+def visible(graph: CodeGraph, node_types: list[str], edge_types: list[str]) -> CodeGraph:
+    """Nodes and edges of these types; an edge needs both of its ends."""
+    nodes = graph.nodes.where(F.col("type").isin(node_types))
+    return CodeGraph(nodes, induced_edges(graph.edges.where(F.col("type").isin(edge_types)), nodes.select("id")))
+
+
+def contains_edges(graph: CodeGraph) -> DataFrame:
+    """(source, target, type): from the file node of each symbol's file (the last one) to the symbol."""
+    files = graph.nodes.where("type = 'file'").groupBy("file").agg(F.max_by("id", F.struct("seq", "id")).alias("source"))
+    inside = graph.nodes.where("type <> 'file'").select("file", F.col("id").alias("target")).join(files, "file").where("source <> target")
+    return inside.select("source", "target", F.lit("contains").alias("type"))
+
+
+def highlighted(graph: CodeGraph, active: DataFrame, search: str = "") -> DataFrame:
+    """(id): what is highlighted: nodes whose name or file holds the search, else the active node and its neighbours."""
+    q = search.strip().lower()
+    if q:
+        return graph.nodes.where(F.lower("name").contains(q) | F.lower("file").contains(q)).select("id")
+    return reach(graph.edges, active, 1, both=True).select("id")
+
+
+def node_tags(metrics: DataFrame) -> DataFrame:
+    """(id, flow, cohesion, rank): tags of nodes (id, betweenness, clustering, percentile): bottlenecks, close ones, and the top share."""
+    b, c = F.col("betweenness"), F.col("clustering")
+    flow = F.when(b > 0.5, "critical").when(b > 0.25, "review").otherwise("normal")
+    cohesion = F.when(c >= 0.6, "high").when(c >= 0.3, "medium").otherwise("low")
+    top = F.floor((1 - F.col("percentile")) * 100 + 0.5).cast("int")
+    return metrics.select("id", flow.alias("flow"), cohesion.alias("cohesion"), top.alias("top_percent"))
+
+
 def zone_leaders(graph: CodeGraph, limits: dict[str, int] | None = None) -> DataFrame:
     """(zone, type, id, degree, place): the nodes of most edges in each module, so many of each type."""
     limits = limits or {"file": 3, "class": 2, "function": 1}

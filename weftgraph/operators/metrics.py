@@ -54,7 +54,10 @@ def percentile(scores: DataFrame, column: str, decimals: int = 12) -> DataFrame:
     running = Window.partitionBy("_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     below = ranged.join(before, "_range").withColumn("_below", F.col("_before") + F.coalesce(F.sum("_n").over(running), F.lit(0)))
     total = scores.agg(F.count("*").alias("_total"))
-    joined = scores.withColumn("_v", value).join(below.select("_v", "_below"), "_v").crossJoin(F.broadcast(total))
+    below = cut(below.select("_v", "_below"))
+    n_values = below.count()
+    # A score that very many nodes have is a hot key, but then there are fewer scores; these are broadcast if they are few.
+    joined = scores.withColumn("_v", value).join(F.broadcast(below) if n_values <= 100_000 else below, "_v").crossJoin(F.broadcast(total))
     return joined.withColumn("percentile", F.when(F.col("_total") > 1, F.col("_below") / (F.col("_total") - 1)).otherwise(0.0)).drop("_v", "_below", "_total")
 
 
@@ -137,16 +140,29 @@ def betweenness(graph: CodeGraph, max_sources: int = 200) -> DataFrame:
 
 
 def clustering(graph: CodeGraph) -> DataFrame:
-    """(id, clustering): linked pairs among a node's neighbours; sets, a self-loop makes a node its own neighbour."""
+    """(id, clustering): linked pairs among a node's neighbours; sets, a self-loop makes a node its own neighbour.
+
+    Triangles are counted once each, from edges that point to the end with more
+    neighbours: a node has at most about the square root of twice the edges such ones, so
+    a hub doesn't pair all its neighbours.
+    """
     g = graph.closed()
-    near = g.undirected().distinct()
-    size = near.groupBy("a").agg(F.count("*").alias("k"))
-    x, y = near.alias("x"), near.alias("y")
-    pairs = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b"))).select(F.col("x.a").alias("v"), F.col("x.b").alias("p"), F.col("y.b").alias("q"))
-    linked = pairs.join(near.select(F.col("a").alias("p"), F.col("b").alias("q")), ["p", "q"], "left_semi").groupBy("v").agg(F.count("*").alias("links"))
+    near = cut(g.undirected().distinct())
+    size = cut(near.groupBy("a").agg(F.count("*").alias("k")))
+    ranked_ends = near.where("a <> b").join(size.withColumnRenamed("k", "ka"), "a").join(size.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b")
+    up = cut(ranked_ends.where("ka < kb or (ka = kb and a < b)").select("a", "b", "kb"))
+    x, y = up.alias("x"), up.alias("y")
+    wedges = x.join(y, (F.col("x.a") == F.col("y.a")) & F.expr("x.kb < y.kb or (x.kb = y.kb and x.b < y.b)"))
+    wedges = wedges.select(F.col("x.a").alias("v"), F.col("x.b").alias("a"), F.col("y.b").alias("b"))
+    triangles = wedges.join(up.select("a", "b"), ["a", "b"], "left_semi")
+    corners = triangles.select(F.explode(F.array("v", "a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("links"))
+    # A self-loop pairs a node with each of its other neighbours, which it is linked to; a neighbour's
+    # own loop pairs nothing here, as pairs are of different neighbours.
+    loops = near.where("a = b").select(F.col("a").alias("v")).join(size, F.col("a") == F.col("v")).select("v", (F.col("k") - 1).alias("own"))
     return (
-        g.nodes.select("id").join(size, F.col("id") == F.col("a"), "left").join(linked, F.col("id") == F.col("v"), "left")
-        .select("id", F.when(F.col("k") >= 2, 2 * F.coalesce("links", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
+        g.nodes.select("id").join(size, F.col("id") == F.col("a"), "left").drop("a").join(corners, F.col("id") == F.col("v"), "left").drop("v")
+        .join(loops, F.col("id") == F.col("v"), "left")
+        .select("id", F.when(F.col("k") >= 2, 2 * (F.coalesce("links", F.lit(0)) + F.coalesce("own", F.lit(0))) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
     )
 
 
@@ -197,17 +213,37 @@ def health_score(max_betweenness: Column, diameter: Column, components: Column,
     return F.greatest(F.lit(0), F.least(F.lit(100), score))
 
 
-def graph_stats(graph: CodeGraph, cycles: int = 0, max_sources: int = 60) -> DataFrame:
-    """One row: diameter, avg_path, density, components, health. Distances from at most max_sources sources."""
+def graph_stats(graph: CodeGraph, max_sources: int = 60, import_types: tuple[str, ...] = ("imports", "include")) -> DataFrame:
+    """One row: diameter, avg_path, density, components, cycles, health.
+
+    Distances go out from at most max_sources sources. cycles counts the strongly
+    connected components with a cycle over edges of import_types.
+    """
     g = graph.closed()
     if g.nodes.isEmpty():
-        return g.nodes.sparkSession.createDataFrame([(0, 0.0, 0.0, 0, 100)], "diameter int, avg_path double, density double, components long, health int")
+        return g.nodes.sparkSession.createDataFrame([(0, 0.0, 0.0, 0, 0, 100)], "diameter int, avg_path double, density double, components long, cycles long, health int")
     d = distances(g, stride_sample(g.nodes, max_sources)).where("depth > 0")
     paths = d.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("diameter"), js_round(F.coalesce(F.avg("depth"), F.lit(0.0)), 1).alias("avg_path"))
     parts = weak_components(g).agg(F.countDistinct("component").alias("components"))
     top = betweenness(g).agg(F.max("betweenness").alias("top"))
-    joined = paths.crossJoin(density(graph)).crossJoin(parts).crossJoin(top)
-    return joined.select("diameter", "avg_path", "density", "components", health_score(F.col("top"), F.col("diameter"), F.col("components"), F.col("density"), F.lit(cycles)).alias("health"))
+    rings = cycles(g, import_types).agg(F.countDistinct("cycle").alias("cycles"))
+    joined = paths.crossJoin(density(graph)).crossJoin(parts).crossJoin(top).crossJoin(rings)  # a row each
+    health = health_score(F.col("top"), F.col("diameter"), F.col("components"), F.col("density"), F.col("cycles"))
+    return joined.select("diameter", "avg_path", "density", "components", "cycles", health.cast("int").alias("health"))
+
+
+def all_metrics(graph: CodeGraph) -> DataFrame:
+    """(id, pagerank, percentile, betweenness, clustering, fan_in, fan_out, orphan) of every node."""
+    g = CodeGraph(cut(graph.nodes), cut(graph.edges))
+    ranks = percentile(cut(pagerank(g)), "pagerank")
+    lonely = orphans(g).withColumn("orphan", F.lit(True))
+    rows = ranks.join(betweenness(g), "id").join(clustering(g), "id").join(degrees(g), "id").join(lonely, "id", "left")
+    return rows.select("id", "pagerank", "percentile", "betweenness", "clustering", "fan_in", "fan_out", F.coalesce("orphan", F.lit(False)).alias("orphan"))
+
+
+def top(scores: DataFrame, column: str, n: int) -> DataFrame:
+    """The n rows with the highest score; ties by id."""
+    return scores.orderBy(F.desc(column), "id").limit(n)
 
 
 def cycles(graph: CodeGraph, types: tuple[str, ...] = ("imports", "include")) -> DataFrame:

@@ -27,21 +27,25 @@ def score_symbols(symbols: DataFrame, hints: list[tuple[str, bool]]) -> DataFram
     name (8) or of the qualified one (4); weak matches gain by shared tokens. Functions,
     methods and classes are slightly ahead. hints are few, so they travel as a literal.
     """
-    rows = symbols.sparkSession.createDataFrame(hints, "hint string, strong boolean")
-    rows = rows.withColumn("parts", name_tokens(F.col("hint"))).withColumn("hint", F.lower("hint")).withColumn("tail", F.regexp_extract("hint", r"([^.]*)$", 1))
-    named = symbols.select("id", "kind", F.lower("name").alias("n"), F.lower("qualified_name").alias("qn"), name_tokens(F.col("name")).alias("tokens"))
-    n, qn, hint, tail = F.col("n"), F.col("qn"), F.col("hint"), F.col("tail")
-    ends = lambda t: qn.endswith(F.concat(F.lit("."), t)) | qn.endswith(F.concat(F.lit("::"), t))
-    ladder = (
-        F.when((qn == hint) | ends(hint), 30).when(n == hint, 26).when(n == tail, 22).when(ends(tail), 18)
-        .when(n.contains(hint) | hint.contains(n), 8).when(qn.contains(hint), 4).otherwise(0)
-    )
-    shared = F.size(F.filter("parts", lambda t: F.array_contains("tokens", t)))
-    bonus = F.when((ladder <= 8) & (shared > 0), 6 * shared + F.floor(4 * shared / F.size("parts") + 0.5)).otherwise(0)
-    weight = F.when(F.col("strong"), 1.0).otherwise(0.35)
+    literal = F.array(*(F.struct(F.lit(h).alias("raw"), F.lit(strong).alias("strong")) for h, strong in hints))
+    prepared = F.transform(literal, lambda h: F.struct(h["strong"].alias("strong"), name_tokens(h["raw"]).alias("parts"), F.lower(h["raw"]).alias("hint"), F.regexp_extract(F.lower(h["raw"]), r"([^.]*)$", 1).alias("tail")))
+    named = symbols.select("id", "kind", F.lower("name").alias("n"), F.lower("qualified_name").alias("qn"), name_tokens(F.col("name")).alias("tokens"), prepared.alias("hints"))
+    n, qn = F.col("n"), F.col("qn")
+
+    def scored(h: Column) -> Column:
+        hint, tail = h["hint"], h["tail"]
+        ends = lambda t: qn.endswith(F.concat(F.lit("."), t)) | qn.endswith(F.concat(F.lit("::"), t))
+        ladder = (
+            F.when((qn == hint) | ends(hint), 30).when(n == hint, 26).when(n == tail, 22).when(ends(tail), 18)
+            .when(n.contains(hint) | hint.contains(n), 8).when(qn.contains(hint), 4).otherwise(0)
+        )
+        shared = F.size(F.filter(h["parts"], lambda t: F.array_contains("tokens", t)))
+        bonus = F.when((ladder <= 8) & (shared > 0), 6 * shared + F.floor(4 * shared / F.size(h["parts"]) + 0.5)).otherwise(0)
+        return (ladder + bonus) * F.when(h["strong"], 1.0).otherwise(0.35)
+
     ahead = F.when(F.col("kind").isin("function", "method"), 0.5).when(F.col("kind") == "class", 0.25).otherwise(0.0)
-    scored = named.crossJoin(F.broadcast(rows)).groupBy("id", "kind").agg(F.sum((ladder + bonus) * weight).alias("score"))
-    return scored.select("id", F.round(F.col("score") + ahead, 6).alias("score"))
+    total = F.aggregate("hints", F.lit(0.0), lambda done, h: done + scored(h))
+    return named.select("id", F.round(total + ahead, 6).alias("score"))
 
 
 def best_match(scored: DataFrame, floor: int = 4, sure: int = 12, gap: int = 1) -> DataFrame:
@@ -51,6 +55,104 @@ def best_match(scored: DataFrame, floor: int = 4, sure: int = 12, gap: int = 1)
     return ahead.where((F.col("score") >= floor) & ((F.col("score") >= sure) | (F.col("score") - F.coalesce("next", F.lit(0)) >= gap))).select("id", "score")
 
 
+# Words of a prompt that name no symbol, and what in a prompt surely names one.
+PROMPT_STOP = """rename renamed change changed delete deleted remove removed modify modified update updated refactor
+refactored add added fix fixed the this that from into make function method class module file and for with all any new old
+use using behavior logic code""".split()
+PROMPT_PATTERNS = [
+    r"\b(\w+\.\w+(?:\.\w+)*)\s*\(",
+    r"`([^`\n]+)`",
+    r"(?i)(?:rename|change|delete|modify|update|refactor|remove|fix|add)\s+([A-Za-z_][\w.]*)",
+    r"(?i)([A-Za-z_][\w.]*)\s+(?:function|method|class)",
+    r"\b([A-Za-z_][\w.]*)\s*\(\s*\)?",
+]
+
+
+def prompt_hints(prompts: DataFrame) -> DataFrame:
+    """(id, hint, strong): words of prompts (id, text) that may name a symbol, as first written, each once whatever its case.
+
+    What a pattern points out is strong; so is a plain word of compound form, or any if
+    the prompt has at most three that are no stop-words. Texts without words give no rows.
+    """
+    text = F.col("text")
+    words = F.filter(F.split(text, r"\W+"), lambda w: (F.length(w) >= 3) & w.rlike("^[A-Za-z_]") & ~F.lower(w).isin(PROMPT_STOP))
+    few = F.size(words) <= 3
+    named = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda w: F.struct(w.alias("hint"), F.lit(True).alias("strong"))) for p in PROMPT_PATTERNS]
+    plain = F.transform(words, lambda w: F.struct(w.alias("hint"), (few | w.rlike("_|[a-z][A-Z]")).alias("strong")))
+    every = prompts.where("text is not null").select("id", F.posexplode(F.concat(*named, plain)).alias("at", "h")).select("id", "at", F.trim("h.hint").alias("hint"), "h.strong")
+    kept = every.where((F.length("hint") >= 2) & ~F.lower("hint").isin(PROMPT_STOP))
+    return kept.groupBy("id", F.lower("hint").alias("_key")).agg(F.min_by("hint", "at").alias("hint"), F.bool_or("strong").alias("strong")).drop("_key")
+
+
+# Endings that make a word of a query a file name.
+QUERY_FILE = r"(?i)\.(py|c|h|cpp|cc|cxx|hpp|hh|hxx)$"
+
+
+def query_candidates(queries: DataFrame) -> DataFrame:
+    """(query, stage, at, candidate): what a query (id, text) may mean: file names (0), then itself and its words (1)."""
+    text = F.trim("text")
+    base = F.array_distinct(F.filter(F.transform(F.concat(F.array(text), F.regexp_extract_all(text, F.lit(r"[A-Za-z_][\w./-]*"), F.lit(0))), lambda w: F.trim(w)), lambda w: F.length(w) > 1))
+    files = F.array_distinct(F.filter(F.transform(base, lambda w: F.regexp_replace(w, r"^.*[\\/]", "")), lambda w: w.rlike(QUERY_FILE)))
+    names = F.array_distinct(F.filter(F.concat(base, F.transform(files, lambda w: F.regexp_replace(w, QUERY_FILE, ""))), lambda w: F.length(w) > 1))
+    rows = queries.where("text is not null").select(F.col("id").alias("query"), files.alias("files"), names.alias("names"))
+    by_file = rows.select("query", F.lit(0).alias("stage"), F.posexplode("files").alias("at", "candidate"))
+    return by_file.unionByName(rows.select("query", F.lit(1).alias("stage"), F.posexplode("names").alias("at", "candidate")))
+
+
+def pieces(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a lower-cased text."""
+    low = F.lower(text)
+    return F.array_distinct(F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
+
+
+def resolve_targets(queries: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(query, id): the symbol each query (id, text) means, of symbols (id, name, qualified_name, kind, file, fan_in).
+
+    First a module whose file has a name of the query, then a symbol of exactly that name, then one whose
+    name or file holds it, whatever the case; within a stage by the query's words, then by most callers, then
+    by id. The last is an equi-join on the candidate's first three characters (two if it has no more).
+    """
+    asked = query_candidates(queries)
+    names = asked.where("stage = 1").drop("stage")
+    files = asked.where("stage = 0").drop("stage")
+    last = F.element_at(F.split(F.lower("file"), "/"), -1)
+    modules = symbols.where("kind = 'module' and file like '%/%'").select("id", "fan_in", last.alias("low"))
+    by_file = files.withColumn("low", F.lower("candidate")).join(modules, "low").select("query", F.lit(0).alias("stage"), "at", "fan_in", "id")
+    keyed = symbols.select("id", "fan_in", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("candidate"))
+    exact = names.join(keyed, "candidate").select("query", F.lit(1).alias("stage"), "at", "fan_in", "id")
+    gram = F.substring(F.lower("candidate"), 1, 3)
+    texts = symbols.select("id", "fan_in", F.lower(F.concat_ws("\n", "name", "qualified_name", "file")).alias("all"))
+    grams = texts.select("id", "fan_in", "all", F.explode(F.array_union(pieces(F.col("all"), 3), pieces(F.col("all"), 2))).alias("gram"))
+    fuzzy = names.withColumn("gram", gram).join(grams, "gram").where(F.col("all").contains(F.lower("candidate"))).select("query", F.lit(2).alias("stage"), "at", "fan_in", "id")
+    every = by_file.unionByName(exact).unionByName(fuzzy)
+    return every.groupBy("query").agg(F.min_by("id", F.struct("stage", "at", -F.col("fan_in"), "id")).alias("id"))
+
+
+# Names too common to stand for a symbol unless they are reached as a member.
+COMMON_NAMES = """update render init setup run start stop close open load save create delete remove add find check handle
+process build format parse validate read write apply reset clear next prev done value name type key data item items list
+result results entry""".split()
+
+
+def snippet_symbols(hits: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(snippet, id): the symbols (id, name, file) that a snippet's identifiers (snippet, name, has_member) stand for.
+
+    A name with one symbol is taken and anchors its file; an ambiguous one takes its
+    symbols in anchored files, or without any all of at most three if it is reached as a
+    member and the snippet has fewer than four identifiers. Common names need a member access.
+    """
+    named = symbols.groupBy("name").agg(F.count("*").alias("n"), F.first("id").alias("only"), F.first("file").alias("only_file"))
+    sized = hits.join(hits.groupBy("snippet").agg(F.countDistinct("name").alias("size")), "snippet")
+    met = sized.where(~F.col("name").isin(COMMON_NAMES) | F.col("has_member")).join(named, "name")
+    unique = met.where("n = 1")
+    anchors = unique.select("snippet", F.col("only_file").alias("file")).distinct().withColumn("anchored", F.lit(True))
+    unsure = met.where("n > 1").select("snippet", "name", "has_member", "size", "n").join(symbols.select("id", "name", "file"), "name")
+    placed = unsure.join(anchors, ["snippet", "file"], "left").withColumn("anchored", F.coalesce("anchored", F.lit(False)))
+    any_here = placed.groupBy("snippet", "name").agg(F.bool_or("anchored").alias("any_here"))
+    taken = placed.join(any_here, ["snippet", "name"]).where("anchored or (not any_here and n <= 3 and size < 4 and has_member)")
+    return unique.select("snippet", F.col("only").alias("id")).unionByName(taken.select("snippet", "id")).distinct()
+
+
 def search(nodes: DataFrame, text: str, limit: int | None = None) -> DataFrame:
     """Nodes whose name or file holds a text, whatever the case; with a limit the first by seq."""
     q = text.lower()
@@ -64,11 +166,47 @@ def import_candidates(path: Column) -> Column:
     return F.array(*(F.concat(path, F.lit(e)) for e in ends), *(F.concat(path, F.lit(f"/index{e}")) for e in ends[1:]))
 
 
-def resolve_paths(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(source, target): imports (source, path) to the first candidate that is a file (path)."""
-    asked = imports.select("source", "path", F.posexplode(import_candidates(F.col("path"))).alias("rank", "candidate"))
+def script_bases(source: Column, spec: Column) -> Column:
+    """Paths a script's import may start from: its own folder for a relative one, src and then the root behind @/ or ~/."""
+    folder = F.slice(F.split(source, "/"), 1, F.size(F.split(source, "/")) - 1)
+    step = lambda done, s: (
+        F.when(s.isin("", "."), done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+    )
+    walked = F.aggregate(F.concat(folder, F.split(spec, "/")), F.array().cast("array<string>"), step, lambda done: F.array_join(done, "/"))
+    rest = F.substring(spec, F.lit(3), F.length(spec))
+    aliased = F.array(F.concat(F.lit("src/"), rest), rest)
+    return F.when(spec.startswith("@/") | spec.startswith("~/"), aliased).when(spec.startswith("."), F.array(walked)).otherwise(F.array().cast("array<string>"))
+
+
+def resolve_scripts(imports: DataFrame, files: DataFrame, keep_path: bool = False) -> DataFrame:
+    """(source, target): a script's imports (source, path) to the first file that its base paths and their candidates name.
+
+    With keep_path the import's path stays too. Packages (neither relative nor aliased) resolve to nothing.
+    """
+    bases = script_bases(F.col("source"), F.col("path"))
+    asked = imports.select("source", "path", F.posexplode(F.flatten(F.transform(bases, import_candidates))).alias("rank", "candidate"))
     found = asked.join(files.select(F.col("path").alias("candidate")), "candidate", "left_semi")
-    return found.groupBy("source", "path").agg(F.min_by("candidate", "rank").alias("target")).select("source", "target").distinct()
+    best = found.groupBy("source", "path").agg(F.min_by("candidate", "rank").alias("target"))
+    return best if keep_path else best.select("source", "target").where("source <> target").distinct()
+
+
+def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(source, target): Python imports (source, path) to the file of that dotted path below the root."""
+    asked = imports.select("source", F.concat(F.replace("path", F.lit("."), F.lit("/")), F.lit(".py")).alias("target"))
+    return asked.join(files.select(F.col("path").alias("target")), "target", "left_semi").select("source", "target").distinct()
+
+
+def resolve_crates(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(source, target): Rust uses (source, path) to the file (name, target) of the last part that has one."""
+    asked = imports.select("source", "path", F.posexplode(F.split("path", "::")).alias("at", "name")).where("name <> ''")
+    return asked.join(files, "name").groupBy("source", "path").agg(F.max_by("target", "at").alias("target")).where("source <> target").select("source", "target").distinct()
+
+
+def package_folders(files: DataFrame) -> DataFrame:
+    """(folder, target): the first Go file of each folder, by its whole path and by its last part."""
+    go = files.where(F.lower("path").endswith(".go")).select("path", "seq", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("whole")).where("whole <> ''")
+    names = F.array_distinct(F.array("whole", F.element_at(F.split("whole", "/"), -1)))
+    return go.select("path", "seq", F.explode(names).alias("folder")).groupBy("folder").agg(F.min_by("path", F.struct("seq", "path")).alias("target"))
 
 
 def repository(url: Column) -> tuple[Column, Column]:
@@ -91,12 +229,17 @@ def commit_churn(commits: DataFrame, as_of: Column, days: int = 90) -> DataFrame
 def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:
     """(source, target): C includes (source, path) to the first file (path, seq) that ends in the path, or has its name.
 
-    A file that ends in the path has its name too, so one join on names finds both.
+    A path may end in the include within a folder's or file's name (my_x.h for x.h), so
+    files are listed under every ending of their own name, with the folders before it:
+    one equi-join on the include's last part, then the check of the whole.
     """
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    asked = includes.select("source", F.col("path").alias("wanted"), name(F.col("path")).alias("base"))
-    have = files.select(F.col("path").alias("target"), "seq", name(F.col("path")).alias("base"))
-    return asked.join(have, "base").groupBy("source", "wanted").agg(F.min_by("target", "seq").alias("target")).where("source <> target").select("source", "target").distinct()
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    asked = includes.select("source", F.regexp_replace("path", r"^\./", "").alias("wanted")).withColumn("base", last(F.col("wanted"))).distinct()
+    name = last(F.col("path"))
+    endings = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.substring(name, i, F.length(name)))
+    have = files.select(F.col("path").alias("target"), "seq", name.alias("own"), F.explode(endings).alias("base"))
+    met = asked.join(have, "base").where((F.col("own") == F.col("base")) | F.col("target").endswith(F.col("wanted")))
+    return met.groupBy("source", "wanted").agg(F.min_by("target", "seq").alias("target")).where("source <> target").select("source", "target").distinct()
 
 
 def resolve_packages(imports: DataFrame, folders: DataFrame) -> DataFrame:

@@ -9,26 +9,37 @@ from ..graph import CodeGraph
 from ..plans.lineage import cut
 
 
+BROADCAST_IDS = 100_000  # rows of ids up to which a frontier, or what was seen, is broadcast
+
+
+def few(ids: DataFrame, n: int) -> DataFrame:
+    """A table of n ids, broadcast if that is few."""
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None, *, reverse: bool = True, both: bool = False) -> DataFrame:
     """(id, depth): least number of steps from any seed (one column, id; depth 0), at most max_depth.
 
     reverse walks edges from target to source (callers, importers), both ignores the
-    direction. A level joins the frontier to the edges and drops what was seen; the
-    edges are shuffled by their end once a level, and nothing is collected.
+    direction. A level joins the frontier to the edges and drops what was seen. Both
+    are counted, and broadcast while they are small, so that the edges stay where they
+    are; beyond that a level shuffles the edges by their end. Nothing is collected.
     """
     out, back = ("target", "source") if reverse else ("source", "target")
     steps = edges.select(F.col(out).alias("id"), F.col(back).alias("to"))
     if both:
         steps = steps.unionByName(edges.select(F.col(back).alias("id"), F.col(out).alias("to")))
     frontier = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    if max_depth is None or max_depth > 1:
+        steps = cut(steps)
     seen, depth = frontier, 0
-    while max_depth is None or depth < max_depth:
+    n_new = n_seen = frontier.count()
+    while n_new and (max_depth is None or depth < max_depth):
         depth += 1
-        found = frontier.select("id").join(steps, "id").select(F.col("to").alias("id")).distinct()
-        frontier = cut(found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+        found = steps.join(few(frontier.select("id"), n_new), "id").select(F.col("to").alias("id")).distinct()
+        frontier = cut(found.join(few(seen.select("id"), n_seen), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        n_new = frontier.count()
+        seen, n_seen = seen.unionByName(frontier), n_seen + n_new
     return seen
 
 

@@ -94,8 +94,8 @@ def g6_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g8_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = metrics.graph_stats(derived.user_graph(spark, sf_dir))
-    return stats.select("diameter", "avg_path", F.round("density", 8).alias("density"), "components", "health")
+    stats = metrics.graph_stats(derived.user_graph(spark, sf_dir), import_types=("calls",))
+    return stats.select("diameter", "avg_path", F.round("density", 8).alias("density"), "components", "cycles", "health")
 
 
 def g4_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +119,21 @@ def p3_continuous_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_criticality(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, symbols, target = _case(spark, sf_dir)
-    return impact.criticality(impact.affected(symbols, g.edges, target), target, "delete").select("total", "shallow", "points", "level")
+    found = cut(impact.affected(symbols, g.edges, target))
+    kinds = ("behavior", "delete", "rename", "signature")
+    rows = [impact.criticality(found, target, kind).select(F.lit(kind).alias("kind"), "*") for kind in kinds]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return every.withColumn("reasons", F.array_join("reasons", "; "))
 
 
 def g24_impact_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, symbols, target = _case(spark, sf_dir)
-    return impact.capped(impact.affected(symbols, g.edges, target, 4), 200).select("id", "depth")
+    g, _, target = _case(spark, sf_dir)
+    return impact.hard_capped(_numbered(g).edges, target)
+
+
+def g23_impact_soft_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, _, target = _case(spark, sf_dir)
+    return impact.soft_capped(_numbered(g).edges, target)
 
 
 def a5_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +220,99 @@ def g16_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testplan.proposals(_numbered(g), target.select("id"))
 
 
+def g13_aggregate_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan for a change of all promotional parts' files' first functions and of the two most-called functions."""
+    g, symbols, _ = _case(spark, sf_dir)
+    best = symbols.where("kind = 'function'").orderBy(F.desc("fan_in"), "id").limit(2).select("id")
+    first = g.nodes.where("type = 'function' and file like 'tests/%'").groupBy("file").agg(F.min_by("id", "seq").alias("id")).select("id")
+    return testplan.aggregate_plan(g, best.unionByName(first)).select("id", "distance", "priority", F.round("seconds", 6).alias("seconds"))
+
+
+def a14_plan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, _, target = _case(spark, sf_dir)
+    return testplan.plan_groups(testplan.test_plan(g, target)).select("priority", "tests", F.round("seconds", 3).alias("seconds"))
+
+
+def s13_plan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, _, target = _case(spark, sf_dir)
+    return testplan.plan_json(testplan.test_plan(g, target))
+
+
+def s13_plan_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, _, target = _case(spark, sf_dir)
+    return testplan.shell_export(testplan.test_plan(g, target), g.nodes).select("command")
+
+
+def g14_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testplan.files_changed(derived.part_graph(spark, sf_dir), F.lit("tests/test_brand_1.py, src/eco/brand_2.py\nsrc/eco/none.py,,"))
+
+
+def g25_reaching_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = layers.file_graph(_graph(spark, sf_dir))
+    root = g.nodes.orderBy("seq", "id").limit(1).select("id")
+    return traverse.highlighted_edges(g, root)
+
+
+def j14_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.contains_edges(derived.part_graph(spark, sf_dir))
+
+
+def f8_visible_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.visible(derived.part_graph(spark, sf_dir), ["function"], ["calls", "imports"]).edges.select("source", "target", "type")
+
+
+def f14_highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, _, target = _case(spark, sf_dir)
+    return layers.highlighted(g, target.select("id")).withColumn("by", F.lit("active")).unionByName(layers.highlighted(g, target, " Promo").withColumn("by", F.lit("search")))
+
+
+def g20_abstraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the three levels within the tests' module."""
+    g = _graph(spark, sf_dir)
+    levels = [layers.apply_abstraction(g, level, "tests").edges.select(F.lit(level).alias("level"), "source", "target", "type") for level in ("module", "file", "symbol")]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
+def _fan_in(g: CodeGraph) -> DataFrame:
+    return cut(metrics.degrees(g).select("id", F.col("fan_in").alias("score")))
+
+
+def g21_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is hidden in each file if only imports are shown: no function's edges then leave its file."""
+    g = _graph(spark, sf_dir)
+    hidden = layers.collapsed(CodeGraph(g.nodes, g.edges.where("type = 'imports'")), _fan_in(g), 0.25, 1)[1]
+    return hidden.select("file", F.size("hidden").cast("long").alias("n"), F.array_join("hidden", ",").alias("hidden"))
+
+
+def g22_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
+    return layers.display(g, _fan_in(g), "essential").nodes.select("id")
+
+
+def p9_health_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = metrics.graph_stats(derived.user_graph(spark, sf_dir), import_types=("calls",))
+    bands = paths.health_bands(*(F.col(c) for c in ("diameter", "avg_path", "density", "components", "health")))
+    return stats.select(*bands)
+
+
+def g9_all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric of the users, with the tags they give (P10)."""
+    rows = cut(metrics.all_metrics(derived.user_graph(spark, sf_dir)))
+    tags = layers.node_tags(rows)
+    digits = [F.round(c, 6).alias(c) for c in ("pagerank", "percentile", "betweenness", "clustering")]
+    return rows.select("id", *digits, "fan_in", "fan_out", "orphan").join(tags, "id")
+
+
+def p7_change_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = derived.read(spark, sf_dir, "conversations")
+    return talk.select("conv_id", "turn", paths.change_kind(F.col("text")).alias("kind"))
+
+
+def a16_churn_banner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = _symbols(spark, sf_dir, _graph(spark, sf_dir))
+    return symbols.agg(F.bool_and(F.col("churn") == 0).alias("all_quiet"), (F.count_if(F.col("kind") == "module") < 3).alias("few_files"))
+
+
 def j2_resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers call whatever part shares their order's first letters: names here are part names without keys."""
     named = derived.read(spark, sf_dir, "part").select("p_name", F.col("p_partkey").alias("seq"), F.col("p_partkey").cast("string").alias("id"))
@@ -248,8 +350,8 @@ def a2_skipped_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r5_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Member accesses and components in raw pages, as in code."""
-    pages = derived.read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_replace("html", "[#'`\"/]", " ").alias("code"))
-    return ingest.identifiers(pages, ["com", "org", "net"])
+    pages = derived.read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("code"))
+    return ingest.identifiers(pages)
 
 
 def r8_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +387,9 @@ QUERIES = {
         p3_continuous_risk, p4_criticality, g24_impact_capped, a5_hotspots, a6_risky_files, a3_modules, a4_module_edges,
         g19_file_graph, g17_focus, g18_focus_module, t2_top_symbols, w3_low_signal, w4_zone_leaders, t7_zones,
         g10_covering_tests, g12_test_plan, a10_plan_summary, g11_coverage, a9_coverage_summary, g15_dead_code,
-        a15_inbound, g16_proposals, j2_resolve_calls, r1_name_tokens, r3_score_symbols, f1_skipped,
+        a15_inbound, g16_proposals, g23_impact_soft_cap, g13_aggregate_plan, a14_plan_groups, s13_plan_json, s13_plan_shell,
+        g14_changed_files, g25_reaching_edges, j14_contains, f8_visible_types, f14_highlighted, g20_abstraction, g21_collapsed,
+        g22_display, p9_health_bands, g9_all_metrics, p7_change_kind, a16_churn_banner, j2_resolve_calls, r1_name_tokens, r3_score_symbols, f1_skipped,
         a2_skipped_endings, r5_identifiers, r8_repository, f9_search,
         f10_visible, a13_churn,
     )

@@ -25,15 +25,20 @@ def part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def part_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """Functions call the next returned part of an order; files import each other along some of the calls."""
-    symbols = part_symbols(spark, sf_dir)
+def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s, t): returned parts that follow each other in an order, other ones only, each pair once."""
     in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    calls = (
+    return (
         read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
         .select(F.col("l_partkey").alias("s"), F.lead("l_partkey").over(in_order).alias("t"))
         .where("t is not null and s <> t").distinct()
     )
+
+
+def part_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """Functions call the next returned part of an order; a file imports those that its functions call into."""
+    symbols = part_symbols(spark, sf_dir)
+    calls = part_calls(spark, sf_dir)
     functions = symbols.select(
         "id", F.lit("function").alias("type"), "file", "name", F.lit(None).cast("int").alias("loc"), (F.col("pk") + 1_000_000).alias("seq")
     )
@@ -42,7 +47,7 @@ def part_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     )
     by_key = lambda side: symbols.select(F.col("pk").alias(side), F.col("file").alias(f"{side}_file"))
     imports = (
-        calls.where((F.col("s") + F.col("t")) % 16 == 0).join(by_key("s"), "s").join(by_key("t"), "t")
+        calls.join(by_key("s"), "s").join(by_key("t"), "t")
         .where("s_file <> t_file").select(F.col("s_file").alias("source"), F.col("t_file").alias("target"), F.lit("imports").alias("type")).distinct()
     )
     named = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))

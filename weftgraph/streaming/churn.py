@@ -1,12 +1,24 @@
-"""Commit churn over a stream."""
+"""Commit churn over a stream, and tables that follow a stream of changed files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..sources.store import replace_repositories
 
 
 def daily_churn(commits: DataFrame, watermark: str = "7 days") -> DataFrame:
     """(day, file, commits): a stream of (ts, file) counted by day; commits later than the watermark are left out."""
     counted = commits.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day"), "file").agg(F.count("*").alias("commits"))
     return counted.select(F.to_date("window.start").alias("day"), "file", "commits")
+
+
+def keep_files_current(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes a stream of changed files (repo_id, path, content) over their repositories' partitions, batch by batch."""
+
+    def replace(batch: DataFrame, _: int) -> None:
+        replace_repositories(batch.dropDuplicates(["repo_id", "path"]), path)
+
+    return changes.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
