@@ -103,7 +103,7 @@ def own_counts(row: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return own
 
 
-def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_bytes: int = 64 << 20) -> DataFrame:
+def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_bytes: int = 48 << 20) -> DataFrame:
     """Stupid-backoff score of every row's whole text under the counts of all rows.
 
     Returns doc_id, n_words, n_found (words whose longest n-gram was found), log_score
@@ -141,8 +141,11 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_byte
         own_words = np.bincount(row, minlength=len(begins) - 1)
         counts = np.zeros((order, len(row)), dtype=np.float64)
         for n, (at, h) in enumerate(grams):
-            place = np.searchsorted(gram, h)
-            counts[n, at] = np.where(gram[place] == h, total[place], 1)  # an n-gram without a row occurs once in all
+            if len(gram):
+                place = np.minimum(np.searchsorted(gram, h), len(gram) - 1)
+                counts[n, at] = np.where(gram[place] == h, total[place], 1)  # an n-gram without a row occurs once in all
+            else:
+                counts[n, at] = 1
             if leave_out and len(at):
                 counts[n, at] -= own_counts(row[at], h)
         others = np.maximum(1.0, all_words - (own_words[row] if leave_out else 0))
@@ -165,9 +168,10 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_byte
     def look_up(key: tuple, rows: pa.Table, counted: pa.Table) -> pa.Table:
         # A place among the block's rows tells rows of one id apart; sorted, so that a retry gives the same.
         rows = rows.take(pc.sort_indices(rows, sort_keys=[("key", "ascending"), ("doc_id", "ascending")]))
-        gram, total = counted.column("gram").to_numpy().view(np.uint64), counted.column("total").to_numpy()
+        gram = counted.column("gram").to_numpy().view(np.uint64)
         by_gram = np.argsort(gram)
-        gram, total = np.append(gram[by_gram], np.uint64(2**64 - 1)), np.append(total[by_gram], 1)
+        gram, total = gram[by_gram], counted.column("total").to_numpy()[by_gram]
+        del by_gram
         parts = [terms_of(*part, gram, total) for part in unpacked(rows)]
         at, level, found, words, term = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.table(
