@@ -71,17 +71,31 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def survival(threshold: float, depth: int) -> float:
-    """Probability that a pair at the threshold shares a bucket of this depth in one run."""
+def survival(threshold: float, depth: int, alike: float | None = None) -> float:
+    """Probability that a pair that agrees in a share of its coordinates (the threshold) shares a bucket of this depth in one run."""
     most = 1 / threshold
     low, share = math.floor(most), most - math.floor(most)
     p = 1.0
     for _ in range(depth):
-        miss = 1 - threshold * p
+        miss = 1 - (threshold if alike is None else alike) * p
         p = 1 - ((1 - share) * miss**low + share * miss ** (low + 1))
     return p
 
 
+def runs_needed(threshold: float, depth: int, recall: float) -> int:
+    """How many runs find a pair at the threshold with this probability.
+
+    All runs draw from the same coordinates, of which a pair at the threshold has equal a
+    binomial number: the chance to miss it in every run is averaged over that number.
+    """
+    missed = [1 - survival(threshold, depth, k / COORDINATES) for k in range(COORDINATES + 1)]
+    weight = [math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
+    runs = 1
+    while sum(w * m**runs for w, m in zip(weight, missed, strict=True)) > 1 - recall:
+        runs += 1
+    return runs
+
+
 def children(paths: np.ndarray, sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Child buckets of rows in buckets: (row, path). The choice of coordinates depends on the bucket alone."""
     most = 1 / threshold
@@ -257,7 +271,7 @@ def link(
             F.first("sketch").alias("sketch"), F.first("short").alias("short"),
         )
     )
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth))))
+    runs = runs_needed(threshold, depth, recall)
     roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
