@@ -59,14 +59,12 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iter
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of this application; only a session without one gets one of its own."""
+    """The checkpoint folder of this application, which all executors share: spark.checkpoint.dir, or what it has set."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
