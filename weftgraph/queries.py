@@ -299,7 +299,7 @@ def g9_all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every metric of the users, with the tags they give (P10)."""
     rows = cut(metrics.all_metrics(derived.user_graph(spark, sf_dir)))
     tags = layers.node_tags(rows)
-    digits = [F.round(c, 6).alias(c) for c in ("pagerank", "percentile", "betweenness", "clustering")]
+    digits = [F.round(F.round(c, 8), 6).alias(c) for c in ("pagerank", "percentile", "betweenness", "clustering")]
     return rows.select("id", *digits, "fan_in", "fan_out", "orphan").join(tags, "id")
 
 
