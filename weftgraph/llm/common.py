@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -58,6 +59,14 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iter
         start = end
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this application, which all executors share: spark.checkpoint.dir, or what it has set."""
     sc = spark.sparkContext

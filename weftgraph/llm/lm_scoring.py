@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import joined, mix, word_hashes, word_starts
-from .common import slices
+from .common import release, slices
 
 SLICE_BYTES = 1 << 20
 
@@ -103,7 +103,7 @@ def own_counts(row: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return own
 
 
-def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_bytes: int = 48 << 20) -> DataFrame:
+def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_bytes: int = 40 << 20) -> DataFrame:
     """Stupid-backoff score of every row's whole text under the counts of all rows.
 
     Returns doc_id, n_words, n_found (words whose longest n-gram was found), log_score
@@ -133,6 +133,8 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_byte
                 waiting = []
         if waiting:
             gram, n = added(gram, n, waiting)
+        waiting = []
+        release()
         return pa.table({"block": np.full(len(gram), key[0].as_py(), np.int32), "gram": gram.view(np.int64), "n": n})
 
     def terms_of(first: int, data: np.ndarray, begins: np.ndarray, gram: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -174,6 +176,8 @@ def score(docs: DataFrame, *, order: int = 2, leave_out: bool = True, block_byte
         del by_gram
         parts = [terms_of(*part, gram, total) for part in unpacked(rows)]
         at, level, found, words, term = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del gram, total, parts
+        release()
         return pa.table(
             {
                 "block": np.full(len(at), key[0].as_py(), np.int32),
