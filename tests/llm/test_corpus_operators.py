@@ -207,6 +207,13 @@ def test_dominance_never_costs_a_sequence():
         assert fixed + (fewest(rest, 12) if rest else 0) == fewest(items, 12)
 
 
+@pytest.mark.parametrize("lengths", [{1365: 300_000}, {1365: 300_001, 900: 7}, {1500: 100_000, 1296: 100_000, 1300: 100_000, 1000: 50_000}])
+def test_number_of_patterns_does_not_grow_with_the_documents(lengths):
+    many, few = packing.plan(lengths, 4096), packing.plan({x: -(-n // 1000) for x, n in lengths.items()}, 4096)
+    assert len(many) <= len(few) + 8 and len(many) <= 40
+    assert sum(p.sequences * k for p in many for x, k in p.filling) == sum(lengths.values())
+
+
 def test_packed_awkward_rows(spark):
     import tokenizers
 

@@ -113,8 +113,9 @@ def reduce_by_dominance(counts: list[int], capacity: int) -> list[Pattern]:
             elif len(few) < 2 or few[0] + few[1] > room or one == room:
                 fix(counts[length] // 2 if one == length else min(counts[length], counts[one]), length, one)
             elif two and (len(few) < 3 or few[0] + few[1] + few[2] > room) and (len(pair_above) < 2 or sum(pair_above) > room):
+                # Each such triple leaves the conditions true: what is least can only rise, and the longest are still there.
                 wanted = Counter((length, one, two))
-                fix(min(counts[x] // n for x, n in wanted.items()) if max(wanted.values()) == 1 else 1, length, one, two)
+                fix(min(counts[x] // n for x, n in wanted.items()), length, one, two)
             else:
                 break
     return fixed
