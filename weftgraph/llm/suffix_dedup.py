@@ -100,7 +100,7 @@ def signed(x: np.ndarray) -> pa.Array:
 def split_hot(rows: DataFrame, counted: DataFrame, key: list[str], how: str = "left_semi") -> DataFrame:
     """The rows whose key is in counted (key, n): a semi-join in which keys with very many rows are dealt to shares.
 
-    As a left join it returns all rows, and n (2) only for these. Keys above HOT_ROWS and
+    As a left join it returns all rows, marked by n (2, else null). Keys above HOT_ROWS and
     above the HOT_KEYS-th part of all rows are at most HOT_KEYS, so their list is broadcast.
     """
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -134,13 +134,15 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     found = keyed.mapInArrow(find, "_h1 long, _h2 int, first int, last int, at int, run long, block long, left int, right int")
     intervals = stored(found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"))
     shared = stored(split_hot(found, intervals, ["run"]))
-    # The different blocks of an interval; of equal ones, one stands for all.
-    one = F.min(F.struct("_h1", "_h2", "first", "last", "at", "left", "right")).alias("one")
-    members = stored(shared.groupBy("run", "block").agg(F.count("*").alias("n"), one))
-    several = members.where("n > 1").select("run", "block", "n")
-    marked = split_hot(shared.select("_h1", "_h2", "first", "last", "run", "block"), several, ["run", "block"], "left")
+    # Equal blocks are marked. The marked anchors are repeated whole; the others, with one for all equal ones, go on.
+    place = ["_h1", "_h2", "first", "last", "at", "left", "right"]
+    several = stored(shared.groupBy("run", "block").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("one")).where("n > 1"))
+    marked = stored(split_hot(shared, several.select("run", "block", "n"), ["run", "block"], "left"))
     span = F.struct("first", "last")
-    wholes = marked.select("_h1", "_h2", F.when(F.col("n").isNotNull(), span).alias("span"))
+    wholes = marked.where("n is not null").select("_h1", "_h2", span.alias("span"))
+    members = marked.where("n is null").select("run", F.lit(False).alias("several"), *place).unionByName(
+        several.select("run", F.lit(True).alias("several"), "one.*")
+    )
 
     # The halves of blocks that differ: windows that begin at least `context` before the anchor, and the others.
     mixed = members.groupBy("run").agg(F.count("*").alias("blocks")).where("blocks > 1").select("run")
@@ -150,7 +152,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
         F.when(F.col("last") > near, F.struct(F.lit(1).alias("side"), F.col("right").alias("context"), F.greatest("first", near + 1).alias("from"), F.col("last").alias("to"))),
     )
     cut_up = (
-        members.join(mixed, "run", "left_semi").select("run", (F.col("n") > 1).alias("several"), "one.*")
+        members.join(mixed, "run", "left_semi")
         .select("run", "several", "_h1", "_h2", F.explode(F.array_compact(halves)).alias("h")).select("run", "several", "_h1", "_h2", "h.*")
     )
     key = ["run", "side", "context"]
