@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprint, jaccard_join, language_id, license_scan, lm_scoring, packing, quality_classifier, quality_rules, suffix_dedup
+from . import alignment, byte_bpe, fingerprint, jaccard_join, language_id, license_scan, lm_scoring, packing, quality_classifier, quality_rules, suffix_dedup
 from .common import checkpoint, held_out, table
 from .oracles import ORACLE_SQL
 
@@ -97,6 +97,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, aligned, with the links' counts over all documents."""
+    byte_path, piece_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.align(table(spark, sf_dir, "documents"), byte_path, piece_path, public_tokenizers.PATTERN, digests=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
@@ -110,4 +117,5 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_fingerprint": op9_fingerprint,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_alignment": op13_alignment,
 }
