@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, byte_bpe, fingerprint, jaccard_join, language_id, license_scan, lm_scoring, packing, quality_classifier, quality_rules, suffix_dedup
+from . import alignment, byte_bpe, fingerprint, html_extraction, jaccard_join, language_id, license_scan, lm_scoring, packing, quality_classifier, quality_rules, suffix_dedup
 from .common import checkpoint, held_out, table
 from .oracles import ORACLE_SQL
 
@@ -97,6 +97,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by the paths on which the pages of its host agree."""
+    return html_extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens by two tokenizers, aligned, with the links' counts over all documents."""
     byte_path, piece_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -117,5 +122,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_fingerprint": op9_fingerprint,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_html_extraction": op12_html_extraction,
     "op13_alignment": op13_alignment,
 }
