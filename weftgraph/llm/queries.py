@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, byte_bpe, fingerprint, html_extraction, jaccard_join, language_id, license_scan, lm_scoring, packing, quality_classifier, quality_rules, suffix_dedup
+from . import alignment, byte_bpe, fingerprint, html_extraction, jaccard_join, language_id, license_scan, lm_scoring, packing, quality_classifier, quality_rules, suffix_dedup, whitening
 from .common import checkpoint, held_out, table
 from .oracles import ORACLE_SQL
 
@@ -97,6 +97,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's coordinates on the sixteen directions of most variance, scaled to unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page, by the paths on which the pages of its host agree."""
     return html_extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -122,6 +127,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_fingerprint": op9_fingerprint,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_whitening": op11_whitening,
     "op12_html_extraction": op12_html_extraction,
     "op13_alignment": op13_alignment,
 }
