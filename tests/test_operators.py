@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
 from weftgraph.graph import CodeGraph
-from weftgraph.operators import impact, layers, metrics, resolve, testplan, traverse
+from weftgraph.operators import impact, intervals, layers, metrics, resolve, testplan, traverse
 from weftgraph.streaming.churn import daily_churn
 
 
@@ -252,4 +252,4 @@ def test_import_resolvers(spark):
     assert resolve.resolve_classes(classes, named).first()["target"] == "shop/Item.java"
     calls = frame([("f", 15, "g"), ("f", 45, "h")], "file string, at int, name string")
     spans = frame([("f", "outer", 0, 40), ("f", "inner", 10, 20)], "file string, caller string, start int, end int")
-    assert {(r["name"], r["caller"]) for r in resolve.enclosing(calls, spans).collect()} == {("g", "inner")}
+    assert {(r["name"], r["caller"]) for r in intervals.enclosing(calls, spans).collect()} == {("g", "inner")}

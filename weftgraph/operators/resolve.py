@@ -254,9 +254,3 @@ def resolve_classes(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(source, target): dotted imports (source, path) to the file (name, target) of the last capitalised part that has one."""
     asked = imports.select("source", "path", F.posexplode(F.split("path", r"\.")).alias("at", "name")).where(F.col("name").rlike("^[A-Z]"))
     return asked.join(files, "name").groupBy("source", "path").agg(F.max_by("target", F.struct("at", "target")).alias("target")).where("source <> target").select("source", "target").distinct()
-
-
-def enclosing(calls: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(file, at, name, caller): each call (file, at, name) with the innermost definition (file, caller, start, end) around it."""
-    around = calls.join(definitions, "file").where("start <= at and at < end")
-    return around.groupBy("file", "at", "name").agg(F.min_by("caller", F.struct(F.col("end") - F.col("start"), F.col("caller"))).alias("caller"))

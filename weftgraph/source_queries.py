@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
-from .operators import build, ingest, resolve
+from .operators import build, ingest, intervals, resolve
 from .plans.lineage import cut
 from .sources import derived, rendered, store
 
@@ -31,7 +31,7 @@ def j12_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("file"))
     shipped = derived.read(spark, sf_dir, "lineitem").join(owner, "l_orderkey")
     calls = shipped.select("file", F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).alias("at"), F.col("l_partkey").cast("string").alias("name")).distinct()
-    return resolve.enclosing(calls, spans)
+    return intervals.enclosing(calls, spans)
 
 
 def r2_prompt_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
