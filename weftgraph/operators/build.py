@@ -11,6 +11,7 @@ from ..sources.extract import extract
 from . import resolve
 from .ingest import ending
 
+SEQ_STEP = 1 << 32  # places of a file's rows behind its own seq
 JS_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 
 
@@ -22,7 +23,7 @@ def line_count(content: Column) -> Column:
 def declared(found: DataFrame, files: DataFrame) -> DataFrame:
     """(id, type, file, name, seq): functions and classes, the first of each id; seq orders by file and place."""
     named = found.where("kind in ('function', 'class')").join(files.select("path", F.col("seq").alias("file_seq")), "path")
-    seq = F.col("file_seq") * F.lit(1_000_000) + F.col("at") + 1
+    seq = F.col("file_seq") * F.lit(SEQ_STEP) + F.col("at") + 1
     rows = named.select(F.concat_ws("::", "path", "name").alias("id"), F.col("kind").alias("type"), F.col("path").alias("file"), "name", seq.alias("seq"))
     first = F.min(F.struct("seq", "type", "file", "name")).alias("f")
     return rows.groupBy("id").agg(first).select("id", "f.type", "f.file", "f.name", "f.seq")
@@ -108,6 +109,6 @@ def build_graph(files: DataFrame) -> CodeGraph:
     """
     found = cut(extract(files))
     symbols = cut(declared(found, files))
-    nodes = files.select(F.col("path").alias("id"), F.lit("file").alias("type"), F.col("path").alias("file"), F.col("path").alias("name"), line_count(F.col("content")).alias("loc"), (F.col("seq") * F.lit(1_000_000)).alias("seq"))
+    nodes = files.select(F.col("path").alias("id"), F.lit("file").alias("type"), F.col("path").alias("file"), F.col("path").alias("name"), line_count(F.col("content")).alias("loc"), (F.col("seq") * F.lit(SEQ_STEP)).alias("seq"))
     every = nodes.unionByName(symbols.withColumn("loc", F.lit(None).cast("int")))
     return CodeGraph(every, import_edges(found, files).unionByName(call_edges(found, files, symbols)))

@@ -80,13 +80,24 @@ anchor AS (SELECT DISTINCT o, only_file AS file FROM met WHERE n = 1)"""),
     "s6_notebooks": """SELECT conv_id, CASE WHEN COUNT(*) FILTER (role = 'assistant') > 0 THEN md5(string_agg(COALESCE(text, ''), chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant')) END AS source_md5
       FROM conversations GROUP BY conv_id""",
     "s10_replaced": "SELECT c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS name, c_nationkey AS repo_id FROM customer",
+    "s10_incremental": f"""SELECT * FROM ({_written("python")}) w
+      WHERE NOT (regexp_extract(first, 'Mod(\\d+)\\.py', 1)::BIGINT % 14 = 3) AND (type NOT IN ('calls', 'imports') OR NOT (regexp_extract(second, 'Mod(\\d+)\\.py', 1)::BIGINT % 14 = 3))""",
+    "s10_batches": f"""WITH {_CALLS}, k AS (SELECT p_partkey AS pk, p_partkey // {PARTS_PER_FILE} AS n FROM part), f AS (SELECT DISTINCT n FROM k),
+      d AS (SELECT DISTINCT a.n FROM c JOIN k a ON a.pk = c.s JOIN k b ON b.pk = c.t WHERE c.t = 2 AND a.n <> b.n)
+      SELECT 'all' AS note, COUNT(*) AS changed, COUNT(*) AS extracted, 0 AS dependents FROM f
+      UNION ALL SELECT 'a remark', COUNT(*), COUNT(*), 0 FROM f WHERE n % 10 = 1
+      UNION ALL SELECT 'renamed', COUNT(*), COUNT(*), (SELECT COUNT(*) FROM d) FROM f WHERE n = 0""",
+    "f11_guarded_writes": """SELECT c_nationkey AS repo_id, c_custkey AS id, CASE WHEN n_regionkey = 1 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS name
+      FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey IN (1, 3)""",
+    "s12_listed": """SELECT s_suppkey AS id, CAST(round(s_acctbal) AS BIGINT) AS updated_at, ROW_NUMBER() OVER (ORDER BY CAST(round(s_acctbal) AS BIGINT) DESC, s_suppkey) AS place
+      FROM supplier WHERE s_nationkey = 7""",
     "s11_runs": """SELECT concat('region ', n_regionkey) AS prompt, 'behavior' AS change_kind, COUNT(*) AS n, COUNT(*) FILTER (s_suppkey % 3 = 0) AS high,
       COUNT(*) FILTER (s_suppkey % 3 = 1) AS medium, COUNT(*) FILTER (s_suppkey % 3 = 2) AS low, COUNT(*) AS total
       FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey
       UNION ALL SELECT concat('region ', r), 'behavior', 0, 0, 0, 0, 0 FROM range(5) x(r) WHERE r NOT IN (SELECT n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)""",
     "s12_deleted": "SELECT c_custkey AS id, c_nationkey AS repo_id FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
     "f10_allowed_rows": "SELECT o_custkey AS repo_id, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3 OR c_mktsegment = 'BUILDING')",
-    "f11_broken_rules": """SELECT 'symbol name' AS rule, COUNT(*) AS n FROM (SELECT p_name FROM part GROUP BY 1 HAVING COUNT(*) > 1) a
+    "u7_broken_keys": """SELECT 'symbol name' AS rule, COUNT(*) AS n FROM (SELECT p_name FROM part GROUP BY 1 HAVING COUNT(*) > 1) a
       UNION ALL SELECT 'edge', COUNT(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_partkey, l_returnflag HAVING COUNT(*) > 1) b
       UNION ALL SELECT 'source', COUNT(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT p_partkey FROM part)
       UNION ALL SELECT 'target', COUNT(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)""",

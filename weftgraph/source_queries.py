@@ -4,25 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import paths
+from .graph import CodeGraph
 from .operators import build, ingest, intervals, resolve
 from .plans.lineage import cut
 from .sources import derived, rendered, store
+from .sources.versioned import Change, Refused, RepositoryStore, VersionedTables
+from .streaming.incremental import IncrementalGraph
 
 
 def _extracted(language: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Nodes (type, id, name) and edges (type, source, target) of the parts written in a language."""
-        g = build.build_graph(cut(rendered.source_files(spark, sf_dir, language)))
-        nodes = g.nodes.select("type", F.col("id").alias("first"), F.coalesce(F.concat(F.lit("loc "), F.col("loc").cast("string")), F.col("name")).alias("second"))
-        return nodes.unionByName(g.edges.select("type", F.col("source").alias("first"), F.col("target").alias("second")))
+        return _listed(build.build_graph(cut(rendered.source_files(spark, sf_dir, language))))
 
     return query
 
 
+def _listed(g: CodeGraph) -> DataFrame:
+    nodes = g.nodes.select("type", F.col("id").alias("first"), F.coalesce(F.concat(F.lit("loc "), F.col("loc").cast("string")), F.col("name")).alias("second"))
+    return nodes.unionByName(g.edges.select("type", F.col("source").alias("first"), F.col("target").alias("second")))
+
+
 def j12_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipments fall into the innermost of their customer's orders, each open for a hundred days by its key's last digit."""
     orders = derived.read(spark, sf_dir, "orders")
@@ -98,6 +104,55 @@ def s12_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path + "-after").select("id", F.col("repo_id").cast("int").alias("repo_id"))
 
 
+def s10_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' Python files, then a batch that deletes every seventh and one that brings half of these back: nodes and edges as x1 has them."""
+    files = cut(rendered.source_files(spark, sf_dir, "python"))
+    graph = IncrementalGraph(spark, f"{cut_folder(spark)}/graph")
+    gone = files.where("seq % 7 = 3")
+    graph.apply(files, "all")
+    graph.apply(gone.withColumn("content", F.lit(None).cast("string")), "deleted")
+    graph.apply(gone.where("seq % 2 = 0"), "back")
+    return _listed(graph.graph())
+
+
+def s10_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batches of a graph read: one file in ten changes its text alone, then one part's name."""
+    files = cut(rendered.source_files(spark, sf_dir, "python"))
+    graph = IncrementalGraph(spark, f"{cut_folder(spark)}/graph")
+    graph.apply(files, "all")
+    graph.apply(files.where("seq % 10 = 1").withColumn("content", F.concat("content", F.lit("\n# seen"))), "a remark")
+    graph.apply(files.where("seq = 0").withColumn("content", F.replace("content", F.lit("f2("), F.lit("g2("))), "renamed")
+    return graph.read("batches").select("note", "changed", "extracted", "dependents")
+
+
+def f11_guarded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as rows of nations, which regions own: a region writes and deletes its own nations'; another's writes are refused."""
+    nations = derived.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").alias("owner_id"), F.lit("private").alias("visibility"), F.col("n_nationkey").alias("updated_at"))
+    rows = derived.read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("repo_id"), F.col("c_custkey").alias("id"), F.lower("c_mktsegment").alias("name"))
+    kept = RepositoryStore(VersionedTables(spark, f"{cut_folder(spark)}/store"), ("symbols",))
+    kept.register(nations)
+    of = lambda region: rows.join(F.broadcast(nations.where(F.col("owner_id") == region).select(F.col("id").alias("repo_id"))), "repo_id", "left_semi")
+    for region in range(5):
+        kept.replace(region, {"symbols": of(region)})
+    kept.replace(1, {"symbols": of(1).withColumn("name", F.upper("name"))})
+    try:
+        kept.replace(2, {"symbols": rows.withColumn("name", F.lit("taken"))})
+    except Refused:
+        pass
+    kept.delete(0, nations.where("owner_id = 0 and id % 2 = 0").select(F.col("id").alias("repo_id")))
+    kept.set_visibility(3, nations.where("owner_id = 3").select(F.col("id").alias("repo_id")), "public")
+    return kept.visible("symbols", 1)
+
+
+def s12_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as repositories of their nations: what nation 7 lists, the last updated first, with its place in the list."""
+    rows = derived.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("owner_id"), F.lit("private").alias("visibility"), F.round("s_acctbal").cast("long").alias("updated_at"))
+    kept = RepositoryStore(VersionedTables(spark, f"{cut_folder(spark)}/store"))
+    kept.tables.commit({"repos": Change(rows.withColumn("_part", F.col("id") % 16))})
+    listed = kept.listed(7)
+    return listed.select("id", "updated_at", F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")).cast("long").alias("place"))  # one owner's list
+
+
 def s11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run for each risk, of the suppliers by region, read back."""
     path = f"{cut_folder(spark)}/runs"
@@ -116,7 +171,7 @@ def f10_allowed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.allowed(orders, repos, 3)
 
 
-def f11_broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def u7_broken_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of the order tables as of symbols and edges: lines are edges from orders to parts."""
     part = derived.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.lit(1).alias("repo_id"), F.col("p_name").alias("qualified_name"))
     lines = derived.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("source_id"), F.col("l_partkey").cast("string").alias("target_id"), F.col("l_returnflag").alias("kind"))
@@ -144,8 +199,8 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            j12_enclosing, r2_prompt_hints, r4_best_match, r6_snippet_symbols, r7_targets, s6_notebooks, s10_replaced, s11_runs, s12_deleted,
-            f10_allowed_rows, f11_broken_rules, p_suggested_tests,
+            j12_enclosing, r2_prompt_hints, r4_best_match, r6_snippet_symbols, r7_targets, s6_notebooks, s10_replaced, s10_incremental, s10_batches,
+            s11_runs, s12_deleted, s12_listed, f10_allowed_rows, f11_guarded_writes, u7_broken_keys, p_suggested_tests,
         )
     },
 }
