@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import name_tokens
+from ..plans.lineage import cut
+from ..sources.substrings import SubstringIndex
 
 
 def first_by_name(symbols: DataFrame) -> DataFrame:
@@ -99,33 +101,31 @@ def query_candidates(queries: DataFrame) -> DataFrame:
     return by_file.unionByName(rows.select("query", F.lit(1).alias("stage"), F.posexplode("names").alias("at", "candidate")))
 
 
-def pieces(text: Column, n: int) -> Column:
-    """The distinct runs of n characters of a lower-cased text."""
-    low = F.lower(text)
-    return F.array_distinct(F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
+def target_texts(symbols: DataFrame) -> DataFrame:
+    """(text, best): what a target may be found in, each symbol's names and file; best ranks its symbol by most callers, then by id."""
+    best = F.struct((-F.col("fan_in")).alias("order"), "id")
+    return symbols.select(F.explode(F.array("name", "qualified_name", "file")).alias("text"), best.alias("best"))
 
 
-def resolve_targets(queries: DataFrame, symbols: DataFrame) -> DataFrame:
+def resolve_targets(queries: DataFrame, symbols: DataFrame, index: SubstringIndex) -> DataFrame:
     """(query, id): the symbol each query (id, text) means, of symbols (id, name, qualified_name, kind, file, fan_in).
 
     First a module whose file has a name of the query, then a symbol of exactly that name, then one whose
     name or file holds it, whatever the case; within a stage by the query's words, then by most callers, then
-    by id. The last is an equi-join on the candidate's first three characters (two if it has no more).
+    by id. The last asks an index of target_texts(symbols), and only for queries that the others leave open.
     """
-    asked = query_candidates(queries)
+    asked = cut(query_candidates(queries))
     names = asked.where("stage = 1").drop("stage")
     files = asked.where("stage = 0").drop("stage")
     last = F.element_at(F.split(F.lower("file"), "/"), -1)
-    modules = symbols.where("kind = 'module' and file like '%/%'").select("id", "fan_in", last.alias("low"))
-    by_file = files.withColumn("low", F.lower("candidate")).join(modules, "low").select("query", F.lit(0).alias("stage"), "at", "fan_in", "id")
-    keyed = symbols.select("id", "fan_in", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("candidate"))
-    exact = names.join(keyed, "candidate").select("query", F.lit(1).alias("stage"), "at", "fan_in", "id")
-    gram = F.substring(F.lower("candidate"), 1, 3)
-    texts = symbols.select("id", "fan_in", F.lower(F.concat_ws("\n", "name", "qualified_name", "file")).alias("all"))
-    grams = texts.select("id", "fan_in", "all", F.explode(F.array_union(pieces(F.col("all"), 3), pieces(F.col("all"), 2))).alias("gram"))
-    fuzzy = names.withColumn("gram", gram).join(grams, "gram").where(F.col("all").contains(F.lower("candidate"))).select("query", F.lit(2).alias("stage"), "at", "fan_in", "id")
-    every = by_file.unionByName(exact).unionByName(fuzzy)
-    return every.groupBy("query").agg(F.min_by("id", F.struct("stage", "at", -F.col("fan_in"), "id")).alias("id"))
+    modules = symbols.where("kind = 'module' and file like '%/%'").groupBy(last.alias("low")).agg(F.min(F.struct((-F.col("fan_in")).alias("order"), "id")).alias("best"))
+    by_file = files.withColumn("low", F.lower("candidate")).join(modules, "low").select("query", F.lit(0).alias("stage"), "at", "best")
+    keyed = symbols.select(F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("candidate"), F.struct((-F.col("fan_in")).alias("order"), "id").alias("best"))
+    exact = names.join(keyed.groupBy("candidate").agg(F.min("best").alias("best")), "candidate").select("query", F.lit(1).alias("stage"), "at", "best")
+    settled = cut(by_file.unionByName(exact).groupBy("query").agg(F.min(F.struct("stage", "at", "best")).alias("first")).select("query", F.col("first.best.id").alias("id")))
+    open_names = cut(names.join(settled.select("query"), "query", "left_anti").withColumn("candidate", F.lower("candidate")))
+    fuzzy = open_names.join(index.best(open_names.select("candidate")), "candidate").groupBy("query").agg(F.min(F.struct("at", "best")).alias("first"))
+    return settled.unionByName(fuzzy.select("query", F.col("first.best.id").alias("id")))
 
 
 # Names too common to stand for a symbol unless they are reached as a member.
@@ -160,6 +160,20 @@ def search(nodes: DataFrame, text: str, limit: int | None = None) -> DataFrame:
     return found if limit is None else found.orderBy("seq", "id").limit(limit)
 
 
+def search_many(nodes: DataFrame, texts: DataFrame, index: SubstringIndex, limit: int | None = None) -> DataFrame:
+    """(text, id): for each of many texts the nodes whose name or file holds it, as search finds them; index is one of names and files.
+
+    Texts of less than two characters find nothing here. With a limit the first by seq.
+    """
+    asked = texts.select("text", F.lower("text").alias("candidate")).distinct()
+    found = index.matches(asked.select("candidate")).withColumnRenamed("text", "held")
+    named = nodes.select("id", "seq", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("file")))).alias("held"))
+    rows = named.join(found, "held").select("candidate", "id", "seq").distinct().join(asked, "candidate").select("text", "id", "seq")
+    if limit is not None:
+        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("text").orderBy("seq", "id"))).where(F.col("_place") <= limit)
+    return rows.select("text", "id")
+
+
 def import_candidates(path: Column) -> Column:
     """Files a module path without an ending can mean, in order: itself, with each ending, then its index files."""
     ends = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]

@@ -77,6 +77,10 @@ anchor AS (SELECT DISTINCT o, only_file AS file FROM met WHERE n = 1)"""),
         WHEN 1 THEN (SELECT id FROM sy WHERE contains(lower(name), 'widget_' || c_custkey) OR contains(lower(file), 'widget_' || c_custkey) ORDER BY fan_in DESC, id LIMIT 1)
         ELSE (SELECT id FROM sy WHERE contains(lower(name), 'dget_' || c_custkey) OR contains(lower(file), 'dget_' || c_custkey) ORDER BY fan_in DESC, id LIMIT 1) END AS id
       FROM customer) q WHERE id IS NOT NULL""", "sy AS (SELECT id, name, kind, file, fan_in FROM cg_symbols)"),
+    "f9_search_many": _q("""SELECT text, id FROM (SELECT a.text, n.id, ROW_NUMBER() OVER (PARTITION BY a.text ORDER BY n.seq, n.id) AS r
+        FROM a JOIN cg_nodes n ON contains(lower(n.name), lower(a.text)) OR contains(lower(n.file), lower(a.text))) q WHERE r <= 50""",
+      """a AS (SELECT DISTINCT upper(substr(replace(p_name, ' ', '_') || '_' || p_partkey, CAST(s_suppkey % 5 + 1 AS INT), CAST(s_suppkey % 7 + 2 AS INT))) AS text
+        FROM supplier JOIN part ON p_partkey = s_suppkey % 97 + 1)"""),
     "s6_notebooks": """SELECT conv_id, CASE WHEN COUNT(*) FILTER (role = 'assistant') > 0 THEN md5(string_agg(COALESCE(text, ''), chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant')) END AS source_md5
       FROM conversations GROUP BY conv_id""",
     "s10_replaced": "SELECT c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS name, c_nationkey AS repo_id FROM customer",

@@ -12,6 +12,7 @@ from .graph import CodeGraph
 from .operators import build, ingest, intervals, resolve
 from .plans.lineage import cut
 from .sources import derived, rendered, store
+from .sources.substrings import SubstringIndex
 from .sources.versioned import Change, Refused, RepositoryStore, VersionedTables
 from .streaming.incremental import IncrementalGraph
 
@@ -69,7 +70,20 @@ def r7_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = g.nodes.join(fan_in, "id", "left").select("id", "name", F.concat_ws("::", "file", "name").alias("qualified_name"), kind.alias("kind"), "file", F.coalesce("fan_in", F.lit(0)).alias("fan_in"))
     key, n = F.col("c_custkey"), F.col("c_custkey").cast("string")
     text = F.when(key % 3 == 0, F.concat(F.lit("what of Test_Brand_"), (key % 9).cast("string"), F.lit(".py"))).when(key % 3 == 1, F.concat(F.lit("widget_"), n)).otherwise(F.concat(F.lit("DGET_"), n))
-    return resolve.resolve_targets(derived.read(spark, sf_dir, "customer").select(key.alias("id"), text.alias("text")), cut(symbols))
+    symbols = cut(symbols)
+    index = SubstringIndex.build(resolve.target_texts(symbols), f"{cut_folder(spark)}/index")
+    return resolve.resolve_targets(derived.read(spark, sf_dir, "customer").select(key.alias("id"), text.alias("text")), symbols, index)
+
+
+def f9_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers look for a part of a part's name, of two to eight characters: the first fifty of what each finds."""
+    nodes = cut(derived.part_graph(spark, sf_dir).nodes)
+    index = SubstringIndex.build(nodes.select(F.explode(F.array("name", "file")).alias("text"), F.col("seq").alias("best")), f"{cut_folder(spark)}/index")
+    key = F.col("s_suppkey")
+    names = derived.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"))
+    asked = derived.read(spark, sf_dir, "supplier").select(key, (key % 97 + 1).alias("key")).join(names, "key")
+    text = F.upper(F.substring(F.concat("name", F.lit("_"), F.col("key").cast("string")), (key % 5 + 1).cast("int"), (key % 7 + 2).cast("int")))
+    return resolve.search_many(nodes, asked.select(text.alias("text")), index, 50)
 
 
 def s6_notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +213,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            j12_enclosing, r2_prompt_hints, r4_best_match, r6_snippet_symbols, r7_targets, s6_notebooks, s10_replaced, s10_incremental, s10_batches,
+            j12_enclosing, r2_prompt_hints, r4_best_match, r6_snippet_symbols, r7_targets, f9_search_many, s6_notebooks, s10_replaced, s10_incremental, s10_batches,
             s11_runs, s12_deleted, s12_listed, f10_allowed_rows, f11_guarded_writes, u7_broken_keys, p_suggested_tests,
         )
     },
