@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import band, risk_level
 from ..plans.lineage import cut
+from ..sources.adjacency import PackedAdjacency
 from .traverse import reach
 
 
-def affected(symbols: DataFrame, edges: DataFrame, target: DataFrame, max_depth: int = 5) -> DataFrame:
+def affected(symbols: DataFrame, edges: DataFrame | PackedAdjacency, target: DataFrame, max_depth: int = 5) -> DataFrame:
     """(id, depth, fan_in, churn, risk) of everything that reaches target by calls or imports, target left out.
 
     symbols has id, fan_in and churn. Order by risk_rank, depth and descending fan_in to

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,3 +21,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """The same, and the number of rows, counted while they are written."""
+    seen = Observation()
+    done = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return done, seen.get["n"]

@@ -10,10 +10,14 @@ from .graph import CodeGraph
 from .operators import impact, ingest, layers, metrics, resolve, testplan, traverse
 from .plans.lineage import cut
 from .sources import derived
+from .sources.adjacency import PackedAdjacency
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """The part graph with its edges numbered by type, source and target."""
+    """The part graph, cut from its tables, or as it is stored."""
+    stored = derived.prepared(spark, sf_dir)
+    if stored:
+        return stored.parts
     g = derived.part_graph(spark, sf_dir)
     return CodeGraph(cut(g.nodes), cut(g.edges))
 
@@ -30,11 +34,26 @@ def _target(symbols: DataFrame) -> DataFrame:
 
 
 def _case(spark: SparkSession, sf_dir: str) -> tuple[CodeGraph, DataFrame, DataFrame]:
-    g = _graph(spark, sf_dir)
-    symbols = cut(_symbols(spark, sf_dir, g))
+    g, stored = _graph(spark, sf_dir), derived.prepared(spark, sf_dir)
+    symbols = stored.symbols if stored else cut(_symbols(spark, sf_dir, g))
     return g, symbols, cut(_target(symbols))
 
 
+def prepare(spark: SparkSession, sf_dir: str) -> derived.Prepared:
+    """Stores the graphs of a folder of tables, with packed edges, for the queries that follow in this session."""
+    g, users = derived.part_graph(spark, sf_dir), derived.user_graph(spark, sf_dir).closed()
+    g, users = CodeGraph(cut(g.nodes), cut(g.edges)), CodeGraph(cut(users.nodes), cut(users.edges))
+    made = derived.Prepared(
+        g, cut(_symbols(spark, sf_dir, g)), PackedAdjacency.build(g.edges, reverse=True), PackedAdjacency.build(g.edges, both=True), users, PackedAdjacency.build(users.edges)
+    )
+    return derived.keep_prepared(spark, sf_dir, made)
+
+
+def _callers(spark: SparkSession, sf_dir: str, g: CodeGraph) -> DataFrame | PackedAdjacency:
+    stored = derived.prepared(spark, sf_dir)
+    return stored.callers if stored else g.edges
+
+
 def _numbered(g: CodeGraph) -> CodeGraph:
     """Edges with a seq that orders them by source and target among those of a node."""
     return CodeGraph(g.nodes, g.edges.withColumn("seq", F.concat_ws(" ", "type", "source", "target")))
@@ -64,7 +83,9 @@ def g5_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g1_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.pagerank(derived.user_graph(spark, sf_dir)).select("id", F.round("pagerank", 8).alias("pagerank"))
+    stored = derived.prepared(spark, sf_dir)
+    ranks = metrics.pagerank(stored.users, forward=stored.links) if stored else metrics.pagerank(derived.user_graph(spark, sf_dir))
+    return ranks.select("id", F.round("pagerank", 8).alias("pagerank"))
 
 
 def w1_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,22 +125,22 @@ def g4_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g23_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, symbols, target = _case(spark, sf_dir)
-    return impact.affected(symbols, g.edges, target).select("id", "depth", "fan_in", "churn", "risk")
+    return impact.affected(symbols, _callers(spark, sf_dir, g), target).select("id", "depth", "fan_in", "churn", "risk")
 
 
 def a7_impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, symbols, target = _case(spark, sf_dir)
-    return impact.summary(impact.affected(symbols, g.edges, target))
+    return impact.summary(impact.affected(symbols, _callers(spark, sf_dir, g), target))
 
 
 def p3_continuous_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, symbols, target = _case(spark, sf_dir)
-    return impact.continuous_risk(impact.affected(symbols, g.edges, target, 4)).select("id", "depth", "score", "level")
+    return impact.continuous_risk(impact.affected(symbols, _callers(spark, sf_dir, g), target, 4)).select("id", "depth", "score", "level")
 
 
 def p4_criticality(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, symbols, target = _case(spark, sf_dir)
-    found = cut(impact.affected(symbols, g.edges, target))
+    found = cut(impact.affected(symbols, _callers(spark, sf_dir, g), target))
     kinds = ("behavior", "delete", "rename", "signature")
     rows = [impact.criticality(found, target, kind).select(F.lit(kind).alias("kind"), "*") for kind in kinds]
     every = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
@@ -158,7 +179,8 @@ def g19_file_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g17_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, _, target = _case(spark, sf_dir)
-    return traverse.focus(g, target, 2).edges.select("source", "target", "type")
+    stored = derived.prepared(spark, sf_dir)
+    return traverse.focus(g, target, 2, stored.around if stored else None).edges.select("source", "target", "type")
 
 
 def g18_focus_module(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +208,7 @@ def t7_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g10_covering_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, _, target = _case(spark, sf_dir)
-    return testplan.covering_tests(g, target)
+    return testplan.covering_tests(g, target, callers=_callers(spark, sf_dir, g))
 
 
 def g12_test_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
+from .adjacency import PackedAdjacency
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,3 +88,28 @@ def user_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
         F.lit(None).cast("int").alias("loc"), F.col("id").alias("seq"),
     )
     return CodeGraph(nodes, edges)
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """The stored graphs of a folder of tables: parts with their symbols, edges packed by target and by either end, and users with their links."""
+
+    parts: CodeGraph
+    symbols: DataFrame
+    callers: PackedAdjacency
+    around: PackedAdjacency
+    users: CodeGraph
+    links: PackedAdjacency
+
+
+_prepared: dict[tuple[str, str], Prepared] = {}
+
+
+def keep_prepared(spark: SparkSession, sf_dir: str, made: Prepared) -> Prepared:
+    """From now on queries over this folder use what is stored; only who asks for it keeps anything."""
+    _prepared[spark.sparkContext.applicationId, sf_dir] = made
+    return made
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> Prepared | None:
+    return _prepared.get((spark.sparkContext.applicationId, sf_dir))
