@@ -81,6 +81,12 @@ anchor AS (SELECT DISTINCT o, only_file AS file FROM met WHERE n = 1)"""),
         FROM a JOIN cg_nodes n ON contains(lower(n.name), lower(a.text)) OR contains(lower(n.file), lower(a.text))) q WHERE r <= 50""",
       """a AS (SELECT DISTINCT upper(substr(replace(p_name, ' ', '_') || '_' || p_partkey, CAST(s_suppkey % 5 + 1 AS INT), CAST(s_suppkey % 7 + 2 AS INT))) AS text
         FROM supplier JOIN part ON p_partkey = s_suppkey % 97 + 1)"""),
+    "s1_archives": """WITH p AS (SELECT page_id AS n, page_id // 100 AS archive, COALESCE(html, '') AS html,
+        ['src/app', 'tests', 'node_modules/x', '.hidden', 'lib'][page_id % 5 + 1] || '/' || CASE WHEN page_id % 11 = 0 THEN repeat('long_name/', 12) ELSE '' END || 'page' || page_id
+          || ['.py', '.ts', '.html', '.d.ts', '.go', '.test.js', '.java'][page_id % 7 + 1] AS path FROM pages),
+      m AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY archive ORDER BY n) AS r FROM p WHERE n % 5 NOT IN (2, 3) AND n % 7 NOT IN (2, 3, 5))
+      SELECT 'map' AS kept_for, archive, path, md5(html) AS content_md5 FROM m WHERE r <= 40
+      UNION ALL SELECT 'index', archive, 'top/' || path, md5(html) FROM p WHERE n % 5 IN (0, 4) AND n % 7 IN (0, 1) AND strlen(html) <= 20000""",
     "s6_notebooks": """SELECT conv_id, CASE WHEN COUNT(*) FILTER (role = 'assistant') > 0 THEN md5(string_agg(COALESCE(text, ''), chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant')) END AS source_md5
       FROM conversations GROUP BY conv_id""",
     "s10_replaced": "SELECT c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS name, c_nationkey AS repo_id FROM customer",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from .functions import paths
 from .graph import CodeGraph
 from .operators import build, ingest, intervals, resolve
 from .plans.lineage import cut
-from .sources import derived, rendered, store
+from .sources import archives, derived, rendered, store
 from .sources.substrings import SubstringIndex
 from .sources.versioned import Change, Refused, RepositoryStore, VersionedTables
 from .streaming.incremental import IncrementalGraph
@@ -86,6 +87,26 @@ def f9_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.search_many(nodes, asked.select(text.alias("text")), index, 50)
 
 
+def s1_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files of archives of a hundred, packed by Spark, stored and read back: names of all kinds, some beyond a hundred bytes; the first forty kept of each."""
+    n = F.col("page_id")
+    folder = F.element_at(F.array(*map(F.lit, ["src/app", "tests", "node_modules/x", ".hidden", "lib"])), (n % 5 + 1).cast("int"))
+    end = F.element_at(F.array(*map(F.lit, [".py", ".ts", ".html", ".d.ts", ".go", ".test.js", ".java"])), (n % 7 + 1).cast("int"))
+    name = F.concat(F.lit("top/"), folder, F.lit("/"), F.when(n % 11 == 0, F.repeat(F.lit("long_name/"), 12)).otherwise(""), F.lit("page"), n.cast("string"), end)
+    pages = derived.read(spark, sf_dir, "pages").select(F.floor(n / 100).alias("archive"), n.alias("page_id"), name.alias("name"), F.coalesce("html", F.lit("")).alias("html"))
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("page_id")
+        files = ((name, html.encode()) for name, html in zip(rows.column("name").to_pylist(), rows.column("html").to_pylist(), strict=True))
+        return pa.table({"archive": [key[0].as_py()], "content": pa.array([archives.packed(files)], pa.binary())})
+
+    path = f"{cut_folder(spark)}/archives"
+    pages.groupBy("archive").applyInArrow(pack, "archive long, content binary").write.parquet(path)
+    walked = archives.walk(spark.read.parquet(path), archives.KEPT_ENDINGS)
+    mapped = archives.files_to_map(walked, 40).select(F.lit("map").alias("kept_for"), "archive", "path", F.md5("content").alias("content_md5"))
+    return mapped.unionByName(archives.files_to_index(walked, 20_000).select(F.lit("index").alias("kept_for"), "archive", "path", F.md5("content").alias("content_md5")))
+
+
 def s6_notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as notebooks: what assistants say is code, a turn each, with a magic line before it; every other one as a list of lines."""
     talk = derived.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -213,7 +234,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            j12_enclosing, r2_prompt_hints, r4_best_match, r6_snippet_symbols, r7_targets, f9_search_many, s6_notebooks, s10_replaced, s10_incremental, s10_batches,
+            s1_archives, j12_enclosing, r2_prompt_hints, r4_best_match, r6_snippet_symbols, r7_targets, f9_search_many, s6_notebooks, s10_replaced, s10_incremental, s10_batches,
             s11_runs, s12_deleted, s12_listed, f10_allowed_rows, f11_guarded_writes, u7_broken_keys, p_suggested_tests,
         )
     },
