@@ -253,3 +253,18 @@ def test_import_resolvers(spark):
     calls = frame([("f", 15, "g"), ("f", 45, "h")], "file string, at int, name string")
     spans = frame([("f", "outer", 0, 40), ("f", "inner", 10, 20)], "file string, caller string, start int, end int")
     assert {(r["name"], r["caller"]) for r in intervals.enclosing(calls, spans).collect()} == {("g", "inner")}
+
+
+def test_cycles_are_written_out(spark):
+    """Several components, one of a node alone, one whose least node has a longer and a shorter way round, and ways that lead nowhere."""
+    edges = ["a b", "b c", "c d", "d a", "b e", "e a", "e f", "f g", "x x", "m n", "n m", "n z", "q r", "r s", "s t", "t q", "r t"]
+    ids = sorted({v for e in edges for v in e.split()})
+    g = CodeGraph(
+        spark.createDataFrame([(i, "file", i, i, None, k) for k, i in enumerate(ids)], "id string, type string, file string, name string, loc int, seq long"),
+        spark.createDataFrame([(*e.split(), "imports") for e in edges], "source string, target string, type string"),
+    )
+    found = {}
+    for r in sorted(metrics.cycle_witnesses(g).collect(), key=lambda r: r["at"]):
+        found.setdefault(r["cycle"], []).append(r["id"])
+    assert found == {"a": ["a", "b", "e"], "x": ["x"], "m": ["m", "n"], "q": ["q", "r", "t"]}
+    assert metrics.cycle_witnesses(CodeGraph(g.nodes, g.edges.where("source = 'n' and target = 'z'"))).count() == 0

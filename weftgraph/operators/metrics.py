@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
-from ..plans.lineage import cut
+from ..plans.lineage import cut, cut_counted
 from ..sources.adjacency import PackedAdjacency
 from .traverse import reach
 
@@ -322,3 +322,37 @@ def cycles(graph: CodeGraph, types: tuple[str, ...] = ("imports", "include")) ->
     looped = found[0].select(F.col("id").alias("_loop"))
     on_cycle = parts.join(sized, "root").join(looped, F.col("id") == F.col("_loop"), "left").where("size > 1 or _loop is not null")
     return on_cycle.groupBy("id").agg(F.max(F.struct("size", "cycle")).alias("c")).select("id", "c.cycle", "c.size")
+
+
+def cycle_witnesses(graph: CodeGraph, types: tuple[str, ...] = ("imports", "include")) -> DataFrame:
+    """(cycle, at, id): for each component of cycles() one cycle, written out from its least node (at 0) along the edges.
+
+    It is a shortest one through that node. All components are searched at once, level
+    by level: a node keeps as its parent the least of those it is first reached from,
+    and a component is done at the level whose least node leads back. Then the paths are
+    walked back by their parents, a step of all at a time, so a round is a join of no
+    more rows than there are components.
+    """
+    members = cut(cycles(graph, types).select("id", "cycle"))
+    edges = graph.edges.where(F.col("type").isin(*types)).select("source", "target").distinct()
+    into = members.select(F.col("id").alias("target"), F.col("cycle").alias("_c"))
+    inside = cut(edges.join(members.withColumnRenamed("id", "source"), "source").join(into, "target").where("cycle = _c").select("cycle", "source", "target"))
+    roots = members.select("cycle").distinct()
+    frontier, n = cut_counted(roots.select("cycle", F.col("cycle").alias("id"), F.lit(None).cast(members.schema["id"].dataType).alias("parent"), F.lit(0).alias("depth")))
+    seen, ends = frontier, None
+    while n:
+        steps = cut(frontier.select("cycle", F.col("id").alias("source"), "depth").join(inside, ["cycle", "source"]))
+        home = cut(steps.where("target = cycle").groupBy("cycle").agg(F.min("source").alias("id"), F.min("depth").alias("at")))
+        ends = home if ends is None else ends.unionByName(home)
+        going = steps.join(home.select("cycle"), "cycle", "left_anti")
+        first = going.groupBy("cycle", F.col("target").alias("id")).agg(F.min("source").alias("parent"), (F.min("depth") + 1).cast("int").alias("depth"))
+        frontier, n = cut_counted(first.join(seen.select("cycle", "id"), ["cycle", "id"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    if ends is None:
+        return frontier.select("cycle", F.col("depth").alias("at"), "id")  # no component at all
+    place, left = cut_counted(ends.select("cycle", "at", "id"))
+    found, parents = place, cut(seen.select("cycle", "id", "parent"))
+    while left:
+        place, left = cut_counted(place.where("at > 0").join(parents, ["cycle", "id"]).select("cycle", (F.col("at") - 1).alias("at"), F.col("parent").alias("id")))
+        found = found.unionByName(place)
+    return found

@@ -160,6 +160,18 @@ pr(it, id, r) AS (
         (SELECT MAX(betweenness) FROM bt) AS top) q""", _STRIDE + "," + _PARTS + "," + _BETWEEN + "," + _RINGS),
     "g4_cycles": _q("""SELECT a.s AS id, least(a.s, MIN(b.t)) AS cycle, COUNT(DISTINCT b.t) AS size FROM c a JOIN c b ON b.s = a.s JOIN c r ON r.s = b.t AND r.t = a.s
       WHERE a.t = a.s GROUP BY a.s""", "e AS (SELECT source AS s, target AS t FROM cg_edges WHERE type = 'imports'), c(s, t) AS (SELECT s, t FROM e UNION SELECT c.s, e.t FROM c JOIN e ON e.s = c.t)"),
+    "g4_witnesses": _q("""SELECT graph, CAST(cycle AS VARCHAR) AS cycle, CAST("at" AS INT) AS "at", CAST(id AS VARCHAR) AS id FROM walked""",
+      """e AS (SELECT 'files' AS graph, source AS s, target AS t FROM cg_edges WHERE type = 'imports' AND regexp_replace(source, '/[^/]*$', '') = regexp_replace(target, '/[^/]*$', '')
+        UNION ALL SELECT 'users', lpad(CAST(source AS VARCHAR), 20, '0'), lpad(CAST(target AS VARCHAR), 20, '0') FROM ug_edges),
+      clo(graph, s, t) AS (SELECT graph, s, t FROM e UNION SELECT c.graph, c.s, e.t FROM clo c JOIN e ON e.graph = c.graph AND e.s = c.t),
+      mem AS (SELECT a.graph, a.s AS id, least(a.s, MIN(b.t)) AS cycle FROM clo a JOIN clo b ON b.graph = a.graph AND b.s = a.s JOIN clo r ON r.graph = a.graph AND r.s = b.t AND r.t = a.s WHERE a.t = a.s GROUP BY a.graph, a.s),
+      ins AS (SELECT m.graph, m.cycle, e.s, e.t FROM e JOIN mem m ON m.graph = e.graph AND m.id = e.s JOIN mem k ON k.graph = e.graph AND k.id = e.t AND k.cycle = m.cycle),
+      reached(graph, cycle, id, d) AS (SELECT DISTINCT graph, cycle, cycle, 0 FROM mem UNION SELECT r.graph, r.cycle, i.t, r.d + 1 FROM reached r JOIN ins i ON i.graph = r.graph AND i.cycle = r.cycle AND i.s = r.id WHERE r.d < 40),
+      dist AS (SELECT graph, cycle, id, MIN(d) AS d FROM reached GROUP BY ALL),
+      par AS (SELECT a.graph, a.cycle, a.id, MIN(x.id) AS parent FROM dist a JOIN ins i ON i.graph = a.graph AND i.cycle = a.cycle AND i.t = a.id JOIN dist x ON x.graph = a.graph AND x.cycle = a.cycle AND x.id = i.s AND x.d = a.d - 1 GROUP BY ALL),
+      fin AS (SELECT graph, cycle, MIN(struct_pack(d := d, id := id)) AS f FROM dist JOIN ins i USING (graph, cycle) WHERE i.s = id AND i.t = cycle GROUP BY ALL),
+      back(graph, cycle, "at", id) AS (SELECT graph, cycle, f.d, f.id FROM fin UNION ALL SELECT b.graph, b.cycle, b."at" - 1, p.parent FROM back b JOIN par p ON p.graph = b.graph AND p.cycle = b.cycle AND p.id = b.id WHERE b."at" > 0),
+      walked AS (SELECT graph, CASE graph WHEN 'users' THEN CAST(CAST(cycle AS BIGINT) AS VARCHAR) ELSE cycle END AS cycle, "at", CASE graph WHEN 'users' THEN CAST(CAST(id AS BIGINT) AS VARCHAR) ELSE id END AS id FROM back)"""),
     "g23_impact": _q(f"SELECT h.id, CAST(h.depth AS INT) AS depth, s.fan_in, s.churn, {_RISK} AS risk FROM hit h JOIN cg_symbols s USING (id) WHERE h.depth > 0", _reach(5)),
     "a7_impact_summary": _q(f"""SELECT CAST(COUNT(*) FILTER (r = 'high') AS BIGINT) AS high, CAST(COUNT(*) FILTER (r = 'medium') AS BIGINT) AS medium,
       CAST(COUNT(*) FILTER (r = 'low') AS BIGINT) AS low, COUNT(*) AS total, CAST(COALESCE(MAX(depth), 0) AS INT) AS depth_max

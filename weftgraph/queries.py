@@ -123,6 +123,15 @@ def g4_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.cycles(derived.part_graph(spark, sf_dir), ("imports",))
 
 
+def g4_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest cycle through the least of each component: of users, and of files along the imports within their folder."""
+    users, g = derived.user_graph(spark, sf_dir), derived.part_graph(spark, sf_dir)
+    folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
+    near = CodeGraph(g.nodes, g.edges.where((F.col("type") == "imports") & (folder("source") == folder("target"))))
+    of_users = metrics.cycle_witnesses(users, ("calls",)).select(F.lit("users").alias("graph"), F.col("cycle").cast("string").alias("cycle"), "at", F.col("id").cast("string").alias("id"))
+    return of_users.unionByName(metrics.cycle_witnesses(near).select(F.lit("files").alias("graph"), "cycle", "at", "id"))
+
+
 def g23_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, symbols, target = _case(spark, sf_dir)
     return impact.affected(symbols, _callers(spark, sf_dir, g), target).select("id", "depth", "fan_in", "churn", "risk")
@@ -405,7 +414,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a1_counts, a8_fan_counts, j13_symbols, j15_neighbours, g5_orphans, g1_pagerank, w1_percentile, g2_betweenness,
-        g3_clustering, g7_components, a11_density, g6_distances, g8_health, g4_cycles, g23_impact, a7_impact_summary,
+        g3_clustering, g7_components, a11_density, g6_distances, g8_health, g4_cycles, g4_witnesses, g23_impact, a7_impact_summary,
         p3_continuous_risk, p4_criticality, g24_impact_capped, a5_hotspots, a6_risky_files, a3_modules, a4_module_edges,
         g19_file_graph, g17_focus, g18_focus_module, t2_top_symbols, w3_low_signal, w4_zone_leaders, t7_zones,
         g10_covering_tests, g12_test_plan, a10_plan_summary, g11_coverage, a9_coverage_summary, g15_dead_code,
