@@ -95,3 +95,38 @@ def test_visibility_is_checked(spark):
     assert store.with_visibility(repos, "r", "public").first()["visibility"] == "public"
     with pytest.raises(ValueError):
         store.with_visibility(repos, "r", "open")
+
+
+def test_methods_need_a_type_before_their_name():
+    text = (
+        "public class Shop<T> extends Base {\n  @Override\n  public <K> Map<K, int[]> find(K key, int n) throws Late, Never { return look(key); }\n"
+        "  Shop(int a) { init(a); }\n  private final java.util.List<T>\n  items() { return get(1); }\n  static { boot(); }\n"
+        "  void run() { if (x) { go(1); } for (int i = 0; i < 9; i++) { step(i); } Runnable r = new Task() { }; }\n  int x = call(3); class In { int deep(int a) { return top(a); } }\n}"
+    )
+    rows = read_file(".java", text).rows
+    assert {n for k, n, _ in rows if k == "function"} == {"Shop.find", "Shop.items", "Shop.run", "Shop.deep", "In.deep"}
+    assert {("call", "look", "Shop.find"), ("call", "go", "Shop.run"), ("call", "step", "Shop.run")} <= set(rows)
+
+
+BIG = {
+    ".tsx": "export function App() { return " + "<Row/><Cell a={1}/>" * 60_000 + "; }",
+    ".java": "class A { /*" + "\n  note " * 120_000 + "*/ int f() { return g(1); } }",
+    ".cs": "class A { /*" + "\n  note " * 120_000 + "*/ int F() { return G(1); } }",
+    ".js": "class A { /*" + "\n  note " * 120_000 + "*/ f() { g(1); } }",
+    ".c": "int f() { " + "g(h(" * 200_000,
+    ".go": "func f() { " + "g(1); " * 150_000 + "}",
+    ".py": "def f():\n" + "    g(1)\n" * 100_000,
+}
+
+
+@pytest.mark.parametrize("end", list(BIG))
+def test_a_megabyte_takes_linear_time(end):
+    import time
+
+    half = BIG[end][: len(BIG[end]) // 2]
+    took = []
+    for text in (half, BIG[end]):
+        began = time.thread_time()
+        read_file(end, text)
+        took.append(time.thread_time() - began)
+    assert took[1] < 6  # quadratic ones take minutes

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
-from ..plans.lineage import cut, cut_counted
+from ..plans.lineage import cut, cut_counted, partitions
 from ..sources.adjacency import PackedAdjacency
 from .traverse import reach
 
@@ -18,9 +18,6 @@ def degrees(graph: CodeGraph) -> DataFrame:
     return graph.nodes.select("id").join(into, "id", "left").join(out, "id", "left").na.fill(0, ["fan_in", "fan_out"])
 
 
-ROUNDS_PER_PLAN = 10
-
-
 def pagerank(graph: CodeGraph, iterations: int = 50, damping: float = 0.85, forward: PackedAdjacency | None = None) -> DataFrame:
     """(id, pagerank): a fixed number of rounds; parallel edges count, dangling mass goes to every node.
 
@@ -28,44 +25,42 @@ def pagerank(graph: CodeGraph, iterations: int = 50, damping: float = 0.85, forw
     Every node gets the same from the damping and from dangling nodes, so ranks are sums
     of the powers that start as 1 and go along the edges alone. A round is one join of
     the nodes' values with the packed lists, which never move, and one sum by target; a
-    node sends its earlier values to itself. Rounds follow each other in one plan, and
-    only the powers' totals over all, and over dangling nodes, come back to weigh them.
+    node sends itself nothing, so that it stays. A power's totals over all nodes, and
+    over dangling ones, are observed while it is written; they weigh the powers at last.
     """
     g = graph.closed()
     n = g.nodes.count()
     if n == 0:
         return g.nodes.select("id", F.lit(0.0).alias("pagerank"))
-    lists = (forward or PackedAdjacency.build(g.edges)).table().select("id", "share", "fan", "to")
+    forward = forward or PackedAdjacency.build(g.edges)
+    lists = forward.table().select("id", "share", "fan", "to")
     fans = lists.where("share = 0").select("id", F.lit(0.0).alias("_fan"))
     state = g.nodes.select("id").join(fans, "id", "left").select("id", F.lit(1.0).alias("value"), F.coalesce("_fan", F.lit(1.0)).alias("dangling"))
-    blocks, lost, totals = [], [], []
-    for done in range(0, iterations + 1, ROUNDS_PER_PLAN):
-        rounds = min(ROUNDS_PER_PLAN, iterations + 1 - done)
-        past: list[str] = []
-        for k in range(rounds):
-            kept = ["dangling", *past, f"h{k}"]
-            own = F.struct(F.col("id").alias("to"), F.lit(0.0).alias("value"), F.col("dangling"), *past, F.col("value").alias(f"h{k}"))
-            sent = F.transform("to", lambda s: F.struct(s["to"].alias("to"), (F.col("value") * s["times"] / F.col("fan")).alias("value"), *(F.lit(0.0).alias(c) for c in kept)))
-            first = F.coalesce("share", F.lit(0)) == 0  # of a hub's rows one speaks for the node itself
-            mail = F.concat(F.when(first, F.array(own)).otherwise(F.array()), F.coalesce(sent, F.array()))
-            state = state.join(lists, "id", "left").select(F.explode(mail).alias("m")).select("m.*").groupBy(F.col("to").alias("id")).agg(*(F.sum(c).alias(c) for c in ("value", *kept)))
-            past.append(f"h{k}")
-        state = cut(state)
-        sums = state.agg(*(F.sum(c).alias(f"all_{c}") for c in past), *(F.sum(F.col(c) * F.col("dangling")).alias(f"lost_{c}") for c in past)).first()
-        totals += [sums[f"all_{c}"] for c in past]
-        lost += [sums[f"lost_{c}"] for c in past]
-        blocks.append((done, past, state.select("id", *past)))
-        state = state.select("id", "value", "dangling")
+    own = F.struct(F.col("id").alias("to"), F.lit(0.0).alias("value"), F.col("dangling"))
+    sent = F.transform("to", lambda s: F.struct(s["to"].alias("to"), (F.col("value") * s["times"] / F.col("fan")).alias("value"), F.lit(0.0).alias("dangling")))
+    first = F.coalesce("share", F.lit(0)) == 0  # of a hub's rows one speaks for the node itself
+    mail = F.concat(F.when(first, F.array(own)).otherwise(F.array()), F.coalesce(sent, F.array()))
+    powers, lost, totals = [], [], []
+    with partitions(g.nodes.sparkSession, forward.buckets):  # values are dealt as the lists are, however few buckets these have
+        for k in range(iterations + 1):
+            seen = Observation()
+            state = cut(state.observe(seen, F.sum("value").alias("all"), F.sum(F.col("value") * F.col("dangling")).alias("lost")))
+            totals.append(seen.get["all"])
+            lost.append(seen.get["lost"])
+            powers.append(state.select("id", "value"))
+            if k < iterations:  # in hash tables of the lists, as nothing has to be sorted or broadcast
+                told = state.join(lists.hint("shuffle_hash"), "id", "left").select(F.explode(mail).alias("m")).select("m.*")
+                state = told.groupBy(F.col("to").alias("id")).agg(F.sum("value").alias("value"), F.sum("dangling").alias("dangling"))
     given: list[float] = []  # what every node gets in a round
     for t in range(iterations):
         mass = sum(given[t - 1 - k] * damping**k * lost[k] for k in range(t)) + damping**t * lost[t] / n
         given.append(((1 - damping) + damping * mass) / n)
     weight = [given[iterations - 1 - k] * damping**k for k in range(iterations)] + [damping**iterations / n]
     total = sum(w * s for w, s in zip(weight, totals, strict=True))
-    parts = [rows.select("id", sum((F.col(c) * (weight[done + k] / total) for k, c in enumerate(past)), F.lit(0.0)).alias("part")) for done, past, rows in blocks]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = None
+    for w, rows in zip(weight, powers, strict=True):
+        part = rows.select("id", (F.col("value") * F.lit(w / total)).alias("part"))
+        every = part if every is None else every.unionByName(part)
     return every.groupBy("id").agg(F.sum("part").alias("pagerank"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +31,17 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     seen = Observation()
     done = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
     return done, seen.get["n"]
+
+
+@contextmanager
+def partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """What is planned meanwhile shuffles into n partitions, as planned: a long plan isn't optimised anew after each of its stages."""
+    wanted = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

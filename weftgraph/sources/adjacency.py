@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import shared_folder
+from ..plans.lineage import cut_counted, shared_folder
 
 LIST_LENGTH = 10_000  # a node with more neighbours has several rows
-BROADCAST_HUBS = 100_000
+PAIRS_PER_BUCKET, MAX_BUCKETS = 250_000, 50_000
 
 
 @dataclass(frozen=True)
@@ -24,12 +24,13 @@ class PackedAdjacency:
 
     @classmethod
     def build(cls, edges: DataFrame, *, reverse: bool = False, both: bool = False, buckets: int | None = None) -> PackedAdjacency:
-        """Packs edges (source, target) by their source; reverse by their target, both by either end. As many buckets as a shuffle has partitions."""
+        """Packs edges (source, target) by their source; reverse by their target, both by either end. A bucket has PAIRS_PER_BUCKET or so."""
         spark = edges.sparkSession
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         forward = edges.select(F.col("source").alias("id"), F.col("target").alias("to"))
         backward = edges.select(F.col("target").alias("id"), F.col("source").alias("to"))
         pairs = (forward.unionByName(backward) if both else backward if reverse else forward).groupBy("id", "to").agg(F.count("*").alias("times"))
+        pairs, n_pairs = cut_counted(pairs)
+        buckets = buckets or max(1, min(MAX_BUCKETS, -(-n_pairs // PAIRS_PER_BUCKET)))
         sizes = pairs.groupBy("id").agg(F.count("*").alias("n"), F.sum("times").alias("fan"))
         sized = pairs.join(sizes, "id")
         shares = F.ceil(F.col("n") / LIST_LENGTH).cast("int")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.ingest import ending, notebook_source
 from .languages import BY_ENDING, COMMENT, PYTHON_STOP, Braced, Found
 
+# What a line of Python declares, imports and calls.
 PYTHON_DECLARED = re.compile(r"^(?P<indent>[ \t]*)(?:(?:async[ \t]+)?def[ \t]+(?P<name>[A-Za-z_]\w*)\s*\(|class[ \t]+(?P<type>[A-Za-z_]\w*))", re.ASCII)
 PYTHON_FROM = re.compile(r"^[ \t]*from[ \t]+([\w.]+)[ \t]+import\b", re.ASCII)
 PYTHON_IMPORT = re.compile(r"^[ \t]*import[ \t]+([\w.]+(?:[ \t]*,[ \t]*[\w.]+)*)", re.ASCII)
@@ -72,6 +73,20 @@ def innermost(bodies: list[tuple[int, int, str]], places: list[int]) -> list[lis
     return out
 
 
+NO_TYPE = re.compile(r"[^\w$<>,.\s\[\]?]", re.ASCII)
+
+
+def typed(code: str, name_at: int, since: int) -> bool:
+    """Whether a type stands before a method's name: words and brackets behind the last ;, { or } or on lines of their own."""
+    low = name_at
+    while low > since and not NO_TYPE.match(code, low - 1):
+        low -= 1
+    before = code[low:name_at]
+    if low > since and code[low - 1] not in ";{}":
+        before = before.partition("\n")[2]
+    return before[-1:].isspace() and before.lstrip()[:1].strip("<").isidentifier() or before.lstrip().startswith("<") and before[-1:].isspace()
+
+
 def read_braced(text: str, language: Braced) -> Found:
     """A file of a language with braces. Imports are looked for with comments blanked, all else without strings too."""
     found, code, commented = Found(), blanked(text, language.strings), blanked(text, None)
@@ -100,8 +115,8 @@ def read_braced(text: str, language: Braced) -> Found:
     for t in language.types.finditer(code) if language.types else ():
         found.add("class", t["name"])
         inside = t.end() - 1
-        for m in language.methods.finditer(code, inside, ends[inside]):
-            if m["name"] not in language.stop and (language.constructors or m["name"] != t["name"]):
+        for m in (language.heads or language.methods).finditer(code, inside, ends[inside]):
+            if m["name"] not in language.stop and (language.constructors or m["name"] != t["name"]) and (not language.heads or typed(code, m.start(), inside)):
                 bodies.append((m.end() - 1, ends[m.end() - 1], f"{t['name']}.{m['name']}"))
     for _, _, name in sorted(bodies, key=lambda b: b[0]):
         found.add("function", name)
@@ -110,10 +125,12 @@ def read_braced(text: str, language: Braced) -> Found:
         for caller in callers:
             found.add("call", callee, caller)
     if language.components:
+        known = set(found.rows)
         shown = [(m.start(), m["name"]) for m in language.components.finditer(code) if m["name"] not in language.stop]
         for (_, name), callers in zip(shown, innermost(bodies, [at for at, _ in shown]), strict=True):
             for caller in callers:
-                if ("call", name, caller) not in found.rows:
+                if ("call", name, caller) not in known:
+                    known.add(("call", name, caller))
                     found.add("call", name, caller)
     return found
 
@@ -182,7 +199,8 @@ def extract(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for path, ends_in, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):  # a file at a time, so that a batch isn't held twice
+                path, ends_in, text = (c[i].as_py() for c in batch.columns)
                 for at, row in enumerate(read_file(ends_in, text).rows):
                     yield (path, at, *row)
 
