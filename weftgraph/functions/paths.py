@@ -111,6 +111,6 @@ def health_bands(diameter: Column, avg_path: Column, density: Column, components
 
 
 def name_tokens(name: Column) -> Column:
-    """Lower-case parts of a camel, snake, kebab or dotted name, of two characters or more."""
-    spaced = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")
-    return F.filter(F.split(F.lower(spaced), r"[^a-z0-9]+"), lambda t: F.length(t) >= 2)
+    """Lower-case parts of a name, of two characters or more; it parts at a capital behind a small letter or digit, and at _, - and dots alone."""
+    parted = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")
+    return F.filter(F.split(F.lower(parted), r"[_\-.]"), lambda t: F.length(t) >= 2)

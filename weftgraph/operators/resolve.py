@@ -21,33 +21,46 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return calls.join(named, "callee").where("source <> target").select("source", "target").distinct()
 
 
+def match_strength(n: Column, qn: Column, tokens: Column, hint: Column, tail: Column, parts: Column) -> Column:
+    """How well a hint (in lower case, its last dotted part, its tokens) fits a symbol (name and qualified name in lower case, tokens).
+
+    From the qualified name (30) over the name (26), the hint's last part (22, 18) to a part
+    of a name (8) or of the qualified one (4); weak fits gain by shared tokens.
+    """
+    ends = lambda t: qn.endswith(F.concat(F.lit("."), t)) | qn.endswith(F.concat(F.lit("::"), t))
+    ladder = (
+        F.when((qn == hint) | ends(hint), 30).when(n == hint, 26).when(n == tail, 22).when(ends(tail), 18)
+        .when(n.contains(hint) | hint.contains(n), 8).when(qn.contains(hint), 4).otherwise(0)
+    )
+    shared = F.size(F.filter(parts, lambda t: F.array_contains(tokens, t)))
+    return ladder + F.when((ladder <= 8) & (shared > 0), 6 * shared + F.floor(4 * shared / F.size(parts) + 0.5)).otherwise(0)
+
+
+def kind_bonus(kind: Column) -> Column:
+    """What a function, method or class is ahead of other symbols."""
+    return F.when(kind.isin("function", "method"), 0.5).when(kind == "class", 0.25).otherwise(0.0)
+
+
+def hint_weight(strong: Column) -> Column:
+    return F.when(strong, 1.0).otherwise(0.35)
+
+
+def last_dotted(hint: Column) -> Column:
+    return F.regexp_extract(hint, r"([^.]*)$", 1)
+
+
 def score_symbols(symbols: DataFrame, hints: list[tuple[str, bool]]) -> DataFrame:
     """(id, score): how well symbols (id, name, qualified_name, kind) match the words of a prompt.
 
-    A hint is a word and whether it stood out; others weigh 0.35. Matches rank from the
-    qualified name (30) over the name (26), the hint's last part (22, 18) to a part of a
-    name (8) or of the qualified one (4); weak matches gain by shared tokens. Functions,
-    methods and classes are slightly ahead. hints are few, so they travel as a literal.
+    A hint is a word and whether it stood out; others weigh 0.35. Functions, methods and
+    classes are slightly ahead. hints are few, so they travel as a literal.
     """
     literal = F.array(*(F.struct(F.lit(h).alias("raw"), F.lit(strong).alias("strong")) for h, strong in hints))
-    prepared = F.transform(literal, lambda h: F.struct(h["strong"].alias("strong"), name_tokens(h["raw"]).alias("parts"), F.lower(h["raw"]).alias("hint"), F.regexp_extract(F.lower(h["raw"]), r"([^.]*)$", 1).alias("tail")))
+    prepared = F.transform(literal, lambda h: F.struct(h["strong"].alias("strong"), name_tokens(h["raw"]).alias("parts"), F.lower(h["raw"]).alias("hint"), last_dotted(F.lower(h["raw"])).alias("tail")))
     named = symbols.select("id", "kind", F.lower("name").alias("n"), F.lower("qualified_name").alias("qn"), name_tokens(F.col("name")).alias("tokens"), prepared.alias("hints"))
-    n, qn = F.col("n"), F.col("qn")
-
-    def scored(h: Column) -> Column:
-        hint, tail = h["hint"], h["tail"]
-        ends = lambda t: qn.endswith(F.concat(F.lit("."), t)) | qn.endswith(F.concat(F.lit("::"), t))
-        ladder = (
-            F.when((qn == hint) | ends(hint), 30).when(n == hint, 26).when(n == tail, 22).when(ends(tail), 18)
-            .when(n.contains(hint) | hint.contains(n), 8).when(qn.contains(hint), 4).otherwise(0)
-        )
-        shared = F.size(F.filter(h["parts"], lambda t: F.array_contains("tokens", t)))
-        bonus = F.when((ladder <= 8) & (shared > 0), 6 * shared + F.floor(4 * shared / F.size(h["parts"]) + 0.5)).otherwise(0)
-        return (ladder + bonus) * F.when(h["strong"], 1.0).otherwise(0.35)
-
-    ahead = F.when(F.col("kind").isin("function", "method"), 0.5).when(F.col("kind") == "class", 0.25).otherwise(0.0)
+    scored = lambda h: match_strength(F.col("n"), F.col("qn"), F.col("tokens"), h["hint"], h["tail"], h["parts"]) * hint_weight(h["strong"])
     total = F.aggregate("hints", F.lit(0.0), lambda done, h: done + scored(h))
-    return named.select("id", F.round(total + ahead, 6).alias("score"))
+    return named.select("id", F.round(total + kind_bonus(F.col("kind")), 6).alias("score"))
 
 
 def best_match(scored: DataFrame, floor: int = 4, sure: int = 12, gap: int = 1) -> DataFrame:

@@ -122,6 +122,11 @@ for _noise in SNIPPET_NOISE:
 
 _PATHS = "WITH p AS (SELECT o_orderkey AS id, o_orderkey % 8 AS k, o_custkey % 11 AS e FROM orders) "
 
+def _tokens(name: str) -> str:
+    """Parts of a name by the rule: at capitals behind small letters or digits, and at _, - and dots."""
+    return f"list_filter(regexp_split_to_array(lower(regexp_replace({name}, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_.-]'), lambda y: length(y) >= 2)"
+
+
 ORACLE_SQL = {
     "a1_counts": _q("SELECT type, COUNT(*) AS n FROM cg_nodes GROUP BY type UNION ALL SELECT type, COUNT(*) FROM cg_edges GROUP BY type"),
     "a8_fan_counts": _q("SELECT id, fan_in, fan_out FROM cg_symbols"),
@@ -272,13 +277,15 @@ fe AS (SELECT e.* FROM cg_edges e JOIN near a ON a.id = e.source JOIN near b ON
       WHEN contains(lower(text), 'signature') OR contains(lower(text), 'parameter') OR contains(lower(text), 'argument') THEN 'signature' ELSE 'behavior' END AS kind FROM conversations""",
     "a16_churn_banner": _q("SELECT bool_and(churn = 0) AS all_quiet, COUNT(*) FILTER (kind = 'module') < 3 AS few_files FROM cg_symbols"),
     "j2_resolve_calls": "SELECT DISTINCT CAST(p.p_partkey AS VARCHAR) AS source, CAST(f.k AS VARCHAR) AS target FROM part p JOIN (SELECT p_name, MIN(p_partkey) AS k FROM part GROUP BY 1) f ON f.p_name = p.p_name WHERE f.k <> p.p_partkey",
-    "r1_name_tokens": _q("SELECT id, array_to_string(list_filter(string_split(lower(name), '_'), lambda t: length(t) >= 2), ' ') AS tokens FROM cg_sym"),
-    "r3_score_symbols": _q("""SELECT id, ROUND(SUM((l + CASE WHEN l <= 8 AND sh > 0 THEN 6 * sh + FLOOR(4 * sh / n + 0.5) ELSE 0 END) * w) + 0.5, 6) AS score FROM (
+    "r1_name_tokens": _q(f"SELECT id, array_to_string({_tokens('v')}, ' ') AS tokens FROM styled",
+      """styled AS (SELECT id, CASE pk % 4 WHEN 0 THEN name WHEN 1 THEN replace(name, '_', '-')
+  WHEN 2 THEN array_to_string(list_transform(string_split(name, '_'), lambda x: upper(x[1]) || x[2:]), '') ELSE replace(name, '_', ' ') || '.x' END AS v FROM cg_sym)"""),
+    "r3_score_symbols": _q(f"""SELECT id, ROUND(SUM((l + CASE WHEN l <= 8 AND sh > 0 THEN 6 * sh + FLOOR(4 * sh / n + 0.5) ELSE 0 END) * w) + 0.5, 6) AS score FROM (
       SELECT s.id, h.w, CASE WHEN s.qn = h.h OR ends_with(s.qn, '.' || h.h) THEN 30 WHEN s.n = h.h THEN 26 WHEN contains(s.n, h.h) OR contains(h.h, s.n) THEN 8
           WHEN contains(s.qn, h.h) THEN 4 ELSE 0 END AS l,
-        len(list_filter(h.t, lambda x: list_contains(s.t, x))) AS sh, len(h.t) AS n
-      FROM (SELECT id, lower(name) AS n, lower(replace(file, '/', '.') || '.' || name) AS qn, list_filter(string_split(lower(name), '_'), lambda y: length(y) >= 2) AS t FROM cg_sym) s,
-        (VALUES ('red_widget_1', ['red', 'widget'], 1.0::DOUBLE), ('blue bolt', ['blue', 'bolt'], 0.35::DOUBLE), ('promo', ['promo'], 0.35::DOUBLE)) h(h, t, w)) q GROUP BY id"""),
+        len(list_filter({_tokens('h.h')}, lambda x: list_contains(s.t, x))) AS sh, len({_tokens('h.h')}) AS n
+      FROM (SELECT id, lower(name) AS n, lower(replace(file, '/', '.') || '.' || name) AS qn, {_tokens('name')} AS t FROM cg_sym) s,
+        (VALUES ('red_widget_1', 1.0::DOUBLE), ('blue bolt', 0.35::DOUBLE), ('promo', 0.35::DOUBLE)) h(h, w)) q GROUP BY id"""),
     "f1_skipped": _PATHS + """SELECT id, k IN (1, 2, 3, 4, 5) OR e IN (1, 2, 3) AS skipped, k IN (1, 2, 7) OR e = 7 AS secret,
       ['.py', '.ts', '.ts', '.js', '.rb', '.sql', '.go', '.pem', '.css', '.tsx', '.vue'][e + 1] AS ending,
       CASE WHEN e = 0 THEN 'python' WHEN e IN (1, 2, 3, 9) THEN 'javascript' WHEN e = 6 THEN 'go' END AS language FROM p""",

@@ -353,8 +353,11 @@ def j2_resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r1_name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = derived.part_symbols(spark, sf_dir)
-    return names.select("id", F.array_join(paths.name_tokens(F.col("name")), " ").alias("tokens"))
+    """Names in four styles by their part's key: snake, kebab, camel, and words with a dotted ending, which spaces don't part."""
+    symbols, name = derived.part_symbols(spark, sf_dir), F.col("name")
+    camel, spaced = F.replace(F.initcap(F.replace(name, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("")), F.concat(F.replace(name, F.lit("_"), F.lit(" ")), F.lit(".x"))
+    styled = F.element_at(F.array(name, F.replace(name, F.lit("_"), F.lit("-")), camel, spaced), (F.col("pk") % 4 + 1).cast("int"))
+    return symbols.select("id", F.array_join(paths.name_tokens(styled), " ").alias("tokens"))
 
 
 def r3_score_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .operators.resolve import PROMPT_PATTERNS, PROMPT_STOP
 from .oracles import ORACLE_SQL as _GRAPH_SQL
-from .oracles import _q
+from .oracles import _q, _tokens
 from .sources.rendered import FOLDERS, PARTS_PER_FILE, STYLES
 
 _CALLS = """
@@ -44,6 +44,14 @@ _NAMED = " UNION ALL ".join(
     )
     for k, p in enumerate(PROMPT_PATTERNS)
 )
+_HINTS = f"""w AS (SELECT id, list_filter(regexp_split_to_array(text, '\\W+'), lambda x: length(x) >= 3 AND regexp_matches(x, '^[A-Za-z_]') AND lower(x) NOT IN ({_STOP})) AS l FROM pr),
+      h AS ({_NAMED} UNION ALL
+        SELECT id, 900000 + generate_subscripts(l, 1), unnest(l), NULL FROM w),
+      g AS (SELECT h.id, spot, trim(hint) AS hint, COALESCE(strong, len(w.l) <= 3 OR regexp_matches(hint, '_|[a-z][A-Z]')) AS strong FROM h JOIN w USING (id)),
+      hints AS (SELECT id, arg_min(hint, spot) AS hint, bool_or(strong) AS strong FROM g WHERE length(hint) >= 2 AND lower(hint) NOT IN ({_STOP}) GROUP BY id, lower(hint))"""
+_PROMPTS = """pr AS (SELECT t.id, CASE k % 5 WHEN 0 THEN 'rename ' || name WHEN 1 THEN '`' || replace(name, '_', ' ') || '`' WHEN 2 THEN 'change ' || regexp_replace(name, '_[0-9]+$', '')
+    WHEN 3 THEN 'What does ' || replace(file, '/', '.') || '.' || name || '( do' ELSE 'hello' END || ', as said: ' || t.text AS text
+  FROM (SELECT DISTINCT ON (id) concat_ws(':', conv_id, turn) AS id, (conv_id * 31 + turn * 7) % 200 AS k, text FROM conversations WHERE text IS NOT NULL) t JOIN cg_sym ON pk = k)"""
 _SCORED = _GRAPH_SQL["r3_score_symbols"]
 
 ORACLE_SQL = {
@@ -54,11 +62,22 @@ ORACLE_SQL = {
         (list(CAST(o_orderkey AS VARCHAR) ORDER BY w, CAST(o_orderkey AS VARCHAR)))[1] AS caller
       FROM c JOIN o ON o.o_custkey = c.o_custkey AND a <= c.day AND c.day < a + w GROUP BY ALL""",
     "r2_prompt_hints": f"""WITH pr AS (SELECT DISTINCT ON (id) id, text FROM (SELECT concat_ws(':', conv_id, turn) AS id, {_PROMPT} AS text FROM conversations WHERE text IS NOT NULL) q),
-      w AS (SELECT id, list_filter(regexp_split_to_array(text, '\\W+'), lambda x: length(x) >= 3 AND regexp_matches(x, '^[A-Za-z_]') AND lower(x) NOT IN ({_STOP})) AS l FROM pr),
-      h AS ({_NAMED} UNION ALL
-        SELECT id, 900000 + generate_subscripts(l, 1), unnest(l), NULL FROM w),
-      g AS (SELECT h.id, spot, trim(hint) AS hint, COALESCE(strong, len(w.l) <= 3 OR regexp_matches(hint, '_|[a-z][A-Z]')) AS strong FROM h JOIN w USING (id))
-      SELECT id, arg_min(hint, spot) AS hint, bool_or(strong) AS strong FROM g WHERE length(hint) >= 2 AND lower(hint) NOT IN ({_STOP}) GROUP BY id, lower(hint)""",
+      {_HINTS} SELECT * FROM hints""",
+    "r4_prompts": _q(f"""SELECT prompt, CASE WHEN best IS NULL THEN 'none' WHEN top < 4 THEN 'unclear' WHEN top < 12 AND top - best[2].score < 1 THEN 'ambiguous' ELSE 'match' END AS outcome,
+        CASE WHEN top >= 12 OR top >= 4 AND NOT COALESCE(top - best[2].score < 1, false) THEN best[1].id END AS id,
+        CASE WHEN top >= 12 OR top >= 4 AND NOT COALESCE(top - best[2].score < 1, false) THEN top END AS score,
+        CASE WHEN top < 4 THEN array_to_string(list_transform(best[:3], lambda b: b.whole), ', ')
+          WHEN top < 12 AND top - best[2].score < 1 THEN array_to_string(list_transform(best[:4], lambda b: b.whole), ', ') END AS suggestions
+      FROM (SELECT pr.id AS prompt, best, best[1].score AS top FROM pr LEFT JOIN few ON few.id = pr.id) j""", f"""{_PROMPTS}, {_HINTS},
+words AS (SELECT hint, lower(hint) AS low, regexp_extract(lower(hint), '([^.]*)$', 1) AS tail, {_tokens("hint")} AS parts FROM (SELECT DISTINCT hint FROM hints) d),
+sy AS (SELECT id, lower(name) AS n, replace(file, '/', '.') || '.' || name AS whole, {_tokens("name")} AS t FROM cg_sym),
+fit AS (SELECT hint, id, l + CASE WHEN l <= 8 AND sh > 0 THEN 6 * sh + FLOOR(4 * sh / len(parts) + 0.5) ELSE 0 END AS strength FROM (
+  SELECT hint, parts, id, CASE WHEN lower(whole) = low OR ends_with(lower(whole), '.' || low) THEN 30 WHEN n = low THEN 26 WHEN n = tail THEN 22 WHEN ends_with(lower(whole), '.' || tail) THEN 18
+    WHEN contains(n, low) OR contains(low, n) THEN 8 WHEN contains(lower(whole), low) THEN 4 ELSE 0 END AS l, len(list_filter(parts, lambda x: list_contains(t, x))) AS sh FROM words, sy) c WHERE l + sh > 0),
+scored AS (SELECT p, id, ROUND(SUM(v) + 0.5, 6) AS score FROM (SELECT h.id AS p, f.id, strength * CASE WHEN strong THEN 1.0::DOUBLE ELSE 0.35::DOUBLE END AS v FROM hints h JOIN fit f USING (hint)
+  UNION ALL SELECT p, id, 0.0::DOUBLE FROM (SELECT DISTINCT id AS p FROM hints) d, sy) u GROUP BY p, id),
+few AS (SELECT p AS id, list({{'score': score, 'id': q.id, 'whole': whole}} ORDER BY score DESC, q.id) AS best FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY p ORDER BY score DESC, id) AS r FROM scored) q
+  JOIN sy ON sy.id = q.id WHERE r <= 4 GROUP BY p)"""),
     "r4_best_match": f"""SELECT id, score FROM (SELECT *, LEAD(score) OVER (ORDER BY score DESC, id) AS next, ROW_NUMBER() OVER (ORDER BY score DESC, id) AS r FROM ({_SCORED}) x) y
       WHERE r = 1 AND score >= 4 AND (score >= 12 OR score - COALESCE(next, 0) >= 1)""",
     "r6_snippet_symbols": _q("""SELECT DISTINCT o AS snippet, id FROM (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths
 from .graph import CodeGraph
-from .operators import build, ingest, intervals, resolve
+from .operators import build, ingest, intervals, prompts, resolve
 from .plans.lineage import cut
 from .sources import archives, derived, rendered, store
 from .sources.substrings import SubstringIndex
@@ -45,8 +45,8 @@ def j12_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r2_prompt_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = derived.read(spark, sf_dir, "conversations").where("text is not null")
     asked = F.concat(F.lit("Please rename "), F.replace("role", F.lit("s"), F.lit("_S")), F.lit(" and `fix me` in pkg.mod( now: "), F.col("text"))
-    prompts = talk.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), asked.alias("text")).dropDuplicates(["id"])
-    return resolve.prompt_hints(prompts)
+    asked_rows = talk.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), asked.alias("text")).dropDuplicates(["id"])
+    return resolve.prompt_hints(asked_rows)
 
 
 def r4_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,21 @@ def r4_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.best_match(resolve.score_symbols(symbols, [("red_widget_1", True), ("blue bolt", False), ("promo", False)]))
 
 
+def r4_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations ask for parts by name, by its words, by a part of it, by a call, or not at all."""
+    symbols = derived.part_symbols(spark, sf_dir)
+    whole = F.concat_ws(".", F.replace("file", F.lit("/"), F.lit(".")), "name")
+    talk = derived.read(spark, sf_dir, "conversations").where("text is not null").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), ((F.col("conv_id") * 31 + F.col("turn") * 7) % 200).alias("pk"), "text").dropDuplicates(["id"])
+    key, name = F.col("pk") % 5, F.col("name")
+    asked = (
+        F.when(key == 0, F.concat(F.lit("rename "), name)).when(key == 1, F.concat(F.lit("`"), F.replace(name, F.lit("_"), F.lit(" ")), F.lit("`")))
+        .when(key == 2, F.concat(F.lit("change "), F.regexp_replace(name, "_[0-9]+$", ""))).when(key == 3, F.concat(F.lit("What does "), whole, F.lit("( do"))).otherwise("hello")
+    )
+    wanted = talk.join(symbols, "pk").select(talk["id"], F.concat(asked, F.lit(", as said: "), "text").alias("text"))
+    known = symbols.select("id", "name", whole.alias("qualified_name"), F.lit("function").alias("kind"))
+    return prompts.resolve_prompts(wanted, known, f"{cut_folder(spark)}/prompts")
+
+
 def r6_snippet_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders are snippets of part names: each third part has a name of its own, the others share theirs."""
     parts = derived.part_symbols(spark, sf_dir).join(derived.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), "p_name"), "pk")
@@ -234,7 +249,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            s1_archives, j12_enclosing, r2_prompt_hints, r4_best_match, r6_snippet_symbols, r7_targets, f9_search_many, s6_notebooks, s10_replaced, s10_incremental, s10_batches,
+            s1_archives, j12_enclosing, r2_prompt_hints, r4_best_match, r4_prompts, r6_snippet_symbols, r7_targets, f9_search_many, s6_notebooks, s10_replaced, s10_incremental, s10_batches,
             s11_runs, s12_deleted, s12_listed, f10_allowed_rows, f11_guarded_writes, u7_broken_keys, p_suggested_tests,
         )
     },
