@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import date, timedelta
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..sources.store import replace_repositories
 
@@ -15,6 +20,74 @@ def daily_churn(commits: DataFrame, watermark: str = "7 days") -> DataFrame:
     return counted.select(F.to_date("window.start").alias("day"), "file", "commits")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, day, ts, commits): rows (file, day, ts) of a batch counted by file and day, with their latest time."""
+    for batch in batches:
+        counted = pa.Table.from_batches([batch]).group_by(["file", "day"]).aggregate([("ts", "max"), ("ts", "count")])
+        yield from counted.rename_columns(["file", "day", "ts", "commits"]).to_batches()
+
+
+def _millis(day: date) -> int:
+    return (day - date(1970, 1, 1)).days * 86_400_000
+
+
+class _DayBuckets(StatefulProcessor):
+    """A file's commits by day, for as long as one counts; timers at the days on which the sum can change."""
+
+    def __init__(self, days: int) -> None:
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buckets = handle.getMapState("buckets", "day date", "commits long")
+        self.last = handle.getValueState("last", "day date")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found: dict[date, int] = {}
+        for frame in rows:
+            for day, commits in zip(frame["day"], frame["commits"]):
+                found[day] = found.get(day, 0) + int(commits)
+        for day, commits in found.items():
+            known = self.buckets.getValue((day,)) if self.buckets.containsKey((day,)) else (0,)
+            self.buckets.updateValue((day,), (known[0] + commits,))
+            self.handle.registerTimer(_millis(day + timedelta(1)))
+            self.handle.registerTimer(_millis(day + timedelta(self.days + 1)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        as_of = date(1970, 1, 1) + timedelta(expiredTimerInfo.getExpiryTimeInMs() // 86_400_000)
+        held = {day: commits for (day,), (commits,) in self.buckets.iterator()}
+        past = [day for day in held if day < as_of]
+        last = max([*past, *([self.last.get()[0]] if self.last.exists() else [])])
+        self.last.update((last,))
+        for day in past:
+            if day < as_of - timedelta(self.days):
+                self.buckets.removeKey((day,))
+        churn = sum(held[day] for day in past if day >= as_of - timedelta(self.days))
+        yield pd.DataFrame({"file": [key[0]], "as_of": [as_of], "churn": [churn], "last_commit": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_churn(commits: DataFrame, days: int = 90, watermark: str = "7 days") -> DataFrame:
+    """(file, as_of, churn, last_commit): a stream of commits (ts, files) as each file's commits of so many days before as_of.
+
+    A row comes at each start of a day (UTC, as the session must be) on which a file's churn
+    changes: after a day with commits, and when a day falls out, down to 0. Until the next
+    row of the file it holds. Commits that are late by less than the watermark count on
+    their own day, later ones may be left out. Commits without a time or files give nothing.
+    State is a count a day and file, given up when it falls out; commits of a file and day
+    are counted within each batch of rows before they are shuffled, so no file is hot.
+    The session's spark.sql.streaming.stateStore.providerClass must be the RocksDB one.
+    """
+    touched = commits.where("ts is not null").select(F.explode("files").alias("file"), F.to_date("ts").alias("day"), "ts").where("file is not null")
+    counted = touched.mapInArrow(_counted, "file string, day date, ts timestamp, commits long").withWatermark("ts", watermark)
+    return counted.groupBy("file").transformWithStateInPandas(
+        _DayBuckets(days), outputStructType="file string, as_of date, churn long, last_commit date", outputMode="Append", timeMode="EventTime"
+    )
+
+
 def keep_files_current(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Writes a stream of changed files (repo_id, path, content) over their repositories' partitions, batch by batch."""
 
