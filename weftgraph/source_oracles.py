@@ -78,6 +78,10 @@ scored AS (SELECT p, id, ROUND(SUM(v) + 0.5, 6) AS score FROM (SELECT h.id AS p,
   UNION ALL SELECT p, id, 0.0::DOUBLE FROM (SELECT DISTINCT id AS p FROM hints) d, sy) u GROUP BY p, id),
 few AS (SELECT p AS id, list({{'score': score, 'id': q.id, 'whole': whole}} ORDER BY score DESC, q.id) AS best FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY p ORDER BY score DESC, id) AS r FROM scored) q
   JOIN sy ON sy.id = q.id WHERE r <= 4 GROUP BY p)"""),
+    "a13_rolling_churn": """WITH c AS (SELECT DISTINCT o_orderkey, CAST(o_orderdate AS DATE) AS d, lower(p_type) AS file FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+      b AS (SELECT file, d, COUNT(*) AS n FROM c GROUP BY file, d),
+      e AS (SELECT DISTINCT file, d + k AS as_of FROM b, (VALUES (1), (91)) v(k) WHERE d + k <= (SELECT MAX(d) - 7 FROM c))
+      SELECT file, as_of, CAST(COALESCE(SUM(n) FILTER (d >= as_of - 90), 0) AS BIGINT) AS churn, MAX(d) AS last_commit FROM e JOIN b USING (file) WHERE d < as_of GROUP BY file, as_of""",
     "r4_best_match": f"""SELECT id, score FROM (SELECT *, LEAD(score) OVER (ORDER BY score DESC, id) AS next, ROW_NUMBER() OVER (ORDER BY score DESC, id) AS r FROM ({_SCORED}) x) y
       WHERE r = 1 AND score >= 4 AND (score >= 12 OR score - COALESCE(next, 0) >= 1)""",
     "r6_snippet_symbols": _q("""SELECT DISTINCT o AS snippet, id FROM (

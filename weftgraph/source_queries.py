@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from .functions import paths
 from .graph import CodeGraph
 from .operators import build, ingest, intervals, prompts, resolve
-from .plans.lineage import cut
+from .plans.lineage import cut, partitions
 from .sources import archives, derived, rendered, store
 from .sources.substrings import SubstringIndex
 from .sources.versioned import Change, Refused, RepositoryStore, VersionedTables
+from .streaming.churn import rolling_churn
 from .streaming.incremental import IncrementalGraph
 
 
@@ -69,6 +70,29 @@ def r4_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.resolve_prompts(wanted, known, f"{cut_folder(spark)}/prompts")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def a13_rolling_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits to their parts' types, streamed in two goes: those before 1996, then the rest."""
+    types = derived.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_type").alias("file"))
+    touched = derived.read(spark, sf_dir, "lineitem").join(types, "l_partkey").groupBy("l_orderkey").agg(F.collect_set("file").alias("files"))  # a few lines an order
+    commits = derived.read(spark, sf_dir, "orders").join(touched, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderdate").cast("timestamp").alias("ts"), "files")
+    folder, provider = cut_folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKS)
+    try:
+        for part in ("ts < '1996-01-01'", "ts >= '1996-01-01'"):
+            commits.where(part).write.mode("append").parquet(f"{folder}/commits")
+            with partitions(spark, 8):  # a state each, with few keys
+                churn = rolling_churn(spark.readStream.schema(commits.schema).parquet(f"{folder}/commits"))
+                written = churn.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/churn").option("checkpointLocation", f"{folder}/state")
+                written.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(churn.schema).parquet(f"{folder}/churn")
+
+
 def r6_snippet_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders are snippets of part names: each third part has a name of its own, the others share theirs."""
     parts = derived.part_symbols(spark, sf_dir).join(derived.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), "p_name"), "pk")
@@ -249,7 +273,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            s1_archives, j12_enclosing, r2_prompt_hints, r4_best_match, r4_prompts, r6_snippet_symbols, r7_targets, f9_search_many, s6_notebooks, s10_replaced, s10_incremental, s10_batches,
+            s1_archives, j12_enclosing, r2_prompt_hints, r4_best_match, r4_prompts, a13_rolling_churn, r6_snippet_symbols, r7_targets, f9_search_many, s6_notebooks, s10_replaced, s10_incremental, s10_batches,
             s11_runs, s12_deleted, s12_listed, f10_allowed_rows, f11_guarded_writes, u7_broken_keys, p_suggested_tests,
         )
     },

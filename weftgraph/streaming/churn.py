@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date, timedelta
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -27,44 +29,60 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from counted.rename_columns(["file", "day", "ts", "commits"]).to_batches()
 
 
-def _millis(day: date) -> int:
-    return (day - date(1970, 1, 1)).days * 86_400_000
+EPOCH = date(1970, 1, 1)
+DAY_MS = 86_400_000
 
 
 class _DayBuckets(StatefulProcessor):
-    """A file's commits by day, for as long as one counts; timers at the days on which the sum can change."""
+    """A file's commits by day (days since 1970) for as long as one counts, and a timer at the next day on which the sum can change."""
 
     def __init__(self, days: int) -> None:
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buckets = handle.getMapState("buckets", "day date", "commits long")
-        self.last = handle.getValueState("last", "day date")
+        self.held = handle.getValueState("held", "days array<int>, commits array<long>, done int, last int")
+
+    def _load(self) -> tuple[dict[int, int], int, int]:
+        if not self.held.exists():
+            return {}, -(1 << 30), -(1 << 30)
+        days, commits, done, last = self.held.get()
+        return dict(zip(map(int, days), map(int, commits))), int(done), int(last)
+
+    def _save(self, buckets: dict[int, int], done: int, last: int) -> None:
+        self.held.update(([*buckets], [*buckets.values()], done, last))
+        ahead = self._changes(buckets, done)
+        if ahead:
+            self.handle.registerTimer(min(ahead) * DAY_MS)
+
+    def _changes(self, buckets: dict[int, int], done: int) -> set[int]:
+        return {day + after for day in buckets for after in (1, self.days + 1) if day + after > done}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found: dict[date, int] = {}
+        buckets, done, last = self._load()
         for frame in rows:
             for day, commits in zip(frame["day"], frame["commits"]):
-                found[day] = found.get(day, 0) + int(commits)
-        for day, commits in found.items():
-            known = self.buckets.getValue((day,)) if self.buckets.containsKey((day,)) else (0,)
-            self.buckets.updateValue((day,), (known[0] + commits,))
-            self.handle.registerTimer(_millis(day + timedelta(1)))
-            self.handle.registerTimer(_millis(day + timedelta(self.days + 1)))
+                place = (day - EPOCH).days
+                buckets[place] = buckets.get(place, 0) + int(commits)
+        self._save(buckets, done, last)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        as_of = date(1970, 1, 1) + timedelta(expiredTimerInfo.getExpiryTimeInMs() // 86_400_000)
-        held = {day: commits for (day,), (commits,) in self.buckets.iterator()}
-        past = [day for day in held if day < as_of]
-        last = max([*past, *([self.last.get()[0]] if self.last.exists() else [])])
-        self.last.update((last,))
-        for day in past:
-            if day < as_of - timedelta(self.days):
-                self.buckets.removeKey((day,))
-        churn = sum(held[day] for day in past if day >= as_of - timedelta(self.days))
-        yield pd.DataFrame({"file": [key[0]], "as_of": [as_of], "churn": [churn], "last_commit": [last]})
+        buckets, done, last = self._load()
+        now = timerValues.getCurrentWatermarkInMs() // DAY_MS
+        due = sorted(day for day in self._changes(buckets, done) if day <= now)
+        if not due:  # an earlier timer has seen to it
+            return
+        known = sorted(buckets)
+        sums = [0, *accumulate(buckets[day] for day in known)]
+        found = []
+        for as_of in due:
+            end = bisect_left(known, as_of)
+            last = max(last, known[end - 1]) if end else last
+            found.append((as_of, sums[end] - sums[bisect_left(known, as_of - self.days)], last))
+        self._save({day: n for day, n in buckets.items() if day + self.days + 1 > due[-1]}, due[-1], last)
+        on = lambda place: EPOCH + timedelta(place)
+        yield pd.DataFrame({"file": key[0], "as_of": [on(f[0]) for f in found], "churn": [f[1] for f in found], "last_commit": [on(f[2]) for f in found]})
 
     def close(self) -> None:
         pass
