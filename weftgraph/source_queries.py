@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths
 from .graph import CodeGraph
-from .operators import build, ingest, intervals, prompts, resolve
+from .operators import build, ingest, intervals, merge, prompts, resolve
 from .plans.lineage import cut, partitions
 from .sources import archives, derived, rendered, store
 from .sources.substrings import SubstringIndex
@@ -70,6 +70,14 @@ def r4_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.resolve_prompts(wanted, known, f"{cut_folder(spark)}/prompts")
 
 
+def x11_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions are qualified by their part's words and its key's last digit, over all files: nodes left, and edges among them."""
+    g = derived.part_graph(spark, sf_dir)
+    whole = F.when(F.col("type") == "function", F.regexp_replace("name", "_[0-9]*([0-9])$", ".$1"))
+    left = merge.merge_nodes(CodeGraph(cut(g.nodes), cut(g.edges)), whole)
+    return left.nodes.select("type", F.col("id").alias("first"), F.col("name").alias("second")).unionByName(left.edges.select("type", F.col("source").alias("first"), F.col("target").alias("second")))
+
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -273,7 +281,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            s1_archives, j12_enclosing, r2_prompt_hints, r4_best_match, r4_prompts, a13_rolling_churn, r6_snippet_symbols, r7_targets, f9_search_many, s6_notebooks, s10_replaced, s10_incremental, s10_batches,
+            s1_archives, j12_enclosing, r2_prompt_hints, r4_best_match, r4_prompts, a13_rolling_churn, x11_merged, r6_snippet_symbols, r7_targets, f9_search_many, s6_notebooks, s10_replaced, s10_incremental, s10_batches,
             s11_runs, s12_deleted, s12_listed, f10_allowed_rows, f11_guarded_writes, u7_broken_keys, p_suggested_tests,
         )
     },
