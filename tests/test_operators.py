@@ -268,3 +268,13 @@ def test_cycles_are_written_out(spark):
         found.setdefault(r["cycle"], []).append(r["id"])
     assert found == {"a": ["a", "b", "e"], "x": ["x"], "m": ["m", "n"], "q": ["q", "r", "t"]}
     assert metrics.cycle_witnesses(CodeGraph(g.nodes, g.edges.where("source = 'n' and target = 'z'"))).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("address", "found"),
+    [("a/b", ("a", "b")), (" a/b.git ", ("a", "b")), ("https://github.com/a/b/tree/x", ("a", "b")), ("HTTP://GitHub.com/a/b.git", ("a", "b")),
+     ("git@github.com:a/b.git", ("a", "b")), ("https://other.org/a/b", None), ("a/b/c", None), ("a b/c", None), ("", None), (None, None)],
+)
+def test_addresses_of_repositories(spark, address, found):
+    row = spark.range(1).select(resolve.owner_and_name(F.lit(address).cast("string")).alias("r")).first()["r"]
+    assert (tuple(row) if row else None) == found

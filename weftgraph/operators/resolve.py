@@ -241,6 +241,17 @@ def repository(url: Column) -> tuple[Column, Column]:
     return F.regexp_extract(url, r"^(?:[a-z]+://)?([^/]+)", 1), F.regexp_extract(url, r"^(?:[a-z]+://)?[^/]+/([^/?#]+)", 1)
 
 
+# The ways in which a repository's address is written, in order; a trailing .git is no part of a name.
+ADDRESSES = [r"(?i)^https?://github\.com/([^/]+)/([^/]+)", r"(?i)^git@github\.com:([^/]+)/([^/]+)", r"^([^/\s]+)/([^/\s]+)$"]
+
+
+def owner_and_name(address: Column) -> Column:
+    """The owner and name (a struct) that an address stands for: a web address, one for git, or owner/name; null for any other."""
+    written = F.regexp_replace(F.trim(address), r"\.git$", "")
+    shaped = lambda p: F.when(written.rlike(p), F.struct(F.regexp_extract(written, p, 1).alias("owner"), F.regexp_extract(written, p, 2).alias("name")))
+    return F.coalesce(*map(shaped, ADDRESSES))
+
+
 def visible(repos: DataFrame, owner: Column) -> DataFrame:
     """Repositories an owner may read: their own and public ones."""
     return repos.where((F.col("owner_id") == owner) | (F.col("visibility") == "public"))

@@ -82,6 +82,7 @@ few AS (SELECT p AS id, list({{'score': score, 'id': q.id, 'whole': whole}} ORDE
       UNION ALL SELECT DISTINCT type, a.kept, b.kept FROM cg_edges e JOIN k a ON a.id = e.source JOIN k b ON b.id = e.target WHERE a.kept <> b.kept""",
       """k AS (SELECT n.id, CASE WHEN type = 'file' THEN n.id ELSE FIRST_VALUE(n.id) OVER (PARTITION BY type, replace(p.p_name, ' ', '_') || '.' || (p.p_partkey % 10) ORDER BY n.seq, n.id) END AS kept
         FROM cg_nodes n LEFT JOIN cg_sym s ON s.id = n.id LEFT JOIN part p ON p.p_partkey = s.pk)"""),
+    "r8_owner_and_name": """SELECT page_id, CASE WHEN k < 4 THEN regexp_extract(url, '^[a-z]+://([^/]+)', 1) END AS owner, CASE WHEN k < 4 THEN 'p' || page_id END AS name FROM (SELECT *, page_id % 6 AS k FROM pages) q""",
     "a13_rolling_churn": """WITH c AS (SELECT DISTINCT o_orderkey, CAST(o_orderdate AS DATE) AS d, lower(p_type) AS file FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
       b AS (SELECT file, d, COUNT(*) AS n FROM c GROUP BY file, d),
       e AS (SELECT DISTINCT file, d + k AS as_of FROM b, (VALUES (1), (91)) v(k) WHERE d + k <= (SELECT MAX(d) - 7 FROM c))

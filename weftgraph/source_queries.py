@@ -78,6 +78,18 @@ def x11_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.nodes.select("type", F.col("id").alias("first"), F.col("name").alias("second")).unionByName(left.edges.select("type", F.col("source").alias("first"), F.col("target").alias("second")))
 
 
+def r8_owner_and_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' hosts as owners, in each way of writing an address by the page's key, and the pages' own addresses."""
+    n = F.col("page_id").cast("string")
+    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    forms = [
+        F.concat(F.lit(" https://GitHub.com/"), host, F.lit("/p"), n, F.lit(".git ")), F.concat(F.lit("http://github.com/"), host, F.lit("/p"), n, F.lit("/tree/main")),
+        F.concat(F.lit("git@github.com:"), host, F.lit("/p"), n, F.lit(".git")), F.concat(host, F.lit("/p"), n), F.col("url"), F.concat(host, F.lit("/p/"), n),
+    ]
+    address = F.element_at(F.array(*forms), (F.col("page_id") % len(forms) + 1).cast("int"))
+    return derived.read(spark, sf_dir, "pages").select("page_id", resolve.owner_and_name(address).alias("r")).select("page_id", "r.owner", "r.name")
+
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -281,7 +293,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            s1_archives, j12_enclosing, r2_prompt_hints, r4_best_match, r4_prompts, a13_rolling_churn, x11_merged, r6_snippet_symbols, r7_targets, f9_search_many, s6_notebooks, s10_replaced, s10_incremental, s10_batches,
+            s1_archives, j12_enclosing, r2_prompt_hints, r4_best_match, r4_prompts, a13_rolling_churn, x11_merged, r8_owner_and_name, r6_snippet_symbols, r7_targets, f9_search_many, s6_notebooks, s10_replaced, s10_incremental, s10_batches,
             s11_runs, s12_deleted, s12_listed, f10_allowed_rows, f11_guarded_writes, u7_broken_keys, p_suggested_tests,
         )
     },
