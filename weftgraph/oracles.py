@@ -122,6 +122,23 @@ for _noise in SNIPPET_NOISE:
 
 _PATHS = "WITH p AS (SELECT o_orderkey AS id, o_orderkey % 8 AS k, o_custkey % 11 AS e FROM orders) "
 
+def _ranks(graph: str) -> str:
+    """Rounds of ranks over the nodes and edges of a graph's views."""
+    return f"""
+n AS (SELECT id, COUNT(*) OVER () AS nn FROM {graph}_nodes),
+od AS (SELECT source, COUNT(*) AS k FROM {graph}_edges GROUP BY 1),
+pr(it, id, r) AS (
+  SELECT 0, id, 1.0::DOUBLE / nn FROM n
+  UNION ALL
+  (SELECT p.it + 1, n.id, 0.15 / n.nn + 0.85 * COALESCE(x.m, 0) + 0.85 * d.dm / n.nn
+   FROM n
+   CROSS JOIN (SELECT COALESCE(SUM(CASE WHEN od.k IS NULL THEN r END), 0) AS dm FROM pr LEFT JOIN od ON od.source = pr.id) d
+   JOIN pr p ON p.id = n.id
+   LEFT JOIN (SELECT e.target, SUM(pr.r / od.k) AS m FROM pr
+              JOIN {graph}_edges e ON e.source = pr.id JOIN od ON od.source = pr.id GROUP BY 1) x ON x.target = n.id
+   WHERE p.it < 50))"""
+
+
 def _tokens(name: str) -> str:
     """Parts of a name by the rule: at capitals behind small letters or digits, and at _, - and dots."""
     return f"list_filter(regexp_split_to_array(lower(regexp_replace({name}, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_.-]'), lambda y: length(y) >= 2)"
@@ -134,19 +151,14 @@ ORACLE_SQL = {
     "j15_neighbours": _q("""SELECT t.id, 'out' AS direction, e.target AS neighbour, e.type FROM target t JOIN cg_edges e ON e.source = t.id
       UNION ALL SELECT t.id, 'in', e.source, e.type FROM target t JOIN cg_edges e ON e.target = t.id WHERE e.source <> e.target"""),
     "g5_orphans": _q("SELECT id FROM cg_symbols WHERE fan_in = 0"),
-    "g1_pagerank": _q("SELECT id, ROUND(r, 8) AS pagerank FROM pr WHERE it = 50", """
-n AS (SELECT id, COUNT(*) OVER () AS nn FROM ug_nodes),
-od AS (SELECT source, COUNT(*) AS k FROM ug_edges GROUP BY 1),
-pr(it, id, r) AS (
-  SELECT 0, id, 1.0::DOUBLE / nn FROM n
-  UNION ALL
-  (SELECT p.it + 1, n.id, 0.15 / n.nn + 0.85 * COALESCE(x.m, 0) + 0.85 * d.dm / n.nn
-   FROM n
-   CROSS JOIN (SELECT COALESCE(SUM(CASE WHEN od.k IS NULL THEN r END), 0) AS dm FROM pr LEFT JOIN od ON od.source = pr.id) d
-   JOIN pr p ON p.id = n.id
-   LEFT JOIN (SELECT e.target, SUM(pr.r / od.k) AS m FROM pr
-              JOIN ug_edges e ON e.source = pr.id JOIN od ON od.source = pr.id GROUP BY 1) x ON x.target = n.id
-   WHERE p.it < 50))"""),
+    "g1_pagerank": _q("SELECT id, ROUND(r, 8) AS pagerank FROM pr WHERE it = 50", _ranks("ug")),
+    "t1_top_by_rank": _q("SELECT id, ROUND(r, 8) AS score FROM pr WHERE it = 50 ORDER BY score DESC, id LIMIT 25", _ranks("cg")),
+    "w3_low_signal_by_rank": _q("""SELECT s.id, s.file, (ROW_NUMBER() OVER (PARTITION BY s.file ORDER BY ROUND(r, 8) DESC, s.seq)
+        > greatest(2, CEIL(COUNT(*) OVER (PARTITION BY s.file) * 0.5))) AND s.id NOT IN (SELECT id FROM x) AS hidden
+      FROM cg_nodes s JOIN pr ON pr.id = s.id WHERE it = 50 AND type = 'function'""",
+      _ranks("cg") + """,
+xe AS (SELECT e.source, e.target FROM cg_edges e JOIN cg_nodes a ON a.id = e.source JOIN cg_nodes b ON b.id = e.target WHERE a.file <> b.file),
+x AS (SELECT source AS id FROM xe UNION SELECT target FROM xe)"""),
     "w1_percentile": _q("SELECT id, ROUND(percent_rank() OVER (ORDER BY fan_in), 6) AS percentile FROM cg_symbols"),
     "g2_betweenness": _q("SELECT n.id, ROUND(COALESCE(b.betweenness, 0), 8) AS betweenness FROM ug_nodes n LEFT JOIN bt b USING (id)", _BETWEEN),
     "g3_clustering": _q("""SELECT n.id, ROUND(CASE WHEN COALESCE(k.k, 0) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * COALESCE(l.c, 0) / (k.k * (k.k - 1)) END, 6) AS clustering

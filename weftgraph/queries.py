@@ -201,6 +201,20 @@ def t2_top_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.top_symbols(g, metrics.degrees(g).select("id", F.col("fan_in").alias("score")), 100).edges.select("source", "target", "type")
 
 
+def _ranks(g: CodeGraph) -> DataFrame:
+    return metrics.pagerank(g).select("id", F.round("pagerank", 8).alias("score"))
+
+
+def t1_top_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 nodes of the part graph with the highest rank."""
+    return metrics.top(_ranks(_graph(spark, sf_dir)), "score", 25)
+
+
+def w3_low_signal_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
+    return layers.low_signal(g, _ranks(g))
+
+
 def w3_low_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _graph(spark, sf_dir)
     return layers.low_signal(g, metrics.degrees(g).select("id", F.col("fan_in").alias("score")), 0.25, 1)
@@ -419,7 +433,7 @@ QUERIES = {
         a1_counts, a8_fan_counts, j13_symbols, j15_neighbours, g5_orphans, g1_pagerank, w1_percentile, g2_betweenness,
         g3_clustering, g7_components, a11_density, g6_distances, g8_health, g4_cycles, g4_witnesses, g23_impact, a7_impact_summary,
         p3_continuous_risk, p4_criticality, g24_impact_capped, a5_hotspots, a6_risky_files, a3_modules, a4_module_edges,
-        g19_file_graph, g17_focus, g18_focus_module, t2_top_symbols, w3_low_signal, w4_zone_leaders, t7_zones,
+        g19_file_graph, g17_focus, g18_focus_module, t1_top_by_rank, t2_top_symbols, w3_low_signal_by_rank, w3_low_signal, w4_zone_leaders, t7_zones,
         g10_covering_tests, g12_test_plan, a10_plan_summary, g11_coverage, a9_coverage_summary, g15_dead_code,
         a15_inbound, g16_proposals, g23_impact_soft_cap, g13_aggregate_plan, a14_plan_groups, s13_plan_json, s13_plan_shell,
         g14_changed_files, g25_reaching_edges, j14_contains, f8_visible_types, f14_highlighted, g20_abstraction, g21_collapsed,
