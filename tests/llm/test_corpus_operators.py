@@ -322,3 +322,39 @@ def test_scores_equal_brute_force(spark, order):
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-9)
     assert all((r["mean_log_score"] is None) == (r["n_words"] == 0) for r in done)
     assert lm_scoring.score(empty(spark), order=order).count() == 0
+
+
+def test_packing_splits_only_where_ranks_give_the_same_ids(tmp_path):
+    import json
+
+    library = packing.Tokenizer(WORD_BPE, 1, None).library
+    ranks = packing.byte_ranks(WORD_BPE)
+    assert len(ranks) == library.get_vocab_size(with_added_tokens=False)
+    rng = random.Random(8)
+    letters = "aeinorst" * 4 + "ABZéüßñ'sstrellvedm0189.,!?$&-_ \n\t\u00a0\x00\x1f\x85<|>日ж"
+    several = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(2000)] + ["", "it's WE'LL 'd've", "x" * 3000]
+    want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in several]
+    for tokenizer in (packing.Tokenizer(WORD_BPE, 1, ranks, remembered=50), packing.Tokenizer(WORD_BPE, 1, None)):
+        for start in range(0, len(several), 100):
+            found = tokenizer.encode(several[start : start + 100])
+            assert [memoryview(x).cast("I").tolist() for x in found] == want[start : start + 100]
+    # Remembered stretches stay bounded: a generation and one call's new ones.
+    bounded = packing.Tokenizer(WORD_BPE, 1, ranks, remembered=50)
+    for k in range(20):
+        bounded.encode([" ".join(f"w{k}x{i}" for i in range(40))])
+        assert len(bounded.young) <= 90 and len(bounded.old) <= 90
+
+    # A token that another merge than its own makes up too: ids by rank would differ.
+    with open(WORD_BPE, encoding="utf-8") as file:
+        other = json.load(file)
+    model = other["model"]
+    singles = [t for t, i in sorted(model["vocab"].items(), key=lambda x: x[1])][:512]
+    model["merges"] = [["b", "c"], ["a", "b"], ["ab", "c"]]
+    model["vocab"] = {t: i for i, t in enumerate([*singles, "bc", "ab", "abc"])}
+    changed = tmp_path / "other.json"
+    changed.write_text(json.dumps(other))
+    assert packing.byte_ranks(str(changed)) is None
+
+
+def test_packing_keeps_a_worker_s_tokenizer():
+    assert packing.tokenizer_of(WORD_BPE, 1) is packing.tokenizer_of(WORD_BPE, 1)

@@ -9,12 +9,14 @@ its place in them by its rank among the documents of its length.
 
 from __future__ import annotations
 
+import json
+import os
 from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,11 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import release, slices, texts
 
 SLICE_BYTES = 1 << 20
+REMEMBERED = 100_000  # stretches a generation
+MARK = "\x1f"  # ends a word; no text that is split here has it
 
 # How the vocabulary file splits lower-cased text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -164,18 +168,48 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     return reduce_by_dominance(counts, capacity) + best_fit(counts, capacity)
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Ids by the bytes of tokens, with MARK for the end of a word; None unless merging by least id gives what the file's merges give.
+
+    That is so if ids are in the order of the merges, and each token's own bytes are merged to it alone:
+    two neighbours that make up a token by another merge than its own would then be met in it too.
+    """
+    import tokenizers
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocabulary, suffix = model["vocab"], model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not suffix or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges")):
+        return None
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    byte_of = {chr(BYTE_LETTERS.get(b, b)): b for b in range(256)}
+    letters = [x + end for end in ("", suffix) for x in byte_of]
+    if sorted(vocabulary, key=vocabulary.get) != [*sorted(letters, key=lambda x: vocabulary.get(x, -1)), *(a + b for a, b in pairs)]:
+        return None
+    inner = tokenizers.models.BPE(vocabulary, pairs).tokenize
+    whole = tokenizers.models.BPE(vocabulary, pairs, end_of_word_suffix=suffix).tokenize
+    ranks = {}
+    for token, i in vocabulary.items():
+        ends = token.endswith(suffix)
+        plain = token.removesuffix(suffix)
+        if [t.id for t in (whole if ends else inner)(plain)] != [i]:
+            return None
+        ranks[bytes(byte_of[x] for x in plain) + MARK.encode() * ends] = i
+    return ranks
+
+
 class Tokenizer:
     """Ids of texts by a tokenizer file.
 
     No match of the vocabulary's pattern spans white space, so texts are split there and
     each distinct stretch is encoded once, as long as it is remembered: those not seen
-    for a generation of `remembered` new ones are forgotten.
+    for a generation of `remembered` new ones are forgotten. ranks are those of the file;
+    without them all texts are left to the tokenizers library.
     """
 
-    def __init__(self, path: str, end: int, remembered: int = 400_000):
-        import os
-
+    def __init__(self, path: str, end: int, ranks: dict[bytes, int] | None, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
+        import tiktoken
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
@@ -184,25 +218,21 @@ class Tokenizer:
         self.match, self.remembered = regex.compile(WORDS), remembered
         self.end = array("I", [end]).tobytes()
         # Below U+0250 (without the dotted capital I, and the separators that only Python's split takes for
-        # white space) text is in normal form, and lower() maps letter by letter.
-        self.plain = regex.compile("[\u0000-\u001b\u0020-\u012f\u0131-\u024f]*")
+        # white space, MARK among them) text is in normal form, and lower() maps letter by letter.
+        self.plain = regex.compile("[\u0000-\u001b\u0020-\u012f\u0131-\u024f]*" if ranks else "(?!)")
+        self.merges = tiktoken.Encoding("words", pat_str=f"[^ {MARK}]+{MARK}| ", mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self.space = ranks[b" "] if ranks else 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def learn(self, stretches: list[str]) -> None:
-        """Encodes new stretches; of their words only those that are new go to the library."""
-        matches = [self.match.findall(s) for s in stretches]
-        new = list(set().union(*matches).difference(self.words))
-        if len(self.words) + len(new) > self.remembered:
-            self.words = {}
-            new = list(set().union(*matches))
-        known, merge = self.words, self.library.model.tokenize
-        for word in new:  # the model merges one word at a time: no text to align, so no full encoding is needed
-            plain = word if word.isascii() and word.isalnum() else word.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
-            known[word] = array("I", [t.id for t in merge(plain)]).tobytes()
-        for s, found in zip(stretches, matches, strict=True):
-            self.young[s] = known[found[0]] if len(found) == 1 else b"".join([known[w] for w in found])
+        """Encodes new stretches, all in one text: each word ends in MARK, each stretch in a space, which is a token by itself."""
+        marked = self.match.sub(rf"\g<0>{MARK}", " ".join(stretches)) + " "
+        ids = self.merges.encode_to_numpy(marked)
+        data, at = ids.astype("<u4").tobytes(), 0
+        for s, to in zip(stretches, (4 * np.flatnonzero(ids == self.space)).tolist(), strict=True):
+            self.young[s] = data[at:to]
+            at = to + 4
 
     def encode(self, several: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of texts, the end id last."""
@@ -217,16 +247,23 @@ class Tokenizer:
                 asked = set().union(*(s for s in split if s))
             new = asked.difference(self.old)
             self.young.update((w, self.old[w]) for w in asked.difference(new))
-            self.learn(list(new))
+            if new:
+                self.learn(list(new))
         get = self.young.__getitem__
         return [
-            self.end.join((array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes(), b""))
+            array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() + self.end
             if s is None
             else b"".join(map(get, s)) + self.end
             for t, s in zip(several, split, strict=True)
         ]
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str, end: int) -> Tokenizer:
+    """A file's tokenizer with the stretches it remembers, kept by a Python worker for its next task."""
+    return Tokenizer(path, end, byte_ranks(path))
+
+
 def tokenize(docs: DataFrame, path: str, *, end: int = 1, capacity: int = 4096) -> DataFrame:
     """Pieces of every row's token ids: (doc_id, piece, start, length, ids binary of little-endian 32-bit ids).
 
@@ -239,11 +276,10 @@ def tokenize(docs: DataFrame, path: str, *, end: int = 1, capacity: int = 4096)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(path, end)
-        for batch in batches:
+        tokenizer = tokenizer_of(path, end)
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             row, piece, ids = [], [], []
-            encoded = chain.from_iterable(tokenizer.encode(texts(part.column(1))) for part in slices(batch, 1, SLICE_BYTES))
-            for i, data in enumerate(encoded):
+            for i, data in enumerate(tokenizer.encode(texts(batch.column(1)))):
                 for k, a in enumerate(range(0, len(data), 4 * capacity)):
                     row.append(i)
                     piece.append(k)
@@ -256,6 +292,7 @@ def tokenize(docs: DataFrame, path: str, *, end: int = 1, capacity: int = 4096)
                 ],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
