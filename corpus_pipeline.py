@@ -45,9 +45,10 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = F.min(F.struct("doc_id", "text_key")).alias("first")
     stay = linked.where("class_key is not null").groupBy("class_key").agg(first).select("first.*")
     stay = stay.unionByName(linked.where("class_key is null").select("doc_id", "text_key"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    same = rows["doc_id"].eqNullSafe(stay["doc_id"]) & (rows["text_key"] == stay["text_key"])
-    return rows.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text_key"]).select("row.*")
+    # Join and repeats by the same columns, so that the rows are dealt out once; a struct of a null id equals another.
+    stay = stay.select(F.struct("doc_id").alias("id"), "text_key")
+    rows = docs.select(F.struct("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return rows.join(stay, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]).select("row.*")
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

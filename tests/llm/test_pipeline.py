@@ -29,6 +29,13 @@ def test_near_copies_leave_one_of_each_class(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_copy_stage(spark, docs, DATA).collect()} == classes
 
 
+def test_near_copies_deal_out_each_text_once_to_choose(spark, capsys):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    corpus_pipeline.near_copy_stage(spark, docs.unionByName(docs), DATA).explain()
+    above, found, _ = capsys.readouterr().out.partition("LeftSemi")
+    assert found and "Exchange" not in above
+
+
 def test_good_labelled_documents_pass_the_filters(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
