@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import RollingHash, joined, mix
-from .common import carried, carried_kind, slices, stored
+from .common import carried, carried_kind, release, slices, stored
 from .interleave import repeated_windows
 
 RUN = 32
@@ -130,6 +130,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
                     [batch.column(2).take(where), batch.column(3).take(where), *narrow, signed(run), signed(block), pa.array(left), pa.array(right)],
                     names=["_h1", "_h2", "first", "last", "at", "run", "block", "left", "right"],
                 )
+            release()
 
     found = keyed.mapInArrow(find, "_h1 long, _h2 int, first int, last int, at int, run long, block long, left int, right int")
     intervals = stored(found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"))
@@ -182,6 +183,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
                     [batch.column(2).take(where), batch.column(3).take(where), *map(pa.array, columns, kinds)],
                     names=["_h1", "_h2", "group", "share", "first", "several", "key", "bytes"],
                 )
+            release()
 
     def settle(key: tuple, rows: pa.Table) -> pa.Table:
         """Runs of windows that another half of the group has too; in a share also each other window by its hash."""
@@ -204,6 +206,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
                 start += (hit[new] + first[i]).tolist()
                 end += (hit[final] + first[i]).tolist()
                 names += [None] * len(new)
+        release()  # the transforms are gone
         taken = pa.array(owner, pa.int64())
         return pa.table(
             {
