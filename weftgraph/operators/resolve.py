@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import name_tokens
-from ..plans.lineage import cut
+from ..plans.lineage import cut, stored
 from ..sources.substrings import SubstringIndex
 
 
@@ -147,23 +147,42 @@ process build format parse validate read write apply reset clear next prev done
 result results entry""".split()
 
 
+FEW = 3  # so many symbols of a name are tried without an anchor
+
+
 def snippet_symbols(hits: DataFrame, symbols: DataFrame) -> DataFrame:
     """(snippet, id): the symbols (id, name, file) that a snippet's identifiers (snippet, name, has_member) stand for.
 
     A name with one symbol is taken and anchors its file; an ambiguous one takes its
     symbols in anchored files, or without any all of at most three if it is reached as a
     member and the snippet has fewer than four identifiers. Common names need a member access.
+
+    Names of few symbols bring these along and are settled within their snippet. Other names
+    meet the anchored files only, by name and file, so rows are made for answers alone.
     """
-    named = symbols.groupBy("name").agg(F.count("*").alias("n"), F.first("id").alias("only"), F.first("file").alias("only_file"))
-    sized = hits.join(hits.groupBy("snippet").agg(F.countDistinct("name").alias("size")), "snippet")
+    counted = symbols.groupBy("name").agg(F.count("*").alias("n"))
+    rare = symbols.join(counted.where(F.col("n") <= FEW).select("name"), "name", "left_semi").groupBy("name").agg(F.collect_list(F.struct("id", "file")).alias("few"))
+    named = counted.join(rare, "name", "left")
+    once = hits.where("snippet is not null").groupBy("snippet", "name").agg(F.bool_or("has_member").alias("has_member"))
+    sized = once.withColumn("size", F.count("name").over(Window.partitionBy("snippet")))  # the identifiers of one snippet
     met = sized.where(~F.col("name").isin(COMMON_NAMES) | F.col("has_member")).join(named, "name")
-    unique = met.where("n = 1")
-    anchors = unique.select("snippet", F.col("only_file").alias("file")).distinct().withColumn("anchored", F.lit(True))
-    unsure = met.where("n > 1").select("snippet", "name", "has_member", "size", "n").join(symbols.select("id", "name", "file"), "name")
-    placed = unsure.join(anchors, ["snippet", "file"], "left").withColumn("anchored", F.coalesce("anchored", F.lit(False)))
-    any_here = placed.groupBy("snippet", "name").agg(F.bool_or("anchored").alias("any_here"))
-    taken = placed.join(any_here, ["snippet", "name"]).where("anchored or (not any_here and n <= 3 and size < 4 and has_member)")
-    return unique.select("snippet", F.col("only").alias("id")).unionByName(taken.select("snippet", "id")).distinct()
+    alone = (F.col("size") < 4) & F.col("has_member")
+    listed = met.groupBy("snippet").agg(
+        F.collect_list(F.when(F.col("n") <= FEW, F.struct("few", alone.alias("alone")))).alias("rare"), F.collect_list(F.when(F.col("n") > FEW, F.col("name"))).alias("names")
+    )
+    anchors = F.array_distinct(F.array_compact(F.transform(F.filter("rare", lambda r: F.size(r["few"]) == 1), lambda r: r["few"][0]["file"])))
+    placed = listed.select("snippet", "rare", "names", anchors.alias("anchors"))
+
+    def own(r: Column) -> Column:
+        here = F.filter(r["few"], lambda s: F.array_contains("anchors", s["file"]))
+        return F.when(F.size(r["few"]) == 1, r["few"]).when(F.size(here) > 0, here).when(r["alone"], r["few"]).otherwise(F.slice(r["few"], 1, 0))["id"]
+
+    settled = stored(placed.select("snippet", F.array_distinct(F.flatten(F.transform("rare", own))).alias("ids"), "names", "anchors"))
+    asked = settled.select("snippet", "anchors", F.explode("names").alias("name")).select("snippet", "name", F.explode("anchors").alias("file"))
+    many = symbols.groupBy("name", "file").agg(F.collect_set("id").alias("ids"))
+    found = settled.select("snippet", F.explode("ids").alias("id")).unionByName(asked.join(many, ["name", "file"]).select("snippet", F.explode("ids").alias("id")))
+    # An id has one name and one file, so each row is new; a table that repeats ids needs the rows together.
+    return found if symbols.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty() else found.distinct()
 
 
 def search(nodes: DataFrame, text: str, limit: int | None = None) -> DataFrame:
